@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_dedup, line_frequency, merkle, simhash
+from . import bloom_dedup, bpe, decontam, langid, line_frequency, merkle, qda, simhash
 from .common import table
 
+BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def held_out(doc_id: F.Column) -> F.Column:
+    """Null ids are never held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of the pages' WARC records in which some are cut short, lost or written twice."""
@@ -42,6 +51,19 @@ def op2_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.Codec(spark, BPE_RANKS, public_tokenizers.PATTERN)
+    found = codec.decode(codec.encode(table(spark, sf_dir, "documents")))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.LanguageModel.fit(docs.filter(~held_out(F.col("doc_id"))), langid.public_pieces(PIECES))
+    return model.predict(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' source is their host."""
     found = line_frequency.drop_boilerplate(table(spark, sf_dir, "documents"))
@@ -62,6 +84,15 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = qda.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -72,5 +103,5 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM normal WINDOW w AS (PARTITION BY norm)
 """
 
-QUERIES = {f.__name__: f for f in (op1_warc_fixity, op2_simhash_covering, op5_line_frequency, op10_bloom_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_fixity, op2_simhash_covering, op3_byte_bpe, op4_language_id, op5_line_frequency, op7_bm25_decontamination, op8_quality_qda, op10_bloom_dedup)}
 ORACLE_SQL = {"op1_warc_fixity": OP1_SQL, "op5_line_frequency": OP5_SQL, "op10_bloom_dedup": OP10_SQL}
