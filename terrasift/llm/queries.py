@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_dedup, bpe, decontam, langid, line_frequency, merkle, qda, simhash
+from . import bloom_dedup, bpe, decontam, langid, lcp_tree, line_frequency, merkle, qda, simhash, suffix_tree
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -84,6 +84,11 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op6_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_tree.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,6 +98,11 @@ def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_lcp_interval_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lcp_tree.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -103,5 +113,5 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM normal WINDOW w AS (PARTITION BY norm)
 """
 
-QUERIES = {f.__name__: f for f in (op1_warc_fixity, op2_simhash_covering, op3_byte_bpe, op4_language_id, op5_line_frequency, op7_bm25_decontamination, op8_quality_qda, op10_bloom_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_fixity, op2_simhash_covering, op3_byte_bpe, op4_language_id, op5_line_frequency, op6_suffix_tree_dedup, op7_bm25_decontamination, op8_quality_qda, op9_lcp_interval_dedup, op10_bloom_dedup)}
 ORACLE_SQL = {"op1_warc_fixity": OP1_SQL, "op5_line_frequency": OP5_SQL, "op10_bloom_dedup": OP10_SQL}
