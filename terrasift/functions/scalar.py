@@ -82,7 +82,7 @@ def bearing(lat1, lon1, lat2, lon2) -> Column:
 def turn(before, after) -> Column:
     """Names the change of bearing; clockwise is right."""
     delta = F.pmod(col(after) - col(before) + 540, F.lit(360.0)) - 180
-    return F.when(delta > 55, "right").when(delta > 25, "slight right").when(delta < -55, "left").when(delta < -25, "slight left").otherwise("straight")
+    return F.when(delta.isNull(), F.lit(None)).when(delta > 55, "right").when(delta > 25, "slight right").when(delta < -55, "left").when(delta < -25, "slight left").otherwise("straight")
 
 
 def cell(c, size: float) -> Column:
