@@ -240,7 +240,8 @@ def repeats(docs: DataFrame, kind: Kind, judge, other_document: bool, id_col: st
     rows = id_and_text(docs, id_col, text_col)
     keyed = rows.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("d"), F.hash("text").alias("tag"), "text")
     found = keyed.mapInArrow(_find(kind), _ANCHORS)
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # written first, so that the join has a plain exchange on either side and Spark can split a hot gram
+    twice = _stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     found = _stored(found.join(twice, "gram", "left_semi"))
 
     same = found.groupBy("gram", "own", "extra", "place").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("least"), F.min(F.struct("d", "tag", "lo")).alias("first"))
