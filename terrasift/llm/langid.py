@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import id_and_text, ship
 
 MAX_WORD = 48
-_KNOWN = 250_000
+_KNOWN = 250_000  # words that a task keeps
+_AT_ONCE = 200_000  # words scored together
 _FLOOR = 1e-9  # of a character that is no piece
 _letters = regex.compile(r"\p{L}+").findall
 
@@ -57,17 +58,31 @@ def segments(word: str, pieces: dict, longest: int):
     return len(marked), out
 
 
-def word_scores(word: str, pieces: dict[str, tuple[float, ...]], longest: int, languages: int) -> list[float]:
-    """Log probability of a word in each language."""
-    n, found = segments(word, pieces, longest)
-    floor = (_FLOOR,) * languages
-    scores = []
-    for k in range(languages):
-        alpha = [1.0] + [0.0] * n
-        for start, end, value in found:
-            alpha[end] += alpha[start] * (value or floor)[k]
-        scores.append(math.log(max(alpha[n], 1e-300)))
-    return scores
+def word_scores(words_: list[str], pieces: dict[str, int], chances: np.ndarray, longest: int) -> np.ndarray:
+    """Log probability of each word in each language.
+
+    ``pieces`` gives a piece's row in ``chances``, whose last two rows are those of a lone character that is no piece
+    and of what is none at all. Words of one length pass through the letters together.
+    """
+    out = np.empty((len(words_), chances.shape[1]))
+    alone, nothing = len(chances) - 2, len(chances) - 1
+    by_length: dict[int, list[int]] = {}
+    for i, word in enumerate(words_):
+        by_length.setdefault(len(word) + 1, []).append(i)
+    get = pieces.get
+    for n, members in by_length.items():
+        spans = [(start, end) for end in range(1, n + 1) for start in range(max(0, end - longest), end)]
+        missing = [alone if end - start == 1 else nothing for start, end in spans]
+        keyed = [(start, end, m) for (start, end), m in zip(spans, missing)]
+        for at in range(0, len(members), step := max(1, 400_000 // len(spans))):
+            part = members[at : at + step]
+            rows = np.array([[get(marked[a:b], m) for a, b, m in keyed] for marked in ("▁" + words_[i] for i in part)])
+            alpha = np.zeros((n + 1, len(part), chances.shape[1]))
+            alpha[0] = 1
+            for k, (start, end) in enumerate(spans):
+                alpha[end] += alpha[start] * chances[rows[:, k]]
+            out[part] = np.log(np.maximum(alpha[n], 1e-300))
+    return out
 
 
 def _expected(table, longest: int, languages: list[str]):
@@ -114,7 +129,10 @@ class LanguageModel:
         ship(spark)
         rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
         order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-        chosen = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= texts_per_language).select("doc_id", "lang").distinct()
+        # lowest hashes first by a threshold, a few times more than is needed, so that few rows meet in the window
+        share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select(F.col("lang").alias("of"), F.when(F.col("rows") > 8 * texts_per_language, 4 * texts_per_language / F.col("rows")).otherwise(1.0).alias("share"))
+        low = rows.select("doc_id", "lang").join(F.broadcast(share), F.col("lang") == F.col("of")).filter(F.col("share") >= F.xxhash64("doc_id") / 2.0**64 + 0.5)
+        chosen = low.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= texts_per_language).select("doc_id", "lang").distinct()
         sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # bounded by the languages times texts_per_language
         split = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{MAX_WORD}}}"), 0))
         counted = sample.select("lang", split.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).cast("double").alias("n")).persist()
@@ -139,40 +157,54 @@ class LanguageModel:
         return rows.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double")
 
 
-class _Scores(dict):
-    """Numbers words; their scores stand in the rows of a table of bounded size."""
+class _Scores:
+    """Numbers words; their scores stand in the rows of a table, which is emptied when it is full."""
 
-    def __init__(self, pieces, longest, languages):
-        self.args = pieces, longest, languages
-        self.rows = np.zeros((_KNOWN, languages))
+    def __init__(self, pieces, longest):
+        self.pieces = {p: i for i, p in enumerate(pieces)}
+        self.chances = np.array([*pieces.values()])
+        self.chances = np.vstack([self.chances, np.full_like(self.chances[:1], _FLOOR), np.zeros_like(self.chances[:1])])
+        self.longest, self.at, self.rows = longest, {}, np.zeros((0, self.chances.shape[1]))
 
-    def __missing__(self, word):
-        at = self[word] = len(self)
-        self.rows[at] = word_scores(word, *self.args)
-        return at
+    def of(self, found: list[str]) -> np.ndarray:
+        different = set(found)
+        new = sorted(different - self.at.keys())
+        if len(self.at) + len(new) > _KNOWN:
+            self.at, self.rows, new = {}, self.rows[:0], sorted(different)
+        if new:
+            self.at |= dict(zip(new, range(len(self.at), len(self.at) + len(new))))
+            self.rows = np.vstack([self.rows, word_scores(new, self.pieces, self.chances, self.longest)])
+        return self.rows[np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))]
 
 
 def _predict(shared):
     def run(batches):
         languages, pieces, longest = shared.value
-        known = _Scores(pieces, longest, len(languages))
+        known = _Scores(pieces, longest) if languages else None
         for b in batches:
-            names, scores = [], []
+            totals, waiting, sizes = [], [], []
             for text in b.column(1):
-                found = words(text.as_py() or "")
-                if not found or not languages:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(languages))
-                for i in range(0, len(found), 10_000):
-                    part = found[i : i + 10_000]
-                    if len(known) + len(part) > _KNOWN:
-                        known.clear()
-                    total += known.rows[np.fromiter(map(known.__getitem__, part), np.int64, len(part))].sum(axis=0)
-                k = int(total.argmax())
-                names.append(languages[k])
-                scores.append(float(1 / np.exp(total - total[k]).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                found = words(text.as_py() or "") if languages else []
+                waiting += found
+                sizes.append(len(found))
+                if len(waiting) >= _AT_ONCE:
+                    totals.append(_sums(known, waiting, sizes))
+                    waiting, sizes = [], []
+            totals.append(_sums(known, waiting, sizes))
+            score, empty = (np.concatenate(x) for x in zip(*totals))
+            best = score.argmax(axis=1) if languages else np.zeros(len(empty), int)
+            chance = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1) if languages else np.zeros(len(empty))
+            names = ["und" if e else languages[k] for e, k in zip(empty.tolist(), best.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.where(empty, 0.0, chance))], ["doc_id", "lang_pred", "score"])
 
     return run
+
+
+def _sums(known, found: list[str], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Summed scores of texts whose words stand one after another, and which texts have none."""
+    sizes = np.array(sizes, np.int64)
+    out = np.zeros((len(sizes), known.rows.shape[1] if known else 0))
+    if found:
+        full = np.flatnonzero(sizes)
+        out[full] = np.add.reduceat(known.of(found), (np.cumsum(sizes) - sizes)[full], axis=0)
+    return out, sizes == 0
