@@ -200,9 +200,11 @@ def all_segmentations(marked, table, k):
 
 def test_forward_sums_all_segmentations():
     table = {"▁": (0.1, 0.2), "▁a": (0.2, 0.1), "a": (0.1, 0.1), "ab": (0.05, 0.3), "b": (0.2, 0.05), "aba": (0.01, 0.02)}
-    for word in ("a", "ab", "abab", "abc", "ccc"):
-        for k in (0, 1):
-            assert langid.word_scores(word, table, 3, 2)[k] == pytest.approx(np.log(all_segmentations("▁" + word, table, k)))
+    some = ["a", "ab", "abab", "abc", "ccc", "b"]
+    known = langid._Scores(table, 3)
+    for _ in range(2):
+        for word, row in zip(some, known.of(some)):
+            assert row == pytest.approx([np.log(all_segmentations("▁" + word, table, k)) for k in (0, 1)])
 
 
 def test_expectation_maximisation_raises_the_likelihood(spark):
@@ -210,7 +212,7 @@ def test_expectation_maximisation_raises_the_likelihood(spark):
     docs = spark.createDataFrame(texts, SCHEMA)
     vocabulary = langid.public_pieces(PIECES)
     models = [langid.LanguageModel.fit(docs, vocabulary, rounds=n) for n in (1, 3)]
-    log = lambda m: sum(m and langid.word_scores(w, m.pieces, m.longest, 2)[m.languages.index(x)] for _, t, x, _ in texts for w in langid.words(t))
+    log = lambda m: sum(langid._Scores(m.pieces, m.longest).of(langid.words(t))[:, m.languages.index(x)].sum() for _, t, x, _ in texts)
     assert log(models[1]) > log(models[0])
     assert {r["doc_id"]: r["lang_pred"] for r in models[1].predict(docs).collect()} == {i: x for i, _, x, _ in texts}
 
