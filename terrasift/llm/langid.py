@@ -45,72 +45,79 @@ def words(text: str) -> list[str]:
     return found
 
 
-def segments(word: str, pieces: dict, longest: int):
-    """(start, end, value) of every piece in the marked word, by end; a character that is no piece has value None."""
-    marked = "▁" + word
-    out, get = [], pieces.get
-    for end in range(1, len(marked) + 1):
-        for start in range(max(0, end - longest), end):
-            if (value := get(marked[start:end])) is not None:
-                out.append((start, end, value))
-            elif start == end - 1:
-                out.append((start, end, None))
-    return len(marked), out
+def passes(words_: list[str], pieces: dict[str, int], longest: int, last: int):
+    """Words of one length go through the letters together: (which words, spans, the row of each word's each span).
 
-
-def word_scores(words_: list[str], pieces: dict[str, int], chances: np.ndarray, longest: int) -> np.ndarray:
-    """Log probability of each word in each language.
-
-    ``pieces`` gives a piece's row in ``chances``, whose last two rows are those of a lone character that is no piece
-    and of what is none at all. Words of one length pass through the letters together.
+    A span is (start, end) in the word after its mark; ``last`` - 1 stands for a lone character that is no piece, ``last``
+    for what is none at all.
     """
-    out = np.empty((len(words_), chances.shape[1]))
-    alone, nothing = len(chances) - 2, len(chances) - 1
     by_length: dict[int, list[int]] = {}
     for i, word in enumerate(words_):
         by_length.setdefault(len(word) + 1, []).append(i)
     get = pieces.get
     for n, members in by_length.items():
         spans = [(start, end) for end in range(1, n + 1) for start in range(max(0, end - longest), end)]
-        missing = [alone if end - start == 1 else nothing for start, end in spans]
-        keyed = [(start, end, m) for (start, end), m in zip(spans, missing)]
-        for at in range(0, len(members), step := max(1, 400_000 // len(spans))):
+        keyed = [(start, end, last - 1 if end - start == 1 else last) for start, end in spans]
+        step = max(1, 400_000 // len(spans))
+        for at in range(0, len(members), step):
             part = members[at : at + step]
-            rows = np.array([[get(marked[a:b], m) for a, b, m in keyed] for marked in ("▁" + words_[i] for i in part)])
-            alpha = np.zeros((n + 1, len(part), chances.shape[1]))
-            alpha[0] = 1
-            for k, (start, end) in enumerate(spans):
-                alpha[end] += alpha[start] * chances[rows[:, k]]
-            out[part] = np.log(np.maximum(alpha[n], 1e-300))
+            yield part, n, spans, np.array([[get(marked[a:b], m) for a, b, m in keyed] for marked in ("▁" + words_[i] for i in part)])
+
+
+def word_scores(words_: list[str], pieces: dict[str, int], chances: np.ndarray, longest: int) -> np.ndarray:
+    """Log probability of each word in each language.
+
+    ``pieces`` gives a piece's row in ``chances``, whose last two rows are those of a lone character that is no piece
+    and of what is none at all. Words of one length pass through the letters together.
+    """
+    out = np.empty((len(words_), chances.shape[1]))
+    for part, n, spans, rows in passes(words_, pieces, longest, len(chances) - 1):
+        alpha = np.zeros((n + 1, len(part), chances.shape[1]))
+        alpha[0] = 1
+        for k, (start, end) in enumerate(spans):
+            alpha[end] += alpha[start] * chances[rows[:, k]]
+        out[part] = np.log(np.maximum(alpha[n], 1e-300))
     return out
 
 
+def table_of(pieces: dict[str, tuple[float, ...]]) -> tuple[dict[str, int], np.ndarray]:
+    """Each piece's row, and the rows, with the two that stand for no piece at the end."""
+    chances = np.array([*pieces.values()])
+    return {p: i for i, p in enumerate(pieces)}, np.vstack([chances, np.full_like(chances[:1], _FLOOR), np.zeros_like(chances[:1])])
+
+
+def expected_counts(words_: list[str], n: np.ndarray, pieces: dict[str, int], chance: np.ndarray, longest: int) -> np.ndarray:
+    """Expected uses of each row of ``chance``, one language's probabilities, when each word is seen ``n`` times."""
+    counts = np.zeros(len(chance))
+    for part, size, spans, rows in passes(words_, pieces, longest, len(chance) - 1):
+        p = chance[rows]
+        alpha, beta = np.zeros((2, size + 1, len(part)))
+        alpha[0] = beta[size] = 1
+        for k, (start, end) in enumerate(spans):
+            alpha[end] += alpha[start] * p[:, k]
+        for k in sorted(range(len(spans)), key=lambda k: -spans[k][0]):
+            start, end = spans[k]
+            beta[start] += p[:, k] * beta[end]
+        starts, ends = zip(*spans)
+        used = alpha[list(starts)] * p.T * beta[list(ends)] * (n[part] / np.maximum(alpha[size], 1e-300))
+        counts += np.bincount(rows.T.ravel(), used.ravel(), len(counts))
+    return counts
+
+
 def _expected(table, longest: int, languages: list[str]):
     """E step: expected count of each piece by language over (lang, word, n) rows."""
 
     def run(batches):
-        pieces = table.value
-        counts: dict[tuple[int, str], float] = {}
-        number = {x: i for i, x in enumerate(languages)}
+        pieces, chances = table_of(table.value)
+        names = [*table.value]
         for b in batches:
-            for lang, word, n in zip(*(b.column(i).to_pylist() for i in range(3))):
-                k = number[lang]
-                size, found = segments(word, pieces, longest)
-                alpha, beta = [1.0] + [0.0] * size, [0.0] * size + [1.0]
-                for start, end, value in found:
-                    alpha[end] += alpha[start] * (value[k] if value else _FLOOR)
-                for start, end, value in sorted(found, reverse=True):
-                    beta[start] += beta[end] * (value[k] if value else _FLOOR)
-                if alpha[size] <= 0:
-                    continue
-                marked = "▁" + word
-                for start, end, value in found:
-                    if value:
-                        key = k, marked[start:end]
-                        counts[key] = counts.get(key, 0.0) + n * alpha[start] * value[k] * beta[end] / alpha[size]
-        if counts:
-            ks, ps = zip(*counts)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(ps), pa.array(list(counts.values()))], ["k", "piece", "n"])
+            lang, word, n = (b.column(i).to_pylist() for i in range(3))
+            for k, name in enumerate(languages):
+                mine = [i for i, x in enumerate(lang) if x == name]
+                if mine:
+                    counts = expected_counts([word[i] for i in mine], np.array([n[i] for i in mine]), pieces, chances[:, k], longest)[: len(names)]
+                    used = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array([names[i] for i in used]), pa.array(counts[used])], ["k", "piece", "n"])
 
     return run
 
@@ -161,9 +168,7 @@ class _Scores:
     """Numbers words; their scores stand in the rows of a table, which is emptied when it is full."""
 
     def __init__(self, pieces, longest):
-        self.pieces = {p: i for i, p in enumerate(pieces)}
-        self.chances = np.array([*pieces.values()])
-        self.chances = np.vstack([self.chances, np.full_like(self.chances[:1], _FLOOR), np.zeros_like(self.chances[:1])])
+        self.pieces, self.chances = table_of(pieces)
         self.longest, self.at, self.rows = longest, {}, np.zeros((0, self.chances.shape[1]))
 
     def of(self, found: list[str]) -> np.ndarray:
