@@ -207,6 +207,23 @@ def test_forward_sums_all_segmentations():
             assert row == pytest.approx([np.log(all_segmentations("▁" + word, table, k)) for k in (0, 1)])
 
 
+def test_expected_counts_are_those_of_all_segmentations():
+    table = {"▁": (0.1,), "▁a": (0.2,), "a": (0.1,), "ab": (0.05,), "b": (0.2,), "aba": (0.01,)}
+    rows, chances = langid.table_of(table)
+    got = langid.expected_counts(["abab", "a"], np.array([2.0, 1.0]), rows, chances[:, 0], 3)
+    wanted = np.zeros(len(chances))
+    for word, n in (("▁abab", 2.0), ("▁a", 1.0)):
+        ways = []
+        for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+            parts = re.split("\\|", "".join(c + "|" * bool(x) for c, x in zip(word, (*cuts, 0))))
+            if all(x in table for x in parts):
+                ways.append((np.prod([table[x][0] for x in parts]), parts))
+        for p, parts in ways:
+            for x in parts:
+                wanted[rows[x]] += n * p / sum(w for w, _ in ways)
+    assert got == pytest.approx(wanted)
+
+
 def test_expectation_maximisation_raises_the_likelihood(spark):
     texts = [(i, w, "en" if i % 2 else "de", "s") for i, w in enumerate(["the house and the garden", "das haus und der garten", "the thing other", "der die das"] * 3)]
     docs = spark.createDataFrame(texts, SCHEMA)
