@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 import terrasift
@@ -32,6 +33,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder: smaller than its checkpoint, and of a size that Spark knows."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so tasks can import it on any executor."""
     sc = spark.sparkContext

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 _ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -35,7 +37,8 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
 def drop_boilerplate(pages: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
     """One row for each row of ``pages``: doc_id, n_lines, n_dropped, kept_text."""
     rows = pages.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
-    found = boilerplate(rows, ratio, min_pages).withColumnRenamed("host", "of")
+    # written first: its size is then known, so a small one is broadcast and the texts do not shuffle
+    found = stored(boilerplate(rows, ratio, min_pages)).withColumnRenamed("host", "of")
     rows = rows.join(found, F.col("host").eqNullSafe(F.col("of")), "left").withColumn("digests", F.transform("lines", _digest))
     here = F.when(F.col("found").isNotNull(), F.array_intersect("digests", "found"))
     rows = rows.select("doc_id", "lines", "digests", here.alias("here"))

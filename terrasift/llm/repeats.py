@@ -18,7 +18,6 @@ Texts shuffle once, by document; both uses share that exchange.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_and_text, ship
+from .common import id_and_text, ship, stored
 
 _BASE, _MIX_A, _MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _NO_ID = (1 << 63) - 1
@@ -219,16 +218,6 @@ def verdict(rows: list[tuple[int, int, list[tuple[int, int, int]]]]) -> pa.Recor
 _VERDICT = "gram bigint, own bigint, runs array<struct<off:int,len:int,least:bigint>>"
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A written table in the shared checkpoint folder; smaller than a checkpoint of the same rows."""
-    spark = df.sparkSession
-    if (shared := spark.sparkContext.getConf().get("spark.checkpoint.dir")) is None:
-        return durable(df)
-    path = f"{shared.rstrip('/')}/repeats-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def repeats(docs: DataFrame, kind: Kind, judge, other_document: bool, id_col: str = "doc_id", text_col: str = "text", group_limit: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, text, spans: for every row, the covered [start, end) symbol ranges, which may overlap; null if none.
 
@@ -241,11 +230,11 @@ def repeats(docs: DataFrame, kind: Kind, judge, other_document: bool, id_col: st
     keyed = rows.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("d"), F.hash("text").alias("tag"), "text")
     found = keyed.mapInArrow(_find(kind), _ANCHORS)
     # written first, so that the join has a plain exchange on either side and Spark can split a hot gram
-    twice = _stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    found = _stored(found.join(twice, "gram", "left_semi"))
+    twice = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
+    found = stored(found.join(twice, "gram", "left_semi"))
 
     same = found.groupBy("gram", "own", "extra", "place").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("least"), F.min(F.struct("d", "tag", "lo")).alias("first"))
-    same = _stored(same.select("gram", "own", "extra", "place", "n", "least", "first.d", "first.tag", "first.lo"))
+    same = stored(same.select("gram", "own", "extra", "place", "n", "least", "first.d", "first.tag", "first.lo"))
     large = same.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).filter(F.col("different") > group_limit).select("gram")
 
     texts = keyed.repartition("d", "tag")
