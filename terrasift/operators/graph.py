@@ -44,21 +44,20 @@ def shortest_paths(edges: DataFrame, start, rounds: int = 100) -> DataFrame:
 
     Each round relaxes the nodes whose distance fell in the round before; it ends when none did.
     """
-    spark = edges.sparkSession
-    steps = both_ways(edges.select("src", "dst", "weight")).cache()
+    steps = both_ways(edges.select("src", "dst", "weight")).persist()
     kind = edges.schema["src"].dataType.simpleString()
-    known = spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("previous"))
-    front = known
+    known = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("previous"), F.lit(True).alias("fresh"))
     for _ in range(rounds):
-        reached = front.join(steps, front["node"] == steps["src"]).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("previous"))
-        best = reached.groupBy("node").agg(F.min(F.struct("distance", "previous")).alias("b")).select("node", "b.*")
-        old = known.select("node", F.col("distance").alias("before"))
-        front = checkpointed(best.join(old, "node", "left").filter("before is null or distance < before").drop("before"))
-        if front.isEmpty():
+        reached = known.filter("fresh").join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("previous"), F.lit(False).alias("old"))
+        both = known.select("node", "distance", "previous", F.lit(True).alias("old")).unionByName(reached)
+        was = F.struct("distance", "previous")
+        best = both.groupBy("node").agg(F.min(F.when(~F.col("old"), was)).alias("new"), F.min(F.when(F.col("old"), was)).alias("was"))
+        fresh = F.col("new").isNotNull() & (F.col("was").isNull() | (F.col("new.distance") < F.col("was.distance")))
+        known = checkpointed(best.select("node", F.when(fresh, F.col("new")).otherwise(F.col("was")).alias("b"), fresh.alias("fresh")).select("node", "b.*", "fresh"))
+        if known.filter("fresh").isEmpty():
             break
-        known = checkpointed(known.join(front.select("node"), "node", "left_anti").unionByName(front))
     steps.unpersist()
-    return known
+    return known.drop("fresh")
 
 
 def path_to(paths: DataFrame, end, rounds: int = 10_000) -> list:
@@ -80,16 +79,15 @@ def chains(edges: DataFrame, boundary: DataFrame | None = None, rounds: int = 60
     """
     numbered = checkpointed(edges.withColumn("edge", F.xxhash64("src", "dst")))
     ends = numbered.select(F.explode(F.array("src", "dst")).alias("node"), "edge")
-    inner = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).filter("degree = 2").select("node")
+    inner = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("edge").alias("edge"), F.max("edge").alias("next")).filter("degree = 2")
     if boundary is not None:
         inner = inner.join(boundary.select("node"), "node", "left_anti")
-    joints = checkpointed(ends.join(inner, "node"))
-    label = checkpointed(numbered.select("edge", F.col("edge").alias("chain")))
+    near = inner.select("edge", "next")
+    near = checkpointed(near.unionByName(near.select(F.col("next").alias("edge"), F.col("edge").alias("next"))))
+    label = numbered.select("edge", F.col("edge").alias("chain"))
     for _ in range(rounds):
-        least = joints.join(label, "edge").groupBy("node").agg(F.min("chain").alias("least"))
-        offer = joints.join(least, "node").groupBy("edge").agg(F.min("least").alias("least"))
-        moved = label.join(offer, "edge", "left").select("edge", F.least("chain", F.coalesce("least", "chain")).alias("chain"), "chain")
-        moved = moved.toDF("edge", "chain", "before")
+        offer = near.join(label.withColumnRenamed("edge", "next"), "next").groupBy("edge").agg(F.min("chain").alias("least"))
+        moved = label.join(offer, "edge", "left").select("edge", F.least("chain", F.coalesce("least", "chain")).alias("chain"), F.col("chain").alias("before"))
         hop = moved.select(F.col("edge").alias("chain"), F.col("chain").alias("further"))  # follow the label once more
         moved = checkpointed(moved.join(hop, "chain", "left").select("edge", F.coalesce("further", "chain").alias("chain"), "before"))
         label = moved.select("edge", "chain")
