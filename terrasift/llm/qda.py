@@ -26,6 +26,7 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[32], _KIND[10], _KIND[128:] = 1, 2, 3, 4, 5, 10
 _KIND[[33, 35, 36, 37, 38, 40, 41, 42, 43, 45, 47, 58, 59, 60, 61, 62, 64, 91, 92, 93, 94, 95, 96, 123, 125, 126]] = 9
 _KIND[[44, 46, 63]], _KIND[33], _KIND[124] = 6, 7, 8
+PRIOR_BYTES, PRIOR_WORDS = 100, 20
 FEATURES = ("size", "upper", "digit", "line_end", "stop", "exclamation", "bar", "punctuation", "word_length", "distinct", "repeats")
 
 
@@ -33,13 +34,14 @@ def statistics(text: str | None) -> list[float]:
     data = (text or "").encode("utf-8", "surrogatepass")
     n = np.bincount(_KIND[np.frombuffer(data, np.uint8)], minlength=11)
     words = data.split()
-    count, total = len(words), max(len(data), 1)
-    letters = max(n[1] + n[2], 1)
-    again = sum(map(bytes.__eq__, words[1:], words)) / max(count - 1, 1)
+    count, total = len(words), len(data)
+    letters = n[1] + n[2]
+    again = sum(map(bytes.__eq__, words[1:], words))
     # different words grow about as a power of the text, so the logarithms' ratio hardly depends on its length
-    distinct = np.log1p(len(set(words))) / np.log1p(max(count, 1))
-    share = lambda x: float(np.sqrt(x / total))
-    return [float(np.log1p(total) / 10), float(np.sqrt(n[1] / letters)), share(n[3]), share(n[5]), share(n[6]), share(n[7]), share(n[8]), share(n[9]), float(np.log1p(total / max(count, 1)) / 3), float(distinct), float(np.sqrt(again))]
+    distinct = np.log1p(len(set(words)) + PRIOR_WORDS) / np.log1p(count + PRIOR_WORDS)
+    # shares are those of the text with PRIOR_BYTES or PRIOR_WORDS of plain prose added: a few characters prove little
+    share = lambda x, plain=0.0, of=total, more=PRIOR_BYTES: float(np.sqrt((x + plain * more) / (of + more)))
+    return [float(np.log1p(total) / 10), share(n[1], 0.02, letters), share(n[3]), share(n[5], 0.003), share(n[6], 0.02), share(n[7]), share(n[8]), share(n[9]), float(np.log((total + 6 * PRIOR_WORDS) / (count + PRIOR_WORDS)) / 3), float(distinct), share(again, 0.0, count, PRIOR_WORDS)]
 
 
 def _describe(batches):
