@@ -134,6 +134,19 @@ def largest_metros(metros: DataFrame, counties: DataFrame, tracts: DataFrame, n:
     return rows.agg(F.avg("risk_score").alias("avg_risk"), F.avg("risk_npctl").alias("avg_percentile"), F.median("eal_valt").alias("median_loss")).orderBy(F.col("population").desc_nulls_last(), "name").limit(n)
 
 
+def coverage(frames: dict[str, DataFrame]) -> DataFrame:
+    """measure, value: rows of each table, share of located sales, sales at and off market."""
+    sales = frames["sold_homes"]
+    out = [df.agg(F.lit(f"{name} rows").alias("measure"), F.count(F.lit(1)).cast("double").alias("value")) for name, df in frames.items()]
+    out.append(sales.agg(F.lit("share of sales with a tract").alias("measure"), F.avg(F.when(F.col("tract_fips").isNotNull(), 1.0).otherwise(0.0)).alias("value")))
+    for name, condition in (("at", S.is_true_or_null("is_arms_length")), ("off", ~S.is_true_or_null("is_arms_length"))):
+        out.append(sales.agg(F.lit(f"sales {name} market").alias("measure"), F.count_if(condition).cast("double").alias("value")))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def as_condition(conditions: list[Column]) -> Column:
     out = F.lit(False)
     for c in conditions:

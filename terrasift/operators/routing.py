@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..sources.lines import parsed_points
 from . import graph as G
-from .layers import hot_cells
+from .layers import corridor, hot_cells
 from .relational import floor_index_percentile
-from .spatial import exposure, snap
+from .spatial import exposure, overlaps, snap
 
 MILES_AN_HOUR = 10.0
 NEAREST_MILES = 0.05
@@ -33,10 +33,33 @@ class Route:
         return round(self.miles / MILES_AN_HOUR * 60, 1)
 
 
-def network(routes: DataFrame, city: str) -> DataFrame:
-    """Edges of a city's lines; nodes are coordinates to seven places, named ``x,y``."""
+def network(routes: DataFrame, city: str, cell: float = 0.01) -> DataFrame:
+    """Edges of a city's lines, split where they cross; nodes are coordinates to seven places, named ``x,y``."""
     lines = routes.filter(F.col("city") == city).select(parsed_points(F.col("geometry_json")).alias("points"))
-    return named(G.line_edges(lines, "points"))
+    return named(G.noded(G.line_edges(lines, "points"), cell))
+
+
+def facilities(routes: DataFrame, city: str, nodes: list[tuple[float, float]]) -> DataFrame:
+    """The different layers of a city whose lines come within the box of a route."""
+    xs, ys = zip(*nodes)
+    return routes.filter((F.col("city") == city) & overlaps(min(xs), min(ys), max(xs), max(ys))).select("layer_type", "layer_label").distinct().orderBy("layer_label")
+
+
+def analysis(routes: DataFrame, incidents: DataFrame, city: str, start: tuple[float, float], end: tuple[float, float], size: float = 0.0025, percent: float = 90) -> dict[str, DataFrame]:
+    """What a map of an avoidance shows in the corridor between two points: cells, hot cells, open and blocked edges."""
+    west, south, east, north = corridor(*start, *end)
+    cells = hot_cells(incidents, city, size)
+    threshold = floor_index_percentile(cells, "intensity", percent)
+    cells = cells.withColumns({"lon": F.col("i") * size, "lat": F.col("j") * size, "hot": F.col("intensity") >= F.lit(threshold)})
+    inside = cells.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north)).orderBy(F.col("intensity").desc(), "i", "j")
+    edges, a = with_stop(network(routes, city), *start)
+    edges, b = with_stop(edges, *end)
+    edges = G.checkpointed(edges.withColumn("edge_key", F.concat_ws("|", "src", "dst")))
+    stops = edges.sparkSession.createDataFrame([(a,), (b,)], "node string")
+    touched = G.chains(edges.join(exposure(edges, "edge_key", cells, size).select("edge_key", (F.col("hot_share") > 0).alias("hot")), "edge_key"), stops)
+    here = (F.greatest("src_x", "dst_x") >= west) & (F.least("src_x", "dst_x") <= east) & (F.greatest("src_y", "dst_y") >= south) & (F.least("src_y", "dst_y") <= north)
+    left = G.without_blocked(touched, F.col("hot"))
+    return {"cells": inside, "hot": inside.filter("hot"), "open": left.filter(here), "blocked": touched.join(left.select("edge_key"), "edge_key", "left_anti").filter(here)}
 
 
 def named(edges: DataFrame) -> DataFrame:

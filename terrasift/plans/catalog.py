@@ -73,3 +73,10 @@ def documents(spark: SparkSession) -> DataFrame:
     rows += [(f"join:{r.left}:{r.right}", f"{r.left}.{r.left_key} = {r.right}.{r.right_key} {r.cardinality} {r.note}") for r in RELATIONSHIPS]
     rows += [(f"term:{k}", f"{k} {' '.join(a)} means {c}") for k, (a, c) in GLOSSARY.items()]
     return spark.createDataFrame(rows, "id string, text string")
+
+
+def rendered(tables: list[str] | None = None) -> str:
+    """The visible tables, their columns and their joins, one to a line."""
+    chosen = tables or visible()
+    lines = [f"{t}({', '.join(f'{c} {k}' for c, k in SCHEMAS[t].items() if c != 'raw_json')})" for t in chosen]
+    return "\n".join(lines + [f"{r.left}.{r.left_key} = {r.right}.{r.right_key} ({r.cardinality})" for r in joins_for(set(chosen))])

@@ -70,3 +70,9 @@ def located(rows: DataFrame, cache: DataFrame, geocoder: Geocoder | None = None)
     fresh = F.col("lat").isNull() & F.col("_lat").isNotNull()
     out = out.withColumns({c: F.when(fresh, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("lat", "lon", "tract_fips", "geocode_source", "geocode_accuracy")} | {"geocode_status": F.when(fresh, "success").otherwise(F.col("geocode_status"))})
     return out.select(*rows.columns), cache
+
+
+def best_place(candidates: DataFrame, city: str) -> DataFrame:
+    """The candidate (display_name, importance, lat, lon) that names the city, then the most important."""
+    named = F.lower("display_name").contains(city.lower())
+    return candidates.orderBy(named.desc(), F.col("importance").desc_nulls_last(), "display_name").limit(1)

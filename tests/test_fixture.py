@@ -142,3 +142,10 @@ def test_documents(spark):
     assert store.count() == 2
     after = retrieval.replace_documents(store, spark.createDataFrame([("h2", "description", "c")], "entity string, doc_type string, text string"), "description")
     assert sorted(r["text"] for r in after.collect()) == ["a", "c"]
+
+
+def test_coverage_and_rendering(world):
+    got = {r["measure"]: r["value"] for r in homes.coverage({k: world[k] for k in ("houses", "sold_homes")}).collect()}
+    assert got["houses rows"] == 6 and got["sales off market"] == 1 and got["sales at market"] == 5 and round(got["share of sales with a tract"], 4) == round(5 / 6, 4)
+    text = catalog.rendered(["houses"])
+    assert "raw_json" not in text and "houses.tract_fips = nri_tracts.tract_fips" in text

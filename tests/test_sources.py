@@ -107,3 +107,25 @@ def test_lines_and_features(spark):
     assert [r["feature"] for r in f] == ['{"type":"Feature","geometry":{"type":"Point","coordinates":[1.0,2.0]},"properties":{"id":"h"}}']
     j = tabular.json_rows(spark.createDataFrame([(float("nan"), None)], "a double, b string")).first()["value"]
     assert j == '{"a":null,"b":null}'
+
+
+def test_shapefile(spark, tmp_path):
+    import struct
+
+    from terrasift.sources import shapefile
+
+    def record(n, kind, parts):
+        points = [p for part in parts for p in part]
+        body = struct.pack("<i4d2i", kind, 0, 0, 1, 1, len(parts), len(points)) + struct.pack(f"<{len(parts)}i", *[sum(map(len, parts[:i])) for i in range(len(parts))]) + b"".join(struct.pack("<2d", *p) for p in points) if kind else struct.pack("<i", 0)
+        return struct.pack(">2i", n, len(body) // 2) + body
+
+    (tmp_path / "roads.shp").write_bytes(bytes(100) + record(1, 3, [[(0, 0), (1, 1)], [(2, 2), (3, 3), (4, 4)]]) + record(2, 0, []) + record(3, 5, [[(0, 0), (1, 0), (0, 0)]]))
+    field = b"NAME".ljust(11, b"\0") + b"C" + bytes(4) + bytes([4]) + bytes(15)
+    (tmp_path / "roads.dbf").write_bytes(struct.pack("<4sIHH20x", b"\x03\x00\x00\x00", 3, 65, 5) + field + b"\r" + b" a   " + b" b   " + b"     ")
+    rows = sorted((r["record"], len(r["points"]), r["properties"]["NAME"]) for r in shapefile.read(spark, str(tmp_path)).collect())
+    assert rows == [(0, 2, "a"), (0, 3, "a"), (2, 3, None)]
+
+
+def test_best_place(spark):
+    df = spark.createDataFrame([("Park, Ohio", 0.9), ("Park, Pittsburgh", 0.2), ("Park, pittsburgh PA", 0.5)], "display_name string, importance double")
+    assert geocoding.best_place(df, "Pittsburgh").first()["importance"] == 0.5

@@ -124,3 +124,16 @@ def test_schemas_have_their_keys():
     from terrasift.sources.schema import KEYS
 
     assert all(k is None or k in SCHEMAS[t] for t, k in KEYS.items()) and len(SCHEMAS["nri_tracts"]) == 34 and len(SCHEMAS["sold_homes"]) == 36
+
+
+def test_noding(spark):
+    edges = spark.createDataFrame([(0.0, 0.0, 2.0, 2.0), (0.0, 2.0, 2.0, 0.0), (1.5, 0.0, 1.5, 1.5), (5.0, 5.0, 6.0, 5.0)], "src_x double, src_y double, dst_x double, dst_y double")
+    got = {(r["src_x"], r["src_y"], r["dst_x"], r["dst_y"]) for r in G.noded(edges, 0.7).collect()}
+    assert got == {(0.0, 0.0, 1.0, 1.0), (1.0, 1.0, 1.5, 1.5), (1.5, 1.5, 2.0, 2.0), (0.0, 2.0, 1.0, 1.0), (1.0, 1.0, 1.5, 0.5), (1.5, 0.5, 2.0, 0.0), (1.5, 0.0, 1.5, 0.5), (1.5, 0.5, 1.5, 1.5), (5.0, 5.0, 6.0, 5.0)}
+
+
+def test_avoidance_view(spark, routes):
+    hot = incident(spark, [(-79.99, 40.4, 9.0)] * 20 + [(-79.5, 40.0 + i / 100, 1.0) for i in range(30)])
+    view = routing.analysis(routes, hot, "pittsburgh", (-80.0, 40.4), (-79.96, 40.41), percent=99)
+    assert view["hot"].count() == 1 and view["blocked"].count() >= 2 and view["open"].count() >= 2
+    assert [r["layer_type"] for r in routing.facilities(routes, "pittsburgh", [(-80.0, 40.399), (-79.99, 40.401)]).collect()] == ["bike_lanes", "sharrows", "trails"]
