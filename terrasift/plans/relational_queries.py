@@ -30,8 +30,9 @@ def money(c) -> F.Column:
     return F.sum(S.col(c).cast("decimal(18,2)")).cast("double")
 
 
-def mean(c, digits: int = 4) -> F.Column:
-    return F.round(F.avg(S.col(c)), digits)
+def mean(c) -> F.Column:
+    """The exact sum over the count: neither the order of the rows nor rounding of ties decides a digit."""
+    return money(c) / F.count(S.col(c))
 
 
 # scans, filters, projections
@@ -87,12 +88,12 @@ _PROFILED = ("value", "k", "late_value")
 
 
 @query("""WITH e AS (SELECT value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CASE WHEN event_type = 'purchase' THEN value END AS late_value FROM events)
-SELECT 'value' AS column_name, count(*) AS total, count(value) AS non_null, count(*) - count(value) AS missing, round(avg(value), 4) AS mean FROM e
-UNION ALL SELECT 'k', count(*), count(k), count(*) - count(k), round(avg(k), 4) FROM e
-UNION ALL SELECT 'late_value', count(*), count(late_value), count(*) - count(late_value), round(avg(late_value), 4) FROM e""")
+SELECT 'value' AS column_name, count(*) AS total, count(value) AS non_null, count(*) - count(value) AS missing, round(avg(value), 6) AS mean FROM e
+UNION ALL SELECT 'k', count(*), count(k), count(*) - count(k), round(avg(k), 6) FROM e
+UNION ALL SELECT 'late_value', count(*), count(late_value), count(*) - count(late_value), round(avg(late_value), 6) FROM e""")
 def null_profile(spark, d):
     rows = table(spark, d, "events").select("value", F.get_json_object("props", "$.k").cast("double").alias("k"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("late_value"))
-    return R.null_profile(rows, _PROFILED).withColumn("mean", F.round("mean", 4))
+    return R.null_profile(rows, _PROFILED).withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
@@ -117,7 +118,7 @@ def left_chain_enrich(spark, d):
 
 @query("""WITH bridge AS (SELECT r_name, lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS state, lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS county FROM region JOIN nation ON r_regionkey = n_regionkey),
 tract AS (SELECT c_acctbal, lpad(CAST(n_regionkey AS VARCHAR), 2, '0') || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS county_fips FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT r_name AS metro, count(*) AS tracts, round(avg(c_acctbal), 4) AS mean_risk FROM bridge JOIN tract ON state || county = county_fips GROUP BY r_name""")
+SELECT r_name AS metro, count(*) AS tracts, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(c_acctbal) AS mean_risk FROM bridge JOIN tract ON state || county = county_fips GROUP BY r_name""")
 def bridge_concat_key(spark, d):
     n = table(spark, d, "nation")
     bridge = table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", S.zero_pad("n_regionkey", 2).alias("state"), S.zero_pad("n_nationkey", 3).alias("county"))
@@ -211,20 +212,20 @@ def count_family(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("l_discount") > 0.05, F.col("l_discount"))).alias("discounted"), F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("l_partkey").alias("parts"))
 
 
-@query("""SELECT o_orderpriority, round(median(o_totalprice), 4) AS median_price, round(median(o_totalprice / nullif(o_custkey % 10, 0)), 4) AS median_ratio, min(o_totalprice) AS low, max(o_totalprice) AS high,
+@query("""SELECT o_orderpriority, round(median(o_totalprice), 4) AS median_price, round(median(o_totalprice / nullif(o_custkey % 10, 0)), 6) AS median_ratio, min(o_totalprice) AS low, max(o_totalprice) AS high,
 count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM orders GROUP BY 1""")
 def median_stats(spark, d):
     ratio = F.col("o_totalprice") / F.nullif(F.col("o_custkey") % 10, F.lit(0))
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 4).alias("median_price"), F.round(F.median(ratio), 4).alias("median_ratio"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 4).alias("median_price"), F.round(F.median(ratio), 6).alias("median_ratio"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
 
 
-@query("""SELECT * FROM (SELECT count(*) AS list_count, round(avg(c_acctbal), 4) AS list_mean, min(c_acctbal) AS list_low, max(c_acctbal) AS list_high, round(median(c_acctbal), 4) AS list_median FROM customer WHERE c_acctbal > 0),
-(SELECT count(*) AS sold_count, round(avg(o_totalprice), 4) AS sold_mean, round(median(o_totalprice / nullif(o_custkey % 7, 0)), 4) AS sold_median_unit FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'F')""")
+@query("""SELECT * FROM (SELECT count(*) AS list_count, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(c_acctbal) AS list_mean, min(c_acctbal) AS list_low, max(c_acctbal) AS list_high, round(median(c_acctbal), 4) AS list_median FROM customer WHERE c_acctbal > 0),
+(SELECT count(*) AS sold_count, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS sold_mean, round(median(o_totalprice / nullif(o_custkey % 7, 0)), 6) AS sold_median_unit FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'F')""")
 def price_stats_merge(spark, d):
     """Two tables of one row side by side."""
     a = table(spark, d, "customer").filter("c_acctbal > 0").agg(F.count(F.lit(1)).alias("list_count"), mean("c_acctbal").alias("list_mean"), F.min("c_acctbal").alias("list_low"), F.max("c_acctbal").alias("list_high"), F.round(F.median("c_acctbal"), 4).alias("list_median"))
     unit = F.col("o_totalprice") / F.nullif(F.col("o_custkey") % 7, F.lit(0))
-    b = table(spark, d, "orders").filter("o_totalprice > 1000 and o_orderstatus <> 'F'").agg(F.count(F.lit(1)).alias("sold_count"), mean("o_totalprice").alias("sold_mean"), F.round(F.median(unit), 4).alias("sold_median_unit"))
+    b = table(spark, d, "orders").filter("o_totalprice > 1000 and o_orderstatus <> 'F'").agg(F.count(F.lit(1)).alias("sold_count"), mean("o_totalprice").alias("sold_mean"), F.round(F.median(unit), 6).alias("sold_median_unit"))
     return a.join(F.broadcast(b))
 
 
@@ -234,7 +235,7 @@ def group_two_keys(spark, d):
 
 
 @query("""WITH universe AS (SELECT n_nationkey, n_name, count(*) AS population FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL ORDER BY population DESC, n_name LIMIT 20),
-measured AS (SELECT u.n_nationkey, round(avg(o_totalprice), 4) AS metric_value FROM universe u JOIN customer ON c_nationkey = u.n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_totalprice IS NOT NULL GROUP BY 1)
+measured AS (SELECT u.n_nationkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS metric_value FROM universe u JOIN customer ON c_nationkey = u.n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_totalprice IS NOT NULL GROUP BY 1)
 SELECT u.n_name AS metro, u.population, m.metric_value FROM universe u JOIN measured m USING (n_nationkey) ORDER BY metric_value, metro LIMIT 10""")
 def universe_then_metric(spark, d):
     """The flagship: rank the largest metros by a metric of their finest-grained facts."""
@@ -246,14 +247,14 @@ def universe_then_metric(spark, d):
     return found.select("metro", "population", "metric_value")
 
 
-@query("""SELECT n_name, count(*) AS customers, round(avg(c_acctbal), 4) AS mean_balance, round(median(c_acctbal), 4) AS median_balance FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY customers DESC, n_name LIMIT 15""")
+@query("""SELECT n_name, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(c_acctbal) AS mean_balance, round(median(c_acctbal), 4) AS median_balance FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY customers DESC, n_name LIMIT 15""")
 def top_entities_with_stats(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name")
     return rows.agg(F.count(F.lit(1)).alias("customers"), mean("c_acctbal").alias("mean_balance"), F.round(F.median("c_acctbal"), 4).alias("median_balance")).orderBy(F.col("customers").desc(), "n_name").limit(15)
 
 
 @query("""WITH a AS (SELECT r_regionkey, r_name, count(*) AS population FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
-b AS (SELECT n_regionkey AS r_regionkey, round(avg(s_acctbal), 4) AS risk FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 0 GROUP BY 1) SELECT r_name, population, risk FROM a JOIN b USING (r_regionkey)""")
+b AS (SELECT n_regionkey AS r_regionkey, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(s_acctbal) AS risk FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 0 GROUP BY 1) SELECT r_name, population, risk FROM a JOIN b USING (r_regionkey)""")
 def tradeoff_two_metrics(spark, d):
     n = table(spark, d, "nation")
     a = n.join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("population"))
