@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, durable, id_and_text, ship
+from .common import SPACES, durable, id_and_text, ship, stored
 
 _CHUNK = 1 << 16
 
@@ -102,7 +102,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = norm.select("doc_id", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), maybe_repeated(F.xxhash64("norm")).alias("maybe"))
     keyed = durable(keyed)
     maybe = keyed.filter("maybe").select("doc_id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written first, so that the join has a plain exchange on either side and Spark can split a large group
+    groups = stored(maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     settled = maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     alone = keyed.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return settled.unionByName(alone)
