@@ -235,7 +235,7 @@ def repeats(docs: DataFrame, kind: Kind, judge, other_document: bool, id_col: st
 
     same = found.groupBy("gram", "own", "extra", "place").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("least"), F.min(F.struct("d", "tag", "lo")).alias("first"))
     same = stored(same.select("gram", "own", "extra", "place", "n", "least", "first.d", "first.tag", "first.lo"))
-    large = same.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).filter(F.col("different") > group_limit).select("gram")
+    large = stored(same.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).filter(F.col("different") > group_limit).select("gram"))
 
     texts = keyed.repartition("d", "tag")
 
@@ -247,11 +247,13 @@ def repeats(docs: DataFrame, kind: Kind, judge, other_document: bool, id_col: st
     cut = small.mapInArrow(_cut(kind), "gram bigint, own bigint, n bigint, least bigint, extra smallint, place smallint, piece binary")
     told = cut.repartition("gram").sortWithinPartitions("gram", "own").mapInArrow(_judged(judge, chunk_bytes), _VERDICT)
 
-    each = with_texts(same.join(large, "gram", "left_semi")).mapInArrow(_each_window(kind), "window bigint, gram bigint, own bigint, off int, n bigint, least bigint")
-    counted = each.groupBy("gram", "window").agg(F.sum("n").alias("total"), F.min("least").alias("least")).filter("total > 1")
-    split = each.drop("n", "least").join(counted, ["gram", "window"]).select("gram", "own", F.array(F.struct("off", F.lit(1).alias("len"), "least")).alias("runs"))
+    if not large.isEmpty():
+        each = with_texts(same.join(large, "gram", "left_semi")).mapInArrow(_each_window(kind), "window bigint, gram bigint, own bigint, off int, n bigint, least bigint")
+        counted = each.groupBy("gram", "window").agg(F.sum("n").alias("total"), F.min("least").alias("least")).filter("total > 1")
+        split = each.drop("n", "least").join(counted, ["gram", "window"]).select("gram", "own", F.array(F.struct("off", F.lit(1).alias("len"), "least")).alias("runs"))
+        told = told.unionByName(split)
 
-    hits = found.join(told.unionByName(split), ["gram", "own"]).select("d", "tag", "lo", F.explode("runs").alias("run"))
+    hits = found.join(told, ["gram", "own"]).select("d", "tag", "lo", F.explode("runs").alias("run"))
     if other_document:
         hits = hits.filter("run.least < d")
     start = F.col("lo") + F.col("run.off")
