@@ -142,7 +142,9 @@ class LanguageModel:
         chosen = low.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= texts_per_language).select("doc_id", "lang").distinct()
         sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # bounded by the languages times texts_per_language
         split = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{MAX_WORD}}}"), 0))
-        counted = sample.select("lang", split.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).cast("double").alias("n")).persist()
+        counted = sample.select("lang", split.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        # words are few bytes but much work: left alone, Spark would put them into one task
+        counted = counted.repartition(max(8, spark.sparkContext.defaultParallelism)).persist()
         languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
         start = {p: (1 / max(1, len(vocabulary)),) * len(languages) for p in vocabulary}
         model = cls(languages, start)
