@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.llm import bloom_dedup, bpe, decontam, langid, simhash
-from terrasift.llm.common import table
+from terrasift.llm.common import stored, table
 from terrasift.llm.queries import BPE_RANKS, PIECES, held_out
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose ids are not in ``gone``; rows with a null id stay."""
-    return docs.join(gone.select(F.col("doc_id").alias("gone_id")).distinct(), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The documents whose ids are not in ``gone``; rows with a null id stay.
+
+    The ids are written first: their size is then known, so few of them are broadcast and the texts stay where they are.
+    """
+    gone = stored(gone.select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
