@@ -166,3 +166,24 @@ def edge_exposure(spark, d):
     ax, ay = (F.col("s_suppkey") % 40).cast("double"), (F.col("s_suppkey") % 5).cast("double")
     edges = table(spark, d, "supplier").select("s_suppkey", ax.alias("src_x"), ay.alias("src_y"), (ax + 10).alias("dst_x"), (ay + 2).alias("dst_y"))
     return P.exposure(edges, "s_suppkey", cells, 5.0).drop("hot_share")
+
+
+@query("""SELECT DISTINCT l_returnflag AS layer_type, l_linestatus AS layer_label FROM (SELECT l_returnflag, l_linestatus, min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS e
+FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linestatus) WHERE a <= 12 AND b >= 10 AND c <= 11000 AND e >= 10000""")
+def facilities_near_route(spark, d):
+    boxes = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.min("l_quantity").alias("min_lon"), F.max("l_quantity").alias("max_lon"), F.min("l_extendedprice").alias("min_lat"), F.max("l_extendedprice").alias("max_lat"))
+    return boxes.filter(P.overlaps(10.0, 10000.0, 12.0, 11000.0)).select(F.col("l_returnflag").alias("layer_type"), F.col("l_linestatus").alias("layer_label")).distinct()
+
+
+@query("""WITH e AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS ax, p_retailprice / 100 AS ay FROM part), f AS (SELECT s_suppkey, CAST(s_suppkey % 50 AS DOUBLE) AS cx, s_acctbal / 500 AS cy FROM supplier),
+t AS (SELECT p_partkey, s_suppkey, ((cx - ax) * 5.0 - (cy - ay) * 1.0) / (4.0 * 5.0 - 3.0 * 1.0) AS t, ((cx - ax) * 3.0 - (cy - ay) * 4.0) / (4.0 * 5.0 - 3.0 * 1.0) AS u FROM e, f)
+SELECT p_partkey, count(*) AS crossings FROM t WHERE t > 0 AND t < 1 AND u >= 0 AND u <= 1 GROUP BY 1""")
+def line_crossings(spark, d):
+    """Two families of parallel lines: how many of the other a line crosses; lines meet in grid cells."""
+    a = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("ax"), (F.col("p_retailprice") / 100).alias("ay"))
+    b = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).cast("double").alias("cx"), (F.col("s_acctbal") / 500).alias("cy"))
+    cells = lambda x, y, w, h: F.explode(F.flatten(F.transform(F.sequence(F.floor(x / 4).cast("bigint"), F.floor((x + w) / 4).cast("bigint")), lambda i: F.transform(F.sequence(F.floor(y / 4).cast("bigint"), F.floor((y + h) / 4).cast("bigint")), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
+    met = a.withColumn("cell", cells(F.col("ax"), F.col("ay"), 4, 3)).join(b.withColumn("cell", cells(F.col("cx"), F.col("cy"), 1, 5)), "cell")
+    px, py = F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
+    hits = met.filter((((px * 5.0 - py) / 17.0) > 0) & (((px * 5.0 - py) / 17.0) < 1) & (((px * 3.0 - py * 4.0) / 17.0) >= 0) & (((px * 3.0 - py * 4.0) / 17.0) <= 1))
+    return hits.select("p_partkey", "s_suppkey").distinct().groupBy("p_partkey").agg(F.count(F.lit(1)).alias("crossings"))

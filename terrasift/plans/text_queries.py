@@ -246,3 +246,24 @@ def document_ids(spark, d):
 def change_since_first(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") - F.first("o_totalprice").over(w), 2).alias("since_first"), F.count(F.lit(1)).over(w).alias("nth"))
+
+
+_TABLES = ("customer", "orders", "part", "supplier")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _TABLES))
+def table_counts(spark, d):
+    from .catalog import availability
+
+    return availability(spark, {t: table(spark, d, t) for t in _TABLES}).select(F.col("table").alias("table_name"), F.col("rows").alias("n"))
+
+
+@query("""WITH m AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name || '--Río Grande, NM Metro Area' WHEN 1 THEN ' ' || p_name || '-' || p_brand || ',  NY-NJ micro area' ELSE p_name END AS x FROM part),
+n AS (SELECT p_partkey, lower(strip_accents(trim(regexp_replace(regexp_replace(regexp_replace(trim(x), '(?i)\\s+(Metro|Micro)\\s+Area$', ''), '-{2,}', '-', 'g'), '\\s+', ' ', 'g')))) AS norm FROM m),
+p AS (SELECT p_partkey, norm, regexp_extract(norm, '^(.*),\\s*([a-z]{2}(?:-[a-z]{2})*)$', 1) AS c, regexp_extract(norm, '^(.*),\\s*([a-z]{2}(?:-[a-z]{2})*)$', 2) AS s FROM n)
+SELECT p_partkey, norm, CASE WHEN s <> '' THEN trim(split_part(c, '-', 1)) ELSE norm END AS city, split_part(s, '-', 1) AS state FROM p""")
+def metro_names(spark, d):
+    size = F.col("p_size") % 3
+    text = F.when(size == 0, F.concat("p_name", F.lit("--Río Grande, NM Metro Area"))).when(size == 1, F.concat(F.lit(" "), "p_name", F.lit("-"), "p_brand", F.lit(",  NY-NJ micro area"))).otherwise(F.col("p_name"))
+    rows = table(spark, d, "part").select("p_partkey", N.metro(text).alias("norm"))
+    return rows.select("p_partkey", "norm", N.first_city("norm").alias("city"), N.first_state("norm").alias("state"))
