@@ -25,7 +25,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     The ids are written first: their size is then known, so few of them are broadcast and the texts stay where they are.
     """
     gone = stored(gone.select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
