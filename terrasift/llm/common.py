@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the contracts write it.
 SPACES = r"[\x20\x09-\x0D]+"
 
+TEXTS_AT_ONCE = 1000
 _shipped: set[str] = set()
 
 
@@ -43,10 +44,16 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so tasks can import it on any executor."""
+    """Send this package to the Python workers once per application, so tasks can import it on any executor.
+
+    Also lowers the session's Arrow batches to TEXTS_AT_ONCE rows: rows are whole texts here, and Spark's own limit
+    would hold tens of megabytes of them several times over in each task.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXTS_AT_ONCE:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
     root = os.path.dirname(os.path.abspath(terrasift.__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "terrasift.zip")
     with zipfile.ZipFile(archive, "w") as z:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import id_and_text, ship
 
 MAX_WORD = 48
-_KNOWN = 250_000  # words that a task keeps
-_AT_ONCE = 200_000  # words scored together
+_KNOWN = 150_000  # words that a task keeps
+_AT_ONCE = 100_000  # words scored together
 _FLOOR = 1e-9  # of a character that is no piece
 _letters = regex.compile(r"\p{L}+").findall
 

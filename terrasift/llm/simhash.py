@@ -27,7 +27,7 @@ from .common import durable, id_and_text, ship
 
 RADIUS = 2
 _LANES = np.uint64(0x0101010101010101)
-_AT_ONCE = 1_000_000
+_AT_ONCE = 250_000
 
 
 def _signed(x: int) -> int:
