@@ -166,7 +166,8 @@ def test_bpe(spark, odd, none, library):
     rows = codec.decode(codec.encode(odd)).collect()
     wanted = Counter((i, tuple(library[0].encode_ordinary(t or "")), (t or "").encode()) for i, t, *_ in ODD)
     assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["data"])) for r in rows) == wanted
-    assert codec.decode(codec.encode(none)).count() == 0
+    assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["data"])) for r in codec.recode(odd).collect()) == wanted
+    assert codec.decode(codec.encode(none)).count() == 0 == codec.recode(none).count()
 
 
 @settings(max_examples=200, deadline=None)
