@@ -52,7 +52,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the ids decode to the text."""
     codec = bpe.Codec(spark, BPE_RANKS, public_tokenizers.PATTERN)
-    found = codec.decode(codec.encode(docs))
+    found = codec.recode(docs)
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("data", 256).alias("decoded_sha256"))
 
 
