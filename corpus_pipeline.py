@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import bloom_dedup, bpe, decontam, langid, simhash
+from terrasift.llm import bloom_dedup, bpe, decontam, jaccard, langid
 from terrasift.llm.common import stored, table
 from terrasift.llm.queries import BPE_RANKS, PIECES, held_out
 
@@ -40,8 +40,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return _without(docs, simhash.near_dedup(docs).filter("doc_id != component_id"))
+    """Of each group of near copies (shingles of five words, similarity 0.8 or more) the document with the smallest id stays."""
+    return _without(docs, jaccard.near_copies(docs, words=5, similarity=0.8).filter("doc_id != component_id"))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
