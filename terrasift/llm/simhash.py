@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import durable, id_and_text, ship
 
 RADIUS = 2
@@ -110,26 +111,6 @@ def links(fps: DataFrame) -> DataFrame:
     return value.filter(F.size("nodes") > 1).select(F.explode("nodes").alias("a"), "b").filter("a != b").distinct()
 
 
-def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) for every node that is not the smallest of its component, b being that smallest node.
-
-    ``pairs``: links (a, b), a > b. Large and small star contractions take turns; each round is one checkpoint.
-    """
-    pairs, before = durable(pairs), None
-    for _ in range(max_rounds):
-        now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before or not now[0]:
-            return pairs
-        before = now
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint, component_id."""
     marked = durable(fingerprints(docs, id_col, text_col, words))

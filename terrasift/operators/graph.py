@@ -95,28 +95,38 @@ def path_to(paths: DataFrame, end, rounds: int = 10_000) -> list:
     return out[::-1]
 
 
-def chains(edges: DataFrame, boundary: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(a, b) for every node that is not the smallest of its component, b being that smallest node.
+
+    ``pairs``: links (a, b), a > b. Large and small star contractions take turns; each round is one checkpoint.
+    """
+    pairs, before = checkpointed(pairs), None
+    for _ in range(max_rounds):
+        now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == before or not now[0]:
+            return pairs
+        before = now
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+    raise RuntimeError(f"components not settled after {max_rounds} rounds")
+
+
+def chains(edges: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
     """Adds ``chain`` to undirected edges: edges that meet at a node of degree two, not in ``boundary``, share one.
 
-    The label is the smallest edge number of the chain; labels spread through such nodes until none changes.
+    The label is the smallest edge number of the chain; ``components`` finds it, whatever the chain's length.
     """
     numbered = checkpointed(edges.withColumn("edge", F.xxhash64("src", "dst")))
     ends = numbered.select(F.explode(F.array("src", "dst")).alias("node"), "edge")
-    inner = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("edge").alias("edge"), F.max("edge").alias("next")).filter("degree = 2")
+    inner = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.max("edge").alias("a"), F.min("edge").alias("b")).filter("degree = 2 and a != b")
     if boundary is not None:
         inner = inner.join(boundary.select("node"), "node", "left_anti")
-    near = inner.select("edge", "next")
-    near = checkpointed(near.unionByName(near.select(F.col("next").alias("edge"), F.col("edge").alias("next"))))
-    label = numbered.select("edge", F.col("edge").alias("chain"))
-    for _ in range(rounds):
-        offer = near.join(label.withColumnRenamed("edge", "next"), "next").groupBy("edge").agg(F.min("chain").alias("least"))
-        moved = label.join(offer, "edge", "left").select("edge", F.least("chain", F.coalesce("least", "chain")).alias("chain"), F.col("chain").alias("before"))
-        hop = moved.select(F.col("edge").alias("chain"), F.col("chain").alias("further"))  # follow the label once more
-        moved = checkpointed(moved.join(hop, "chain", "left").select("edge", F.coalesce("further", "chain").alias("chain"), "before"))
-        label = moved.select("edge", "chain")
-        if moved.filter("chain != before").isEmpty():
-            break
-    return numbered.join(label, "edge").drop("edge")
+    label = components(inner.select("a", "b").distinct()).select(F.col("a").alias("edge"), F.col("b").alias("chain"))
+    return numbered.join(label, "edge", "left").withColumn("chain", F.coalesce("chain", "edge")).drop("edge")
 
 
 def without_blocked(chained: DataFrame, blocked: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,15 @@ def test_shortest_paths_equal_dijkstra(spark):
     assert path[0] == start and path[-1] == end and G.path_to(paths, 99) == []
 
 
+def test_a_long_chain_is_one(spark):
+    rng = random.Random(4)
+    names = rng.sample(range(10**6), 3001)
+    df = spark.createDataFrame([(min(e), max(e), i == 1500) for i, e in enumerate(zip(names, names[1:]))], "src bigint, dst bigint, hot boolean")
+    chained = G.chains(df).cache()
+    assert chained.count() == 3000 and chained.select("chain").distinct().count() == 1
+    assert G.without_blocked(chained, F.col("hot")).count() == 0
+
+
 def test_chains(spark):
     df = spark.createDataFrame([(1, 2, False), (2, 3, True), (3, 4, False), (4, 5, False), (4, 6, False), (7, 8, False), (8, 9, False), (7, 9, True)], "src int, dst int, hot boolean")
     chained = G.chains(df)
