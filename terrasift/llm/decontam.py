@@ -8,7 +8,9 @@ can't reach the threshold are skipped at once for all passages of a document. In
 over the posting lists from pivot to pivot. What is retrieved is verified by word shingles: shares of the question's
 and of the answer's shingles that the passage holds.
 
-The index is bounded: items are taken ``shard_items`` at a time, and each shard is one pass over the documents.
+The index is bounded: items are taken ``shard_items`` at a time, and each shard is one pass over the documents. What
+depends on other items (document frequencies, the number, mean and greatest length of the items) is counted over the
+whole benchmark first, so scores and passages don't depend on which items share a shard.
 
 Defined results: an item's answer is its last sentence, its question what is before (an item of one sentence is cut
 in half); null or wordless items match nothing, null or wordless documents match nothing; repeated documents give
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from dataclasses import dataclass
 from itertools import islice, repeat
 
 import numpy as np
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship
+from .common import id_and_text, ship, stored
 
 _BLOCK = 4
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -46,30 +50,48 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return question, answer
 
 
+@dataclass
+class Totals:
+    """Of all items of a benchmark that have words: their number, the sum and the greatest of their lengths, and how
+    many hold each word. An index needs ``df`` for the words of its own items only."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
+def item_words(text: str | None) -> list[str]:
+    question, answer = question_and_answer(text or "")
+    return question + answer
+
+
 class ItemIndex:
-    """BM25 inverted index of test items with block maxima. ``items``: (item_id, text) pairs."""
+    """BM25 inverted index of test items with block maxima. ``items``: (item_id, text) pairs; ``totals``: of the whole
+    benchmark, by default of these items."""
 
-    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, totals: Totals | None = None):
         parts = [(i, *question_and_answer(text)) for i, text in items if text and _words(text)]
         tokens = [q + a for _, q, a in parts]
+        if totals is None:
+            totals = Totals(len(tokens), sum(map(len, tokens)), max(map(len, tokens), default=0), Counter(w for t in tokens for w in set(t)))
         self.items = [i for i, _, _ in parts]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for t in tokens for w in t}))}
-        self.longest = max(map(len, tokens), default=0)
+        self.longest = totals.longest
         number = self.vocabulary.__getitem__
         self.parts = [(shingles(list(map(number, q))), shingles(list(map(number, a)))) for _, q, a in parts]
         counts = [{} for _ in tokens]
-        df = np.zeros(len(self.vocabulary))
+        df = np.array([totals.df[w] for w in self.vocabulary], float)
         for own, t in zip(counts, tokens):
             for w in map(number, t):
                 own[w] = own.get(w, 0) + 1
-            df[list(own)] += 1
-        idf = np.log1p((len(tokens) - df + 0.5) / (df + 0.5))
-        mean = sum(map(len, tokens)) / max(1, len(tokens))
+        idf = np.log1p((totals.items - df + 0.5) / (df + 0.5))
+        mean = totals.words / max(1, totals.items)
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
         self.maxima = np.zeros((len(self.vocabulary) + 1, -(-len(tokens) // _BLOCK)), np.float32)
         for item, (own, t) in enumerate(zip(counts, tokens)):
             weight = {w: float(idf[w]) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(t) / mean)) for w, n in own.items()}
-            full = sum(weight.values())
+            full = math.fsum(weight.values())
             for w, x in weight.items():
                 self.postings[w].append((item, x / full))
                 self.maxima[w, item // _BLOCK] = max(self.maxima[w, item // _BLOCK], x / full)
@@ -145,10 +167,27 @@ class ItemIndex:
         return len(part & held) / len(part)
 
 
+def _counted(batches):
+    for b in batches:
+        found = [item_words(text.as_py()) for text in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, found), pa.int64()), pa.array(map(lambda t: list(set(t)), found), pa.list_(pa.string()))], ["doc_id", "text", "n", "words"])
+
+
 def _shards(items: DataFrame, size: int):
-    rows = ((r["doc_id"], r["text"]) for r in items.toLocalIterator())
+    """Lists of (item_id, text) with the totals over all items; the words' counts come for one shard at a time."""
+    counted = stored(items.mapInArrow(_counted, "doc_id bigint, text string, n bigint, words array<string>").filter("n > 0"))
+    number, words, longest = counted.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    if not number:
+        return
+    df = stored(counted.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")))
+    rows = counted.select("doc_id", "text", "words").toLocalIterator()
     while shard := list(islice(rows, size)):
-        yield shard
+        own = {w for r in shard for w in r["words"]}
+        if number <= size:
+            found = df
+        else:
+            found = df.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in own], "w string")), "w")
+        yield [(r["doc_id"], r["text"]) for r in shard], Totals(number, words, longest, {r["w"]: r["df"] for r in found.toLocalIterator()})
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.6, overlap: float = 0.8, shard_items: int = 4096) -> DataFrame:
@@ -156,10 +195,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     ship(spark)
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("bigint"), "text")
+    items = id_and_text(benchmark, item_col, "text").select(F.col("doc_id").cast("bigint"), "text")
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     out = None
-    for shard in _shards(id_and_text(benchmark, item_col, "text"), shard_items):
-        index = spark.sparkContext.broadcast(ItemIndex(shard))
+    for shard, totals in _shards(items, shard_items):
+        index = spark.sparkContext.broadcast(ItemIndex(shard, totals=totals))
         found = rows.mapInArrow(_search(index, threshold, overlap), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out

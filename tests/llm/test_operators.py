@@ -386,6 +386,18 @@ def test_leaks(spark, odd, none):
     assert decontam.leaks(none, same).count() == 0 and decontam.leaks(odd, same.limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_shards_or_order(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(words_of(rng, rng.randrange(6, 60), 90)) + ". " + " ".join(words_of(rng, rng.randrange(1, 12), 90)) + ".") for i in range(24)]
+    texts = [(i, " ".join([*words_of(rng, 50, 90), *[w for w in items[i][1].split() if rng.random() < 0.97], *words_of(rng, 50, 90)])) for i in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").cache()
+    found = []
+    for size, order in [(100, items), (3, items), (5, items[::-1]), (24, rng.sample(items, 24))]:
+        rows = decontam.leaks(docs, spark.createDataFrame(order, "item_id bigint, text string").coalesce(1), overlap=0.2, shard_items=size).collect()
+        found.append(sorted((r["doc_id"], r["item_id"], round(r["score"], 9), round(r["question_overlap"], 9)) for r in rows))
+    assert found[0] and all(f == found[0] for f in found)
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(9)
     index = decontam.ItemIndex([(i, " ".join(words_of(rng, rng.randrange(3, 30), 30))) for i in range(50)])
