@@ -62,15 +62,17 @@ def noded(edges: DataFrame, cell: float) -> DataFrame:
     return flat.filter("src_x != dst_x or src_y != dst_y").withColumn("miles", S.miles("src_y", "src_x", "dst_y", "dst_x"))
 
 
-def shortest_paths(edges: DataFrame, start, rounds: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, start, rounds: int | None = None) -> DataFrame:
     """node, distance, previous: from ``start`` to every node it reaches. ``edges``: src, dst, weight, undirected.
 
-    Each round relaxes the nodes whose distance fell in the round before; it ends when none did.
+    Each round relaxes the nodes whose distance fell in the round before; it ends when none did. That takes at most as
+    many rounds as there are nodes, unless a cycle has a negative sum; it raises beyond that, or beyond ``rounds``.
     """
     steps = both_ways(edges.select("src", "dst", "weight")).persist()
     kind = edges.schema["src"].dataType.simpleString()
     known = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("previous"), F.lit(True).alias("fresh"))
-    for _ in range(rounds):
+    most = rounds if rounds is not None else steps.select("src").distinct().count() + 1
+    for _ in range(most):
         reached = known.filter("fresh").join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("previous"), F.lit(False).alias("old"))
         both = known.select("node", "distance", "previous", F.lit(True).alias("old")).unionByName(reached)
         was = F.struct("distance", "previous")
@@ -78,9 +80,10 @@ def shortest_paths(edges: DataFrame, start, rounds: int = 100) -> DataFrame:
         fresh = F.col("new").isNotNull() & (F.col("was").isNull() | (F.col("new.distance") < F.col("was.distance")))
         known = checkpointed(best.select("node", F.when(fresh, F.col("new")).otherwise(F.col("was")).alias("b"), fresh.alias("fresh")).select("node", "b.*", "fresh"))
         if known.filter("fresh").isEmpty():
-            break
+            steps.unpersist()
+            return known.drop("fresh")
     steps.unpersist()
-    return known.drop("fresh")
+    raise RuntimeError(f"shortest paths not settled after {most} rounds")
 
 
 def path_to(paths: DataFrame, end, rounds: int = 10_000) -> list:

@@ -91,7 +91,7 @@ def unblocked(edges: DataFrame, incidents: DataFrame, city: str, size: float, pe
     return left, edges.count() - left.count()
 
 
-def route(routes: DataFrame, city: str, start: tuple[float, float], end: tuple[float, float], incidents: DataFrame | None = None, size: float = 0.0025, percent: float = 90, rounds: int = 1000) -> Route:
+def route(routes: DataFrame, city: str, start: tuple[float, float], end: tuple[float, float], incidents: DataFrame | None = None, size: float = 0.0025, percent: float = 90, rounds: int | None = None) -> Route:
     """The shortest route between two (lon, lat) points; with ``incidents`` it keeps off the densest cells."""
     spark = routes.sparkSession
     apart = spark.range(1).select(S.miles(F.lit(start[1]), F.lit(start[0]), F.lit(end[1]), F.lit(end[0]))).first()[0]

@@ -11,6 +11,7 @@ from terrasift.operators import graph as G
 from terrasift.operators import layers, routing
 from terrasift.operators import spatial as P
 from terrasift.operators.changes import TableStore
+from terrasift.plans import spatial_queries
 from terrasift.sources import lines
 from terrasift.sources.schema import SCHEMAS
 from terrasift.streaming.incremental import upsert_stream, watch
@@ -78,6 +79,14 @@ def test_shortest_paths_equal_dijkstra(spark):
     assert path[0] == start and path[-1] == end and G.path_to(paths, 99) == []
 
 
+def test_shortest_path_has_no_horizon(spark, monkeypatch):
+    line = spark.createDataFrame([(i, i + 1, 2.0) for i in range(30)], "src bigint, dst bigint, weight double")
+    monkeypatch.setattr(spatial_queries, "_network", lambda spark, d: line)
+    assert {r["node"]: r["distance"] for r in spatial_queries.shortest_path(spark, "").collect()} == {i: float(i) for i in range(31)}
+    with pytest.raises(RuntimeError):
+        G.shortest_paths(line, 0, rounds=5)
+
+
 def test_a_long_chain_is_one(spark):
     rng = random.Random(4)
     names = rng.sample(range(10**6), 3001)
