@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .relational import islands
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that the session names; tests without one get their own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from .shared import discard, stored
 
 
 def undirected(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
@@ -65,56 +58,90 @@ def noded(edges: DataFrame, cell: float) -> DataFrame:
 def shortest_paths(edges: DataFrame, start, rounds: int | None = None) -> DataFrame:
     """node, distance, previous: from ``start`` to every node it reaches. ``edges``: src, dst, weight, undirected.
 
-    Each round relaxes the nodes whose distance fell in the round before; it ends when none did. That takes at most as
-    many rounds as there are nodes, unless a cycle has a negative sum; it raises beyond that, or beyond ``rounds``.
+    Each round relaxes the frontier, the nodes whose distance fell in the round before, and keeps of what it reaches
+    the nodes that are new or nearer now. Frontiers are written one after another and hold few nodes more than once;
+    they are folded into one distance for each node when they have grown as large as the folded part. It ends when no
+    distance falls, which takes at most as many rounds as there are nodes unless a cycle has a negative sum; it raises
+    beyond that, or beyond ``rounds``.
     """
-    steps = both_ways(edges.select("src", "dst", "weight")).persist()
+    spark = edges.sparkSession
+    steps = stored(both_ways(edges.select("src", "dst", "weight")))
     kind = edges.schema["src"].dataType.simpleString()
-    known = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("previous"), F.lit(True).alias("fresh"))
-    most = rounds if rounds is not None else steps.select("src").distinct().count() + 1
+    known = stored(spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("previous")))
+    frontier, parts, held, folded = known, [known], 1, 1
+    most = rounds if rounds is not None else steps.count() + 1
     for _ in range(most):
-        reached = known.filter("fresh").join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("previous"), F.lit(False).alias("old"))
-        both = known.select("node", "distance", "previous", F.lit(True).alias("old")).unionByName(reached)
-        was = F.struct("distance", "previous")
-        best = both.groupBy("node").agg(F.min(F.when(~F.col("old"), was)).alias("new"), F.min(F.when(F.col("old"), was)).alias("was"))
-        fresh = F.col("new").isNotNull() & (F.col("was").isNull() | (F.col("new.distance") < F.col("was.distance")))
-        known = checkpointed(best.select("node", F.when(fresh, F.col("new")).otherwise(F.col("was")).alias("b"), fresh.alias("fresh")).select("node", "b.*", "fresh"))
-        if known.filter("fresh").isEmpty():
-            steps.unpersist()
-            return known.drop("fresh")
-    steps.unpersist()
+        reached = frontier.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"))
+        reached = reached.agg(F.min(F.struct((F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("previous"))).alias("b")).select("node", "b.*")
+        was = reduce(DataFrame.unionByName, parts).select("node", F.col("distance").alias("was"))
+        if len(parts) > 1:
+            was = was.groupBy("node").agg(F.min("was").alias("was"))
+        frontier = stored(reached.join(was, "node", "left").filter("was is null or distance < was").select("node", "distance", "previous"))
+        n = frontier.count()
+        if not n:
+            out = stored(_nearest(parts))
+            discard(steps, frontier, *parts)
+            return out
+        parts.append(frontier)
+        held += n
+        if held > 2 * folded or len(parts) > 16:
+            whole = stored(_nearest(parts))
+            discard(*parts[:-1])  # the last one is the next round's frontier
+            parts, folded = [whole], whole.count()
+            held = folded
     raise RuntimeError(f"shortest paths not settled after {most} rounds")
 
 
-def path_to(paths: DataFrame, end, rounds: int = 10_000) -> list:
-    """The nodes from the start to ``end``; empty if it is not reached. One lookup for each step."""
-    out, at = [], end
-    while at is not None and len(out) <= rounds:
-        row = paths.filter(F.col("node") == F.lit(at)).select("previous").first()
-        if row is None:
-            return []
+def _nearest(parts: list[DataFrame]) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("node").agg(F.min(F.struct("distance", "previous")).alias("b")).select("node", "b.*")
+
+
+def path_to(paths: DataFrame, end) -> list:
+    """The nodes from the start to ``end``; empty if it is not reached.
+
+    By doubling: each round replaces a node's pointer by its pointer's pointer and adds what that leads to, to the
+    nodes on the path, so a path of n nodes takes log n joins. Only its own nodes are collected.
+    """
+    jump = stored(paths.select("node", F.col("previous").alias("to")))
+    on = stored(jump.filter(F.col("node") == F.lit(end)).select("node"))
+    n = 0
+    while (now := on.count()) > n:
+        n = now
+        led = on.join(jump, "node").filter("to is not null").select(F.col("to").alias("node"))
+        on, old = stored(on.unionByName(led).distinct()), on
+        twice = jump.select("node", F.col("to").alias("half")).join(jump.select(F.col("node").alias("half"), "to"), "half", "left").select("node", "to")
+        jump, old_jump = stored(twice.filter("to is not null")), jump
+        discard(old, old_jump)
+    rows = paths.join(on, "node").select("node", "previous").collect()
+    previous = {r["node"]: r["previous"] for r in rows}
+    out, at = [], end if end in previous else None
+    while at is not None:
         out.append(at)
-        at = row[0]
+        at = previous[at]
     return out[::-1]
 
 
 def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) for every node that is not the smallest of its component, b being that smallest node.
 
-    ``pairs``: links (a, b), a > b. Large and small star contractions take turns; each round is one checkpoint.
+    ``pairs``: links (a, b), a > b. Large and small star contractions take turns. What a join looks up is written
+    before it, so that either side of the join is a plain exchange and Spark can split a node with many links.
     """
-    pairs, before = checkpointed(pairs), None
+    pairs, before = stored(pairs.select("a", "b")), None
     for _ in range(max_rounds):
         now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before or not now[0]:
             return pairs
         before = now
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = stored(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        lowest = stored(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(lowest, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = stored(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct())
+        discard(pairs, least, large, lowest)
+        pairs = after
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
@@ -123,7 +150,7 @@ def chains(edges: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
 
     The label is the smallest edge number of the chain; ``components`` finds it, whatever the chain's length.
     """
-    numbered = checkpointed(edges.withColumn("edge", F.xxhash64("src", "dst")))
+    numbered = stored(edges.withColumn("edge", F.xxhash64("src", "dst")))
     ends = numbered.select(F.explode(F.array("src", "dst")).alias("node"), "edge")
     inner = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.max("edge").alias("a"), F.min("edge").alias("b")).filter("degree = 2 and a != b")
     if boundary is not None:

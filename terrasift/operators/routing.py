@@ -12,6 +12,7 @@ from ..sources.lines import parsed_points
 from . import graph as G
 from .layers import corridor, hot_cells
 from .relational import floor_index_percentile
+from .shared import stored
 from .spatial import exposure, overlaps, snap
 
 MILES_AN_HOUR = 10.0
@@ -54,7 +55,7 @@ def analysis(routes: DataFrame, incidents: DataFrame, city: str, start: tuple[fl
     inside = cells.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north)).orderBy(F.col("intensity").desc(), "i", "j")
     edges, a = with_stop(network(routes, city), *start)
     edges, b = with_stop(edges, *end)
-    edges = G.checkpointed(edges.withColumn("edge_key", F.concat_ws("|", "src", "dst")))
+    edges = stored(edges.withColumn("edge_key", F.concat_ws("|", "src", "dst")))
     stops = edges.sparkSession.createDataFrame([(a,), (b,)], "node string")
     touched = G.chains(edges.join(exposure(edges, "edge_key", cells, size).select("edge_key", (F.col("hot_share") > 0).alias("hot")), "edge_key"), stops)
     here = (F.greatest("src_x", "dst_x") >= west) & (F.least("src_x", "dst_x") <= east) & (F.greatest("src_y", "dst_y") >= south) & (F.least("src_y", "dst_y") <= north)
@@ -84,10 +85,10 @@ def unblocked(edges: DataFrame, incidents: DataFrame, city: str, size: float, pe
     cells = hot_cells(incidents, city, size)
     threshold = floor_index_percentile(cells, "intensity", percent)
     cells = cells.withColumn("hot", F.col("intensity") >= F.lit(threshold))
-    edges = G.checkpointed(edges.withColumn("edge_key", F.concat_ws("|", "src", "dst")))
+    edges = stored(edges.withColumn("edge_key", F.concat_ws("|", "src", "dst")))
     touched = edges.join(exposure(edges, "edge_key", cells, size).filter("hot_share > 0").select("edge_key", F.lit(True).alias("hot")), "edge_key", "left")
     ends = edges.sparkSession.createDataFrame([(s,) for s in stops], "node string")
-    left = G.checkpointed(G.without_blocked(G.chains(touched, ends), F.coalesce("hot", F.lit(False))))
+    left = stored(G.without_blocked(G.chains(touched, ends), F.coalesce("hot", F.lit(False))))
     return left, edges.count() - left.count()
 
 
