@@ -4,6 +4,10 @@ Pass one hashes every text into the slots of a filter that tells slots hit once
 two looks each text's slots up: a text with any slot hit once is certainly unique and passes straight through; only
 the others, true repeats and a few false positives, shuffle by their SHA-256 and are settled exactly.
 
+A filter's size is bounded. Where the rows need more slots, the texts' hashes are dealt into ranges, as many as it
+takes, and each range has its own filter, one at a time; the rows of a range are written together, so a range reads no
+other range's rows and all ranges together read the hashes once.
+
 Defined results: a null text counts as empty; ids that are null sort after all others, and a group of null ids only
 has a null ``keep_id`` and keeps its rows; rows that repeat an id and its text whole are each returned, marked alike;
 an empty table gives an empty result; other columns of the input are ignored.
@@ -11,13 +15,15 @@ an empty table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, durable, id_and_text, ship, stored
+from .common import SPACES, id_and_text, new_path, remove, ship, stored
 
 _CHUNK = 1 << 16
 
@@ -26,12 +32,12 @@ def normalised(text: str) -> F.Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
 
 
-def filter_slots(rows: int, slots_per_row: int = 16, max_bytes: int = 64 << 20) -> int:
-    """A power of two, about ``slots_per_row`` for each row, of at most ``max_bytes`` of bits.
-
-    Past that bound the filter gets fuller, so more rows shuffle than need to; the result stays exact.
-    """
-    return 1 << min((8 * max_bytes).bit_length() - 1, max(16, (slots_per_row * max(rows, 1) - 1).bit_length()))
+def plan(rows: int, slots_per_row: int = 16, max_bytes: int = 64 << 20) -> tuple[int, int]:
+    """(ranges, slots of each range's filter): at least ``slots_per_row`` slots for each row, in filters of at most
+    ``max_bytes`` of bits; slots and ranges are powers of two."""
+    needed = max(16, (slots_per_row * max(rows, 1) - 1).bit_length())
+    most = max(16, (8 * max_bytes).bit_length() - 1)
+    return 1 << max(0, needed - most), 1 << min(needed, most)
 
 
 def _positions(h: np.ndarray, slots: int, hashes: int) -> np.ndarray:
@@ -85,22 +91,33 @@ def repeated_slots(hashes: DataFrame, slots: int, k: int) -> np.ndarray:
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, hashes: int = 3, max_filter_bytes: int = 64 << 20) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = id_and_text(docs, id_col, text_col)
-    slots = filter_slots(docs.count(), slots_per_row, max_filter_bytes)
-    bits = spark.sparkContext.broadcast(repeated_slots(rows.select(F.xxhash64(normalised("text")).alias("h")), slots, hashes))
-
+def _maybe_repeated(bits, slots: int, hashes: int):
     @F.pandas_udf("boolean")
-    def maybe_repeated(h: pd.Series) -> pd.Series:
+    def maybe(h: pd.Series) -> pd.Series:
         at = _positions(h.to_numpy(), slots, hashes)
         return pd.Series(((bits.value[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1))
 
-    norm = rows.select("doc_id", normalised("text").alias("norm"))
-    keyed = norm.select("doc_id", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), maybe_repeated(F.xxhash64("norm")).alias("maybe"))
-    keyed = durable(keyed)
+    return maybe
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, hashes: int = 3, max_filter_bytes: int = 64 << 20) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    spark = docs.sparkSession
+    ship(spark)
+    norm = id_and_text(docs, id_col, text_col).select("doc_id", normalised("text").alias("norm"))
+    hashed = norm.select("doc_id", F.xxhash64("norm").alias("h"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))
+    ranges, slots = plan(docs.count(), slots_per_row, max_filter_bytes)
+    # written once, by range; slots come from a hash's low bits and steps from its high ones, ranges from those between
+    path, schema = new_path(spark, "hashes"), hashed.withColumn("lot", F.lit(0)).schema
+    hashed.withColumn("lot", F.shiftrightunsigned("h", 29).bitwiseAND(ranges - 1).cast("int")).write.partitionBy("lot").parquet(path)
+    parts = []
+    for n in range(ranges):
+        own = spark.read.schema(schema).parquet(path).filter(F.col("lot") == n)
+        bits = spark.sparkContext.broadcast(repeated_slots(own.select("h"), slots, hashes))
+        parts.append(stored(own.select("doc_id", "text_sha256", _maybe_repeated(bits, slots, hashes)("h").alias("maybe"))))
+        bits.destroy()
+    remove(spark, path)
+    keyed = reduce(DataFrame.unionByName, parts)
     maybe = keyed.filter("maybe").select("doc_id", "text_sha256")
     # written first, so that the join has a plain exchange on either side and Spark can split a large group
     groups = stored(maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))

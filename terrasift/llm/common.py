@@ -1,20 +1,24 @@
-"""What the operators of this subpackage share: table access, durable cuts of the lineage, code shipping."""
+"""What the operators of this subpackage share: table access, code shipping, batches of bounded size."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 import terrasift
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import discard, new_path, remove, stored
+
+__all__ = ["SPACES", "discard", "id_and_text", "id_type", "new_path", "remove", "ship", "sized", "stored", "table"]
+
 #: ASCII white space, as the contracts write it.
 SPACES = r"[\x20\x09-\x0D]+"
 
 TEXTS_AT_ONCE = 1000
+BYTES_AT_ONCE = 8 << 20
 _shipped: set[str] = set()
 
 
@@ -22,25 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage there.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder stands in. Files there outlive any executor.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder: smaller than its checkpoint, and of a size that Spark knows."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def sized(batches):
+    """The batches in slices whose second column, the text, holds at most BYTES_AT_ONCE, or one text."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = b.num_rows - at
+            while n > 1 and b.column(1).slice(at, n).nbytes > BYTES_AT_ONCE:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,12 +45,12 @@ def ship(spark: SparkSession) -> None:
     would hold tens of megabytes of them several times over in each task.
     """
     sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXTS_AT_ONCE:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
+    if sc.applicationId in _shipped:
+        return
     root = os.path.dirname(os.path.abspath(terrasift.__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "terrasift.zip")
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "terrasift.zip")  # read by the driver only, which serves it
     with zipfile.ZipFile(archive, "w") as z:
         for folder, _, names in os.walk(root):
             for name in names:
@@ -67,5 +62,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator needs, under fixed names; columns with clashing names stay behind."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """Only the two columns an operator needs, under fixed names; columns with clashing names stay behind.
+
+    Whole numbers become bigint; ids of any other type are passed through as they are.
+    """
+    key = F.col(id_col).cast("bigint") if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "void") else F.col(id_col)
+    return docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def id_type(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
+

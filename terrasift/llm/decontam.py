@@ -2,28 +2,31 @@
 
 The test items form an inverted index with BM25 weights, each divided by its item's own full score, so a passage that
 holds every word of an item scores one and a single threshold serves all items. Documents are cut into overlapping
-passages, long enough for every item to lie whole in one; each passage is a query. Items stand in blocks; the sum over
-a passage's different words of the largest weight in a block bounds the score of every item in it, so blocks that
-can't reach the threshold are skipped at once for all passages of a document. In the blocks left, WAND moves cursors
-over the posting lists from pivot to pivot. What is retrieved is verified by word shingles: shares of the question's
-and of the answer's shingles that the passage holds.
+passages, long enough for every item to lie whole in one; each passage is a query. A posting list stands in blocks of
+item numbers, aligned in all lists, each with its largest weight. Passages whose words can't reach the threshold even
+with the largest weights of whole lists are skipped; for the others the largest weights of the blocks that their
+words occur in are summed, for many passages at once, and blocks that can't reach it are skipped. In the blocks left,
+WAND moves cursors over the posting lists from pivot to pivot. What is retrieved is verified by word shingles: shares
+of the question's and of the answer's shingles that the passage holds.
 
 The index is bounded: items are taken ``shard_items`` at a time, and each shard is one pass over the documents. What
 depends on other items (document frequencies, the number, mean and greatest length of the items) is counted over the
 whole benchmark first, so scores and passages don't depend on which items share a shard.
 
 Defined results: an item's answer is its last sentence, its question what is before (an item of one sentence is cut
-in half); null or wordless items match nothing, null or wordless documents match nothing; repeated documents give
-repeated rows, repeated items are each found; a null document id is kept; empty tables give an empty result; other
-columns are ignored.
+in half); null or wordless items and items of one word, which have no question, match nothing; null or wordless
+documents match nothing; repeated documents give repeated rows, repeated items are each found; a null document id is
+kept; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 from itertools import islice, repeat
 
 import numpy as np
@@ -31,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship, stored
+from .common import discard, id_and_text, id_type, ship, sized, stored
 
-_BLOCK = 4
+_BLOCK = 4  # items
+_WORDS_AT_ONCE = 200_000  # of documents searched together
+_CELLS = 1_000_000  # bounds of blocks held at once
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 _words = re.compile(r"\w+").findall
 
@@ -87,23 +92,29 @@ class ItemIndex:
                 own[w] = own.get(w, 0) + 1
         idf = np.log1p((totals.items - df + 0.5) / (df + 0.5))
         mean = totals.words / max(1, totals.items)
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        self.maxima = np.zeros((len(self.vocabulary) + 1, -(-len(tokens) // _BLOCK)), np.float32)
+        rows = []  # (word, item, weight)
         for item, (own, t) in enumerate(zip(counts, tokens)):
             weight = {w: float(idf[w]) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(t) / mean)) for w, n in own.items()}
             full = math.fsum(weight.values())
-            for w, x in weight.items():
-                self.postings[w].append((item, x / full))
-                self.maxima[w, item // _BLOCK] = max(self.maxima[w, item // _BLOCK], x / full)
+            rows += [(w, item, x / full) for w, x in weight.items()]
+        rows.sort()
+        word, self.item, self.weight = (np.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 3, (np.int64, np.int64, np.float64)))
+        self.blocks = -(-len(tokens) // _BLOCK)
+        starts = np.flatnonzero(np.diff(word * (self.blocks + 1) + self.item // _BLOCK, prepend=-1))
+        #: Of the blocks of all lists, in the lists' order: number, largest weight, first posting.
+        self.block, self.largest = self.item[starts] // _BLOCK, np.maximum.reduceat(self.weight, starts) if len(starts) else self.weight
+        self.first = np.append(starts, len(rows))
+        self.list = np.searchsorted(word[starts], np.arange(len(self.vocabulary) + 1))  # of each word: its first block
+        self.most = np.maximum.reduceat(self.largest, self.list[:-1]) if len(starts) else self.weight
 
     def wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """(item, score) of the block's items that score at least ``threshold`` for the set of terms."""
-        first, last = block * _BLOCK, (block + 1) * _BLOCK
-        cursors = []  # (item at the cursor, largest weight in the block, the block's postings, place)
+        cursors = []  # [item at the cursor, largest weight in the block, place, end]
         for w in terms:
-            if self.maxima[w, block] > 0:
-                own = [p for p in self.postings[w] if first <= p[0] < last]
-                cursors.append([own[0][0], float(self.maxima[w, block]), own, 0])
+            at = self.list[w] + np.searchsorted(self.block[self.list[w] : self.list[w + 1]], block)
+            if at < self.list[w + 1] and self.block[at] == block:
+                place = int(self.first[at])
+                cursors.append([int(self.item[place]), float(self.largest[at]), place, int(self.first[at + 1])])
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -115,56 +126,88 @@ class ItemIndex:
                     break
             if pivot is None:
                 break
+            target = pivot
             if cursors[0][0] == pivot:
-                score = math.fsum(c[2][c[3]][1] for c in cursors if c[0] == pivot)
+                score = math.fsum(float(self.weight[c[2]]) for c in cursors if c[0] == pivot)
                 if score >= threshold - 1e-9:
                     found.append((pivot, score))
-                target = pivot + 1
-            else:
-                target = pivot
+                target += 1
             for c in cursors:
-                while c[3] < len(c[2]) and c[2][c[3]][0] < target:
-                    c[3] += 1
-                c[0] = c[2][c[3]][0] if c[3] < len(c[2]) else None
+                while c[2] < c[3] and self.item[c[2]] < target:
+                    c[2] += 1
+                c[0] = int(self.item[c[2]]) if c[2] < c[3] else None
             cursors = [c for c in cursors if c[0] is not None]
         return found
 
-    def search(self, text: str, threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
-        """item -> (best score, question overlap, answer overlap) of what a text's passages retrieve and verification keeps."""
-        none = len(self.vocabulary)
-        found = _words(text.lower())
-        if not found or not none:
-            return {}
-        ids = np.fromiter(map(self.vocabulary.get, found, repeat(none)), np.int64, len(found))
+    def candidates(self, passage: np.ndarray, word: np.ndarray, threshold: float):
+        """(first, end, block): ranges of the (passage, word) rows, sorted, of passages, and blocks that may hold an
+        item that scores ``threshold``."""
+        starts = np.flatnonzero(np.diff(passage, prepend=-1))
+        ends = np.append(starts[1:], len(passage))
+        kept = np.add.reduceat(self.most[word], starts) >= threshold - 1e-6
+        starts, ends = starts[kept], ends[kept]
+        step = max(1, _CELLS // max(1, self.blocks))
+        for at in range(0, len(starts), step):
+            first, end = starts[at : at + step], ends[at : at + step]
+            row, place = _spread(end - first)
+            w = word[first[row] + place]
+            entry, nth = _spread(self.list[w + 1] - self.list[w])
+            b = self.list[w][entry] + nth
+            bound = np.bincount(row[entry] * self.blocks + self.block[b], self.largest[b], len(first) * self.blocks)
+            for cell in np.flatnonzero(bound >= threshold - 1e-6).tolist():
+                yield int(first[cell // self.blocks]), int(end[cell // self.blocks]), cell % self.blocks
+
+    def search(self, texts: list[str], threshold: float, overlap: float) -> list[dict[int, tuple[float, float, float]]]:
+        """For each text: item -> (best score, question overlap, answer overlap) of what its passages retrieve and verification keeps."""
+        out: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+        none, get = len(self.vocabulary), self.vocabulary.get
+        if not none:
+            return out
         half = self.longest  # a passage is two halves; passages start a half apart
-        at = np.flatnonzero(ids < none)
-        if not len(at):
-            return {}
-        key = np.unique((at // half) * none + ids[at])  # different words of each half
-        passage = np.unique(np.concatenate([key, key - none]))  # half h is in the passages h and h - 1
-        passage = passage[passage >= 0] if len(found) > half else key
-        starts = np.flatnonzero(np.diff(passage // none, prepend=-1))
-        bounds = np.add.reduceat(self.maxima[passage % none], starts, axis=0)
-        out: dict[int, tuple[float, float, float]] = {}
-        for p, block in zip(*np.nonzero(bounds >= threshold - 1e-4)):
-            end = starts[p + 1] if p + 1 < len(starts) else len(passage)
-            h = int(passage[starts[p]] // none)
-            for item, score in self.wand((passage[starts[p] : end] % none).tolist(), int(block), threshold):
-                if out.get(item, (0.0,))[0] >= score:
+        ids, halves, base, owners = [], [], 0, []  # halves are numbered through all texts
+        for i, text in enumerate(texts):
+            found = _words(text.lower())
+            if not found:
+                continue
+            own = np.fromiter(map(get, found, repeat(none)), np.int64, len(found))
+            n = -(-len(own) // half)
+            at = np.flatnonzero(own < none)
+            h = at // half
+            key = np.unique(h * none + own[at])  # different words of each half
+            h, word = np.divmod(key, none)
+            both = np.concatenate([key[(h < n - 1) | (n == 1)], key[h > 0] - none])  # half h is in the passages h and h - 1
+            halves.append(np.unique(both) + base * none)
+            owners.append((base, i, len(ids)))
+            ids.append(own)
+            base += n
+        if not halves:
+            return out
+        passage, word = np.divmod(np.concatenate(halves), none)
+        if not len(passage):
+            return out
+        bases = [b for b, _, _ in owners]
+        for first, end, block in self.candidates(passage, word, threshold):
+            b, text, own = owners[bisect_right(bases, int(passage[first])) - 1]
+            start = (int(passage[first]) - b) * half
+            for item, score in self.wand(word[first:end].tolist(), block, threshold):
+                if out[text].get(item, (0.0,))[0] >= score:
                     continue
-                held = shingles(ids[h * half : (h + 2) * half].tolist())
-                shares = [self._share(part, held, ids, h * half, (h + 2) * half) for part in self.parts[item]]
+                inside = ids[own][start : start + 2 * half].tolist()
+                shares = [self._share(part, inside) for part in self.parts[item]]
                 if min(shares) >= overlap:
-                    out[item] = (score, *shares)
+                    out[text][item] = (score, *shares)
         return out
 
     @staticmethod
-    def _share(part: set[tuple], held: set[tuple], ids: np.ndarray, start: int, end: int) -> float:
-        if not part:
-            return 1.0
-        if len(one := next(iter(part))) < 5:  # shorter than a shingle: the sequence itself
-            held = shingles(ids[start:end].tolist(), len(one))
-        return len(part & held) / len(part)
+    def _share(part: set[tuple], inside: list[int]) -> float:
+        """Of the part's shingles; a part shorter than a shingle is one itself."""
+        return len(part & shingles(inside, len(next(iter(part))))) / len(part) if part else 0.0
+
+
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of these sizes in a row: each member's range, and its place there."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _counted(batches):
@@ -188,35 +231,44 @@ def _shards(items: DataFrame, size: int):
         else:
             found = df.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in own], "w string")), "w")
         yield [(r["doc_id"], r["text"]) for r in shard], Totals(number, words, longest, {r["w"]: r["df"] for r in found.toLocalIterator()})
+    discard(df)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.6, overlap: float = 0.8, shard_items: int = 4096) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.6, overlap: float = 0.8, shard_items: int = 16_384) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every item that a document holds."""
     spark = docs.sparkSession
     ship(spark)
-    rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("bigint"), "text")
+    rows = id_and_text(docs, id_col, text_col)
     items = id_and_text(benchmark, item_col, "text").select(F.col("doc_id").cast("bigint"), "text")
-    schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    out = None
+    schema = f"doc_id {id_type(rows)}, item_id bigint, score double, question_overlap double, answer_overlap double"
+    parts = []
     for shard, totals in _shards(items, shard_items):
         index = spark.sparkContext.broadcast(ItemIndex(shard, totals=totals))
         found = rows.mapInArrow(_search(index, threshold, overlap), schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+        if totals.items > shard_items:  # one index is held at a time
+            found = stored(found)
+            index.destroy()
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def _search(index, threshold: float, overlap: float):
-    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    names = ["item_id", "score", "question_overlap", "answer_overlap"]
+    types = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+
+    def some(ids: pa.Array, texts: list[str]):
+        hits = [(at, index.value.items[item], *values) for at, found in enumerate(index.value.search(texts, threshold, overlap)) for item, values in found.items()]
+        if hits:
+            at, *columns = zip(*hits)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(x, t) for x, t in zip(columns, types))], ["doc_id", *names])
 
     def run(batches):
-        for b in batches:
-            hits = [
-                (doc_id.as_py(), index.value.items[item], *values)
-                for doc_id, text in zip(b.column(0), b.column(1))
-                for item, values in index.value.search(text.as_py() or "", threshold, overlap).items()
-            ]
-            if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*hits), types)], names)
+        for b in sized(batches):
+            start, size, texts = 0, 0, [t or "" for t in b.column(1).to_pylist()]
+            for i, text in enumerate(texts):
+                size += len(text) // 5
+                if size >= _WORDS_AT_ONCE or i == len(texts) - 1:
+                    yield from some(b.column(0).slice(start, i + 1 - start), texts[start : i + 1])
+                    start, size = i + 1, 0
 
     return run

@@ -1,14 +1,15 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by the exact Jaccard similarity of word shingles: what ``simhash.near_dedup`` verifies and completes with.
 
 Two sets that share ``similarity`` of their union share one of their first n - ceil(similarity * n) + 1 members in any
 fixed order, so only texts that meet at such a gram are compared, and none that are alike is missed. The order is that
 of the hashes, with grams that are common in a sample of the texts last, so a common passage brings together only texts
 of little else. Which grams count as common changes the work, never the result.
 
-Where more than ``common`` texts meet, all are first compared with the smallest and the largest of them. After that two
-texts that meet are compared unless they are in one component already. The grams they share in their first members,
-and what is left after the earlier end of these, bound what they can share; pairs below what is needed go. Whole sets
-are read from the texts again for the candidates alone.
+The pairs that the covering tables of SimHash link, and where more than ``common`` texts meet the pairs of each with
+the smallest and the largest of them, are compared first. After that two texts that meet are compared unless they are
+in one component already. The grams they share in their first members, and what is left after the earlier end of
+these, bound what they can share; pairs below what is needed go. Whole sets are read from the texts again for the
+candidates alone.
 
 Defined results: words and shingles are those of ``simhash``; texts without words are alike; a text of fewer than
 ``words`` words is one shingle; rows with a null id have no result; repeated rows give repeated rows of result.
@@ -25,10 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_and_text, ship, stored
-from .simhash import _signed, components, shingle_hashes
+from .common import id_and_text, id_type, ship, sized, stored
+from ..operators.graph import components
+from .simhash import _signed, links, majority, shingle_hashes
 
-_SCHEMA = "doc_id bigint, s bigint, n int, grams array<bigint>"
+_SCHEMA = "s bigint, n int, fp bigint, grams array<bigint>"
 _SAMPLE, _MOST_COMMON = 8, 1_000_000
 _LAST = np.int64(1 << 62)
 
@@ -41,43 +43,44 @@ def _sets(words: int, similarity: float, late=None):
     """The whole sets or, with ``late`` (a broadcast sorted array), their first members; these come after all others."""
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                grams = np.unique((np.array(shingle_hashes(text.as_py(), words), np.uint64) >> np.uint64(2)).view(np.int64))
+        for b in sized(batches):
+            rows, hashes = [], [np.array(shingle_hashes(text.as_py(), words), np.uint64) for text in b.column(1)]
+            fps = majority(np.concatenate([np.zeros(0, np.uint64), *hashes]), np.array([*map(len, hashes)], np.int64))
+            for own in hashes:
+                grams = np.unique((own >> np.uint64(2)).view(np.int64))
                 n, s = len(grams), _signed(xxhash.xxh64_intdigest(grams.tobytes()))
                 if late is not None:
                     if len(late.value):
                         at = np.minimum(np.searchsorted(late.value, grams), len(late.value) - 1)
                         grams = np.sort(np.where(late.value[at] == grams, grams + _LAST, grams))
                     grams = grams[: prefix(n, similarity)]
-                rows.append((doc_id, s, n, grams))
-            columns = list(zip(*rows)) or [()] * 4
-            ends = np.cumsum([0, *map(len, columns[3])], dtype=np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *columns[3]])))
-            types = [pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), grams], ["doc_id", "s", "n", "grams"])
+                rows.append((s, n, grams))
+            s, n, grams = zip(*rows) if rows else [()] * 3
+            ends = np.cumsum([0, *map(len, grams)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(fps.view(np.int64)), lists], ["doc_id", "s", "n", "fp", "grams"])
 
     return run
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, common: int = 50) -> DataFrame:
-    """doc_id, component_id: texts of at least that similarity, and what they link, share the smallest id among them."""
+    """doc_id, fp, component_id: texts of at least that similarity, and what they link, share the smallest id among them."""
     ship(docs.sparkSession)
-    rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("bigint"), "text").filter("doc_id is not null")
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLE)) == 0).mapInArrow(_sets(words, similarity), _SCHEMA)
+    rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
+    schema = f"doc_id {id_type(rows)}, {_SCHEMA}"
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLE)) == 0).mapInArrow(_sets(words, similarity), schema)
     often = sample.dropDuplicates(["s"]).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k"))
     often = often.filter(F.col("k") >= max(2, common // 16)).orderBy(F.col("k").desc(), "g").limit(_MOST_COMMON).select("g").toPandas()
     late = docs.sparkSession.sparkContext.broadcast(np.sort(often["g"].to_numpy(np.int64)))
-    marked = stored(rows.mapInArrow(_sets(words, similarity, late), _SCHEMA))
-    firsts = stored(marked.groupBy("s").agg(F.min("doc_id").alias("node")))
+    marked = stored(rows.mapInArrow(_sets(words, similarity, late), schema))
+    firsts = stored(marked.groupBy("s").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")))
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that have the similarity."""
         keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
         ids = stored(firsts.join(keys, "s").select("node").distinct())
-        found = rows.join(ids, rows["doc_id"] == ids["node"], "left_semi").mapInArrow(_sets(words, similarity), _SCHEMA)
-        sets = stored(found.join(keys, "s", "left_semi").drop("doc_id").dropDuplicates(["s"]))
+        found = rows.join(ids, rows["doc_id"] == ids["node"], "left_semi").mapInArrow(_sets(words, similarity), schema)
+        sets = stored(found.join(keys, "s", "left_semi").drop("doc_id", "fp").dropDuplicates(["s"]))
         left, right = (sets.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}")) for k in "ab")
         both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
         return stored(both.filter(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"))
@@ -86,9 +89,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = stored(tokens.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo != hi"))
     members = stored(tokens.join(shared, "g").distinct())
     near = members.filter(F.col("k") > common).select("s", F.explode(F.array("lo", "hi")).alias("hub")).filter("s != hub")
-    star = stored(near.select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b")).distinct())
-    links = alike(star)
-    named = stored(members.join(components(links).withColumnRenamed("a", "s"), "s", "left").withColumn("c", F.coalesce("b", "s")).select("g", "s", "n", "rest", "end", "c"))
+    star = near.select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b"))
+    meant = stored(firsts.groupBy("fp").agg(F.min("s").alias("node")))
+    equal = firsts.select("s", "fp").join(meant, "fp").filter("s != node").select(F.col("s").alias("a"), F.col("node").alias("b"))
+    covered = links(meant).unionByName(equal)
+    first = stored(star.unionByName(covered).distinct())
+    linked = alike(first)
+    named = stored(members.join(components(linked).withColumnRenamed("a", "s"), "s", "left").withColumn("c", F.coalesce("b", "s")).select("g", "s", "n", "rest", "end", "c"))
     mixed = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g")
     named = named.join(mixed, "g", "left_semi")
     a, b = (named.select("g", *[F.col(c).alias(k + c) for c in ("s", "n", "rest", "end", "c")]) for k in "ab")
@@ -97,10 +104,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     needed = similarity / (1 + similarity) * (F.col("an") + F.col("bn")) - 1e-6
     met = a.join(b, "g").filter((F.col("as") > F.col("bs")) & (F.col("ac") != F.col("bc")) & sized)
     met = met.groupBy(F.col("as").alias("a"), F.col("bs").alias("b"), (needed - left).alias("least")).agg(F.count(F.lit(1)).alias("k"))
-    cross = stored(met.filter("k >= least").select("a", "b").join(star, ["a", "b"], "left_anti"))
-    links = links.unionByName(alike(cross))
+    cross = stored(met.filter("k >= least").select("a", "b").join(first, ["a", "b"], "left_anti"))
+    linked = linked.unionByName(alike(cross))
 
-    roots = components(links).withColumnRenamed("a", "s").withColumnRenamed("b", "root")
-    held = durable(firsts.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
-    least = held.groupBy("root").agg(F.min("node").alias("component_id"))
-    return marked.select("doc_id", "s").join(held.join(least, "root").select("s", "component_id"), "s").select("doc_id", "component_id")
+    roots = components(linked).withColumnRenamed("a", "s").withColumnRenamed("b", "root")
+    held = stored(firsts.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
+    least = stored(held.groupBy("root").agg(F.min("node").alias("component_id")))
+    return marked.select("doc_id", "fp", "s").join(held.join(least, "root").select("s", "component_id"), "s").select("doc_id", "fp", "component_id")

@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship
+from .common import discard, id_and_text, id_type, ship, sized, stored
 
 MAX_WORD = 48
 _KNOWN = 150_000  # words that a task keeps
@@ -131,20 +131,22 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, labelled: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_language: int = 500, rounds: int = 3, smoothing: float = 0.05) -> LanguageModel:
-        """Learns from at most ``texts_per_language`` texts of each language, those whose ids hash lowest."""
+        """Learns from about ``texts_per_language`` texts of each language, the rows (id and text) that hash lowest.
+
+        Of fewer different rows than that, all teach. A row is taken or left by its own hash and its language's number
+        of rows alone, so no language is lost, none is sorted, and rows whose ids are null or repeat count like any
+        other; equal rows teach once. The sample of a language passes its bound only by chance (a few times its root).
+        """
         spark = labelled.sparkSession
         ship(spark)
-        rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-        # lowest hashes first by a threshold, a few times more than is needed, so that few rows meet in the window
-        share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select(F.col("lang").alias("of"), F.when(F.col("rows") > 8 * texts_per_language, 4 * texts_per_language / F.col("rows")).otherwise(1.0).alias("share"))
-        low = rows.select("doc_id", "lang").join(F.broadcast(share), F.col("lang") == F.col("of")).filter(F.col("share") >= F.xxhash64("doc_id") / 2.0**64 + 0.5)
-        chosen = low.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= texts_per_language).select("doc_id", "lang").distinct()
-        sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # bounded by the languages times texts_per_language
+        rows = labelled.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
+        share = (texts_per_language / F.approx_count_distinct("row", 0.02)).alias("share")
+        sizes = rows.groupBy("lang").agg(share).select(F.col("lang").alias("of"), "share")
+        sample = rows.join(sizes, F.col("lang") == F.col("of")).filter(F.col("share") > F.col("row") / 2.0**64 + 0.5).dropDuplicates(["lang", "row"])
         split = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{MAX_WORD}}}"), 0))
         counted = sample.select("lang", split.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
         # words are few bytes but much work: left alone, Spark would put them into one task
-        counted = counted.repartition(max(8, spark.sparkContext.defaultParallelism)).persist()
+        counted = stored(counted.repartition(max(8, spark.sparkContext.defaultParallelism)))
         languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
         start = {p: (1 / max(1, len(vocabulary)),) * len(languages) for p in vocabulary}
         model = cls(languages, start)
@@ -154,7 +156,7 @@ class LanguageModel:
             sums = {(r["k"], r["piece"]): r["n"] for r in counts.collect()}  # bounded by the vocabulary times the languages
             totals = [sum(v for (j, _), v in sums.items() if j == k) + smoothing * len(vocabulary) for k in range(len(languages))]
             model = cls(languages, {p: tuple((sums.get((k, p), 0.0) + smoothing) / totals[k] for k in range(len(languages))) for p in vocabulary})
-        counted.unpersist()
+        discard(counted)
         return model
 
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +165,7 @@ class LanguageModel:
         ship(spark)
         shared = spark.sparkContext.broadcast((self.languages, self.pieces, self.longest))
         rows = id_and_text(docs, id_col, text_col)
-        return rows.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double")
+        return rows.mapInArrow(_predict(shared), f"doc_id {id_type(rows)}, lang_pred string, score double")
 
 
 class _Scores:
@@ -188,7 +190,7 @@ def _predict(shared):
     def run(batches):
         languages, pieces, longest = shared.value
         known = _Scores(pieces, longest) if languages else None
-        for b in batches:
+        for b in sized(batches):
             totals, waiting, sizes = [], [], []
             for text in b.column(1):
                 found = words(text.as_py() or "") if languages else []

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import stored
 
 BITS = 6
 FANOUT = 1 << BITS
@@ -50,9 +50,9 @@ def _parents(nodes: DataFrame) -> DataFrame:
 
 def tree(rows: DataFrame, height: int) -> list[DataFrame]:
     """The levels of nodes, leaves first. The two lowest, which carry the work, are kept."""
-    levels = [durable(_leaf_nodes(rows))]
+    levels = [stored(_leaf_nodes(rows))]
     for level in range(height):
-        levels.append(durable(_parents(levels[-1])) if level == 0 else _parents(levels[-1]))
+        levels.append(stored(_parents(levels[-1])) if level == 0 else _parents(levels[-1]))
     return levels
 
 
@@ -69,7 +69,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     Rows: key, digest, status (missing, extra: in the replica; changed: its id is there with other content),
     n_primary, n_replica, bytes, primary_offset, replica_offset (where the id's range starts in either).
     """
-    a, b = durable(primary), durable(replica)
+    a, b = stored(primary), stored(replica)
     height = _height(a, b)
     trees = [tree(x, height) for x in (a, b)]
     at = None
@@ -89,7 +89,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             roots = Window.partitionBy(F.lit(0)).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
             both = both.withColumns({f"before_{s}": F.coalesce(F.sum(f"bytes_{s}").over(roots), F.lit(0)) for s in "ab"})
         differ = ~F.col("digest_a").eqNullSafe(F.col("digest_b"))
-        at = durable(both.filter(differ).select("key", *((F.col(f"offset_{s}") + F.col(f"before_{s}")).cast("bigint").alias(f"offset_{s}") for s in "ab")))
+        at = stored(both.filter(differ).select("key", *((F.col(f"offset_{s}") + F.col(f"before_{s}")).cast("bigint").alias(f"offset_{s}") for s in "ab")))
     count = lambda x, s: x.join(at, "key", "left_semi").groupBy("key", "digest", "bytes").agg(F.count(F.lit(1)).alias(f"n_{s}"))
     ids = [x.join(at, "key", "left_semi").select("key").distinct().withColumn(f"in_{s}", F.lit(True)) for x, s in ((a, "a"), (b, "b"))]
     found = count(a, "a").join(count(b, "b"), ["key", "digest", "bytes"], "full").fillna(0, ["n_a", "n_b"]).filter("n_a != n_b")

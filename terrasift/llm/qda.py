@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_and_text, ship
+from .common import id_and_text, ship, stored
 
 #: Classes of bytes: other, upper case, lower case, digit, space, line end, stop, exclamation, bar, other punctuation, beyond ASCII.
 _KIND = np.zeros(256, np.uint8)
@@ -99,7 +99,7 @@ class Discriminant:
 
 def quality(docs: DataFrame, labels: DataFrame, teach: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for every row of ``docs``; ``teach`` says, of doc_id, whose labels may be learned."""
-    described = durable(describe(docs, id_col, text_col))
+    described = stored(describe(docs, id_col, text_col))
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).alias("label")).filter(F.col("label").isin(0, 1)).filter(teach)
     model = Discriminant.fit(described.join(known, "doc_id"))
 

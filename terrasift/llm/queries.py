@@ -53,7 +53,7 @@ def op2_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.Codec(spark, BPE_RANKS, public_tokenizers.PATTERN)
-    found = codec.recode(table(spark, sf_dir, "documents"))
+    found = codec.encode(table(spark, sf_dir, "documents"), decode=True)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 

@@ -7,11 +7,13 @@ anchor, so they travel together as a segment: all symbols of the windows that st
 
 1. Grams that occur once in all texts are dropped: none of their windows repeats.
 2. Equal segments are counted before anything else moves; one of each is cut out of its text.
-3. Segments meet by gram, sorted, and a judge (the suffix structure) says which of their windows repeat, and the
-   smallest document id of each. Judges hold a bounded chunk of whole groups. Groups of more than ``group_limit``
-   different segments are split by the longest prefix, the whole window: those windows meet by their own hash and are
-   counted in Spark, with partial sums before the shuffle, so no group has to fit anywhere.
-4. The judged windows go back to every occurrence of their segment, and to their texts.
+3. Segments meet by gram, which starts the suffixes at their anchors. A gram with more than ``group_limit`` different
+   segments is lengthened, by half of what a window has left: the windows that have more behind the anchor than before
+   it take the symbols behind it into the gram, the others those before it. Segments split accordingly, equal ones are
+   counted again, and so on until every group fits. The longest gram is a whole window, of which all segments are equal.
+4. A judge (the suffix structure) takes whole groups, sorted, a bounded chunk at a time, and says which windows repeat,
+   and the smallest document id of each.
+5. The judged windows go back to every occurrence of their segment, and to their texts.
 
 Texts shuffle once, by document; both uses share that exchange.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship, stored
+from .common import discard, id_and_text, ship, sized, stored
 
 _BASE, _MIX_A, _MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _NO_ID = (1 << 63) - 1
@@ -52,6 +54,20 @@ def _up_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
 def sums(symbols: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * _up_to(len(symbols))[0][: len(symbols)])])
 
@@ -117,11 +133,11 @@ def _bytes(text) -> bytes:
     return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-_ANCHORS = "gram bigint, own bigint, d bigint, tag int, lo int, extra smallint, place smallint"
+_ANCHORS = "gram bigint, own bigint, d bigint, tag bigint, lo int, extra smallint, place smallint"
 
 
 def _find(kind: Kind):
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int16()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16()]
     names = ["gram", "own", "d", "tag", "lo", "extra", "place"]
 
     def run(batches):
@@ -171,21 +187,38 @@ def _cut(kind: Kind):
     return run
 
 
-def _each_window(kind: Kind):
-    """For segments of large groups: a row for each window, under its own hash."""
-    names = ["window", "gram", "own", "off", "n", "least"]
+def gram_lengths(kind: Kind) -> list[int]:
+    """Of the grams of each level: each takes in half of what a window has left of it."""
+    out = [kind.gram]
+    while out[-1] < kind.length:
+        out.append(out[-1] + -(-(kind.length - out[-1]) // 2))
+    return out
+
+
+def _lengthened(kind: Kind, before: int, now: int):
+    """Segments under grams of ``now`` symbols instead of ``before``, in two parts where need be; ``shift`` is where a
+    part starts in its segment."""
+    step, slack = now - before, kind.length - now
+    names = ["gram", "own", "n", "least", "extra", "place", "piece", "of_gram", "of_own", "shift"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches):
         for b in batches:
-            offsets, x = _listed(b.column(1))
-            for row, text in enumerate(b.column(0)):
-                s = slice(offsets[row], offsets[row + 1])
-                total = sums(kind.symbols(_bytes(text)))
-                size = x["extra"][s].astype(np.int64) + 1
-                off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                start = np.repeat(x["lo"][s], size) + off
-                columns = [span(total, start, start + kind.length).view(np.int64), *(np.repeat(x[c][s], size) for c in ("gram", "own")), off.astype(np.int32), *(np.repeat(x[c][s], size) for c in ("n", "least"))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            out = []
+            for gram, own, n, least, extra, place, piece in zip(*(b.column(i).to_pylist() for i in range(7))):
+                symbols = kind.symbols(piece)
+                words = piece.split() if kind.words else piece
+                total = sums(symbols)
+                cut = min(max(place - slack, 0), extra + 1)  # windows before it have more before the anchor than behind it
+                for lo, hi, at in ((0, cut - 1, place - step), (cut, extra, place)):
+                    if lo <= hi:
+                        part = words[lo : hi + kind.length]
+                        with np.errstate(over="ignore"):
+                            key = span(total, at, at + now)
+                            itself = mix(span(total, lo, hi + kind.length) + np.uint64(at - lo) * _MIX_A + np.uint64(hi - lo) * _MIX_B)
+                        out.append((int(key.view(np.int64)), int(itself.view(np.int64)), n, least, hi - lo, at - lo, b" ".join(part) if kind.words else part, gram, own, lo))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return run
 
@@ -218,7 +251,28 @@ def verdict(rows: list[tuple[int, int, list[tuple[int, int, int]]]]) -> pa.Recor
 _VERDICT = "gram bigint, own bigint, runs array<struct<off:int,len:int,least:bigint>>"
 
 
-def repeats(docs: DataFrame, kind: Kind, judge, other_document: bool, id_col: str = "doc_id", text_col: str = "text", group_limit: int = 4096, chunk_bytes: int = 4 << 20) -> DataFrame:
+_SEGMENT = "gram bigint, own bigint, n bigint, least bigint, extra smallint, place smallint, piece binary"
+
+
+def _told(pieces: DataFrame, kind: Kind, judge, group_limit: int, chunk_bytes: int, level: int = 0) -> DataFrame:
+    """Verdicts on segments, one of each kind, under grams of a level's length."""
+    lengths = gram_lengths(kind)
+    sizes = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("different"))
+    large = stored(sizes.filter(F.col("different") > group_limit).select("gram"))
+    fits = pieces if level + 1 == len(lengths) or large.isEmpty() else pieces.join(large, "gram", "left_anti")
+    told = fits.repartition("gram").sortWithinPartitions("gram", "own").mapInArrow(_judged(judge, chunk_bytes), _VERDICT)
+    if fits is pieces:
+        return told
+    halves = pieces.join(large, "gram", "left_semi").mapInArrow(_lengthened(kind, *lengths[level : level + 2]), _SEGMENT + ", of_gram bigint, of_own bigint, shift int")
+    halves = stored(halves)
+    same = stored(halves.groupBy("gram", "own", "extra", "place").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.first("piece").alias("piece")))
+    below = stored(_told(same.select(*pieces.columns), kind, judge, group_limit, chunk_bytes, level + 1))
+    runs = F.transform("runs", lambda r: r.withField("off", r["off"] + F.col("shift")))
+    back = halves.select("gram", "own", "of_gram", "of_own", "shift").join(below, ["gram", "own"]).select(F.col("of_gram").alias("gram"), F.col("of_own").alias("own"), runs.alias("runs"))
+    return told.unionByName(back)
+
+
+def repeats(docs: DataFrame, kind: Kind, judge, other_document: bool, id_col: str = "doc_id", text_col: str = "text", group_limit: int = 1024, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, text, spans: for every row, the covered [start, end) symbol ranges, which may overlap; null if none.
 
     A window counts if it occurs twice anywhere or, with ``other_document``, if it starts in a document with a smaller
@@ -227,31 +281,19 @@ def repeats(docs: DataFrame, kind: Kind, judge, other_document: bool, id_col: st
     """
     ship(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
-    keyed = rows.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("d"), F.hash("text").alias("tag"), "text")
-    found = keyed.mapInArrow(_find(kind), _ANCHORS)
+    keyed = rows.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("tag"), "text")
+    every = stored(keyed.mapInArrow(_find(kind), _ANCHORS))
     # written first, so that the join has a plain exchange on either side and Spark can split a hot gram
-    twice = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    found = stored(found.join(twice, "gram", "left_semi"))
+    twice = stored(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
+    found = stored(every.join(twice, "gram", "left_semi"))
+    discard(every, twice)
 
     same = found.groupBy("gram", "own", "extra", "place").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("least"), F.min(F.struct("d", "tag", "lo")).alias("first"))
-    same = stored(same.select("gram", "own", "extra", "place", "n", "least", "first.d", "first.tag", "first.lo"))
-    large = stored(same.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).filter(F.col("different") > group_limit).select("gram"))
-
+    at = F.collect_list(F.struct("gram", "own", "n", "least", "extra", "place", "first.lo")).alias("at")
+    listed = same.groupBy("first.d", "first.tag").agg(at)
     texts = keyed.repartition("d", "tag")
-
-    def with_texts(chosen: DataFrame) -> DataFrame:
-        listed = chosen.groupBy("d", "tag").agg(F.collect_list(F.struct("gram", "own", "n", "least", "extra", "place", "lo")).alias("at"))
-        return texts.join(listed, ["d", "tag"], "left").filter("at is not null").select("text", "at")
-
-    small = with_texts(same.join(large, "gram", "left_anti"))
-    cut = small.mapInArrow(_cut(kind), "gram bigint, own bigint, n bigint, least bigint, extra smallint, place smallint, piece binary")
-    told = cut.repartition("gram").sortWithinPartitions("gram", "own").mapInArrow(_judged(judge, chunk_bytes), _VERDICT)
-
-    if not large.isEmpty():
-        each = with_texts(same.join(large, "gram", "left_semi")).mapInArrow(_each_window(kind), "window bigint, gram bigint, own bigint, off int, n bigint, least bigint")
-        counted = each.groupBy("gram", "window").agg(F.sum("n").alias("total"), F.min("least").alias("least")).filter("total > 1")
-        split = each.drop("n", "least").join(counted, ["gram", "window"]).select("gram", "own", F.array(F.struct("off", F.lit(1).alias("len"), "least")).alias("runs"))
-        told = told.unionByName(split)
+    pieces = stored(texts.join(listed, ["d", "tag"], "left").filter("at is not null").select("text", "at").mapInArrow(_cut(kind), _SEGMENT))
+    told = stored(_told(pieces, kind, judge, group_limit, chunk_bytes))
 
     hits = found.join(told, ["gram", "own"]).select("d", "tag", "lo", F.explode("runs").alias("run"))
     if other_document:

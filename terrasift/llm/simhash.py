@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import durable, id_and_text, ship
+from .common import id_and_text, id_type, ship, sized, stored
 
 RADIUS = 2
 _LANES = np.uint64(0x0101010101010101)
@@ -78,7 +78,7 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _fingerprints(words: int):
     def run(batches):
-        for b in batches:
+        for b in sized(batches):
             found, hashes, sizes = [], [], []
             for text in b.column(1):
                 h = shingle_hashes(text.as_py(), words)
@@ -97,25 +97,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, fp (the 64 bits as a bigint)."""
     ship(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
-    return rows.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_fingerprints(words), "doc_id bigint, fp bigint")
+    return rows.mapInArrow(_fingerprints(words), f"doc_id {id_type(rows)}, fp bigint")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b), a > b, that join ``node`` values whose ``fp`` are within RADIUS bits. ``fps``: fp (distinct), node."""
     masks = covering_masks()
     tables = fps.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for t, m in enumerate(masks)])).alias("x")).select("fp", "node", "x.t", "x.part")
-    shared = tables.groupBy("t", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written first, so that the join has a plain exchange on either side and Spark can split a hot part
+    shared = stored(tables.groupBy("t", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     free = F.array(*[F.array(*[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks])
     met = tables.join(shared, ["t", "part"]).select("fp", "node", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), free[F.col("t")])).alias("flip"))
     value = met.groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("value")).agg(F.min("node").alias("b"), F.collect_set("node").alias("nodes"))
     return value.filter(F.size("nodes") > 1).select(F.explode("nodes").alias("a"), "b").filter("a != b").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint, component_id."""
-    marked = durable(fingerprints(docs, id_col, text_col, words))
-    fps = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fingerprint, component_id.
+
+    Without ``similarity`` fingerprints within RADIUS bits are linked. With it texts of at least that Jaccard similarity
+    are: what the covering tables link is verified, and what lies farther apart in bits is found by ``jaccard``, for
+    64 bits put two texts of 0.8 about ten bits apart, beyond any radius whose tables could be made. Rows with a null
+    id have no result then.
+    """
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    if similarity is not None:
+        from .jaccard import near_copies
+
+        return near_copies(docs, id_col, text_col, words, similarity).select("doc_id", hexed, "component_id")
+    marked = stored(fingerprints(docs, id_col, text_col, words))
+    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
     roots = components(links(fps.filter("node is not null")))
-    named = fps.join(roots.withColumnRenamed("a", "node"), "node", "left").select("fp", F.coalesce("b", "node").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    # written first, so that the join has a plain exchange on either side and Spark can split a hot fingerprint
+    named = stored(fps.join(roots.withColumnRenamed("a", "node"), "node", "left").select("fp", F.coalesce("b", "node").alias("component_id")))
+    return marked.join(named, "fp").select("doc_id", hexed, "component_id")

@@ -57,7 +57,7 @@ def test_near_copies_equal_brute_force(spark, seed, common):
     docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA).repartition(3)
     wanted = brute(rows)
     assert len(set(wanted.values())) < len(rows) - 20
-    assert {r[0]: r[1] for r in jaccard.near_copies(docs, common=common).collect()} == wanted
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs, common=common).collect()} == wanted
 
 
 def test_near_stage_removes_copies_of_four_fifths(spark):

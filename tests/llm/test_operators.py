@@ -78,12 +78,21 @@ def test_exact_dedup(spark, odd, none):
 def test_filter_only_lets_unique_rows_pass(spark):
     rng = np.random.default_rng(1)
     h = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 4000), np.repeat(rng.integers(-(2**63), 2**63 - 1, 50), 3)])
-    slots = bloom_dedup.filter_slots(len(h))
+    ranges, slots = bloom_dedup.plan(len(h))
     bits = bloom_dedup.repeated_slots(spark.createDataFrame([(int(x),) for x in h], "h bigint").repartition(7), slots, 3)
     at = bloom_dedup._positions(h, slots, 3)
     maybe = ((bits[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
     assert maybe[4000:].all() and maybe[:4000].mean() < 0.05
-    assert bloom_dedup.filter_slots(10**12, 16, 1 << 20) == 8 << 20
+    assert ranges == 1 and bloom_dedup.plan(10**9, 16, 1 << 20) == (2048, 8 << 20)
+
+
+def test_filters_of_many_ranges_give_the_same(spark):
+    rng = random.Random(3)
+    rows = [(i, f"text {rng.randrange(9000)}") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert bloom_dedup.plan(len(rows), 48, 8192) == (16, 1 << 16)
+    one, many = (sorted(map(tuple, bloom_dedup.exact_dedup(docs, slots_per_row=48, max_filter_bytes=m).collect())) for m in (64 << 20, 8192))
+    assert one == many and len(one) == len(rows)
 
 
 # SimHash
@@ -166,8 +175,8 @@ def test_bpe(spark, odd, none, library):
     rows = codec.decode(codec.encode(odd)).collect()
     wanted = Counter((i, tuple(library[0].encode_ordinary(t or "")), (t or "").encode()) for i, t, *_ in ODD)
     assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["data"])) for r in rows) == wanted
-    assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["data"])) for r in codec.recode(odd).collect()) == wanted
-    assert codec.decode(codec.encode(none)).count() == 0 == codec.recode(none).count()
+    assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["data"])) for r in codec.encode(odd, decode=True).collect()) == wanted
+    assert codec.decode(codec.encode(none)).count() == 0 == codec.encode(none, decode=True).count()
 
 
 @settings(max_examples=200, deadline=None)
@@ -235,6 +244,13 @@ def test_expectation_maximisation_raises_the_likelihood(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in models[1].predict(docs).collect()} == {i: x for i, _, x, _ in texts}
 
 
+@pytest.mark.parametrize("n", [4000, 4001, 9000])
+def test_every_language_teaches_whatever_its_size(spark, n):
+    rows = [(7, f"the cat {i} sat" if i % 2 else "the cat sat", "en") for i in range(n)] + [(None, "der hund und die katze", "de")] * 5
+    model = langid.LanguageModel.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), ["the", "der", "cat", "hund", "▁"], texts_per_language=500, rounds=1)
+    assert model.languages == ["de", "en"]
+
+
 def test_language_of_odd_rows(spark, odd, none):
     model = langid.LanguageModel.fit(odd, langid.public_pieces(PIECES), rounds=1)
     rows = model.predict(odd).collect()
@@ -325,21 +341,48 @@ def test_substrings_of_odd_rows(odd, none, module):
         assert by[8]["n_removed"] == 5000  # one text repeats itself
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.text("ab", max_size=12), st.text("ab", min_size=1, max_size=12)), min_size=2, max_size=9), st.integers(2, 10))
-def test_maximal_repeats(places, shortest):
+@pytest.mark.parametrize("find", [lcp_tree.maximal_repeats, lambda *a: suffix_tree.maximal_repeats(*a, width=1)])
+@settings(max_examples=80, deadline=None)
+@given(places=st.lists(st.tuples(st.text("ab", max_size=12), st.text("ab", min_size=1, max_size=12)), min_size=2, max_size=9), shortest=st.integers(2, 10))
+def test_maximal_repeats(find, places, shortest):
+    """All occurrences of every string that can't be extended to either side without losing one."""
     before = [a.encode()[::-1] for a, _ in places]
     after = [b.encode() for _, b in places]
-    marked = set()
-    for l, r, inside in lcp_tree.maximal_repeats(before, after, shortest):
-        assert l + r >= shortest and len(inside) > 1
-        assert len({before[x][:l] for x in inside}) == 1 == len({after[x][:r] for x in inside})
-        marked |= {(x, d) for x in inside for d in range(max(0, shortest - r), l + 1)}
+    found = [(l, r, tuple(sorted(inside))) for l, r, inside in find(before, after, shortest)]
     wanted = set()
-    for x, y in itertools.permutations(range(len(places)), 2):
-        l, r = lcp_tree.common(before[x], before[y]), lcp_tree.common(after[x], after[y])
-        wanted |= {(x, d) for d in range(max(0, shortest - r), l + 1)}
-    assert marked == wanted
+    for x, y in itertools.combinations(range(len(places)), 2):
+        l, r = repeats.common(before[x], before[y]), repeats.common(after[x], after[y])
+        if l + r >= shortest:
+            wanted.add((l, r, tuple(z for z in range(len(places)) if before[z][:l] == before[x][:l] and after[z][:r] == after[x][:r])))
+    assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_suffix_tree_links_its_nodes():
+    texts = [b"abcab", b"abcb", b"abd", b"b", b"bcab"]
+    nodes = {(depth, tuple(sorted(tree.order[first:end]))) for tree in [suffix_tree.Tree(texts, 1)] for depth, first, end, _ in tree.nodes()}
+    assert nodes == {(0, (0, 1, 2, 3, 4)), (2, (0, 1, 2)), (3, (0, 1)), (1, (3, 4))}
+
+
+@pytest.mark.parametrize("kind", [suffix_tree.KIND, lcp_tree.KIND])
+def test_longer_grams_keep_every_window(kind):
+    rng = random.Random(6)
+    lengths = repeats.gram_lengths(kind)
+    assert lengths[0] == kind.gram and lengths[-1] == kind.length and lengths == sorted(set(lengths))
+    words = words_of(rng, kind.length + 30, 9)
+    piece = " ".join(words).encode() if kind.words else "".join(words).encode()[: kind.length + 30]
+    rows = [(1, 2, 1, 7, 30, place, piece) for place in (30, 31, kind.length - kind.gram)]
+    import pyarrow as pa
+
+    for before, now in itertools.pairwise(lengths):
+        types = [pa.int64()] * 4 + [pa.int16()] * 2 + [pa.binary()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], list("abcdefg"))
+        parts = [r for out in repeats._lengthened(kind, before, now)([batch]) for r in zip(*(c.to_pylist() for c in out.columns))]
+        assert sum(r[4] + 1 for r in parts) == sum(r[4] + 1 for r in rows)
+        for _, _, _, _, extra, place, text, *_ in parts:
+            assert len(text.split() if kind.words else text) == extra + kind.length
+            assert all(0 <= place - off <= kind.length - now for off in range(extra + 1))  # the gram lies in every window
+        rows = [r[:7] for r in parts]
+    assert all(r[4] == 0 and r[5] == 0 for r in rows)
 
 
 @settings(max_examples=60, deadline=None)
@@ -398,17 +441,57 @@ def test_scores_do_not_depend_on_shards_or_order(spark):
     assert found[0] and all(f == found[0] for f in found)
 
 
-def test_wand_finds_all_above_the_threshold():
+def passages_of(index, text):
+    words = re.findall(r"\w+", text.lower())
+    half = index.longest
+    return [words[h : h + 2 * half] for h in range(0, max(1, len(words) - half), half)] if words else []
+
+
+def brute_bm25(items, index, text, threshold):
+    """item -> best score over a text's passages, by the formula and every item."""
+    tokens = [decontam.item_words(t) for _, t in items]
+    df, mean = Counter(w for t in tokens for w in set(t)), sum(map(len, tokens)) / len(tokens)
+    best = {}
+    for words in map(set, passages_of(index, text)):
+        for i, t in enumerate(tokens):
+            weight = {w: np.log1p((len(tokens) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w, n in Counter(t).items()}
+            score = sum(x for w, x in weight.items() if w in words) / sum(weight.values())
+            if score >= threshold - 1e-9:
+                best[i] = max(best.get(i, 0), score)
+    return best
+
+
+def test_search_equals_brute_force_bm25():
     rng = random.Random(9)
-    index = decontam.ItemIndex([(i, " ".join(words_of(rng, rng.randrange(3, 30), 30))) for i in range(50)])
-    for _ in range(200):
-        terms = rng.sample(range(len(index.vocabulary)), 25)
-        score = Counter()
-        for w in terms:
-            for item, x in index.postings[w]:
-                score[item] += x
-        got = {item: s for block in range(index.maxima.shape[1]) for item, s in index.wand(terms, block, 0.3)}
-        assert got == pytest.approx({i: s for i, s in score.items() if s >= 0.3 - 1e-9})
+    items = [(i, " ".join(words_of(rng, rng.randrange(8, 30), 30)) + ". " + " ".join(words_of(rng, 3, 30)) + ".") for i in range(50)]
+    index, found = decontam.ItemIndex(items), 0
+    texts = [" ".join(words_of(rng, rng.choice([0, 1, 20, 60, 400]), 30)) for _ in range(60)]
+    for text, got in zip(texts, index.search(texts, 0.45, 0.0)):
+        wanted = brute_bm25(items, index, text, 0.45)
+        assert got.keys() == wanted.keys() and {i: s for i, (s, _, _) in got.items()} == pytest.approx(wanted)
+        found += len(wanted)
+    assert found > 50
+
+
+def test_altered_items_are_found(spark):
+    rng = random.Random(10)
+    items = [(i, " ".join(words_of(rng, rng.randrange(60, 90), 3000)) + ". " + " ".join(words_of(rng, rng.randrange(6, 9), 3000)) + ".") for i in range(100)]
+    texts = []
+    for i, t in items:
+        words = t.split()
+        words[rng.randrange(10, 50)] = "altered"
+        texts.append((i, " ".join(words_of(rng, 100, 3000) + words + words_of(rng, rng.randrange(900), 3000))))
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(found & {(i, i) for i, _ in items}) >= 90 and all(i == j for i, j in found)
+
+
+def test_one_word_items_and_very_long_texts(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(words_of(rng, 20, 20_000)) + ". " + " ".join(words_of(rng, 6, 20_000)) + ".") for i in range(3000)] + [(9000, "a1"), (9001, "A1.")]
+    text = " ".join([*words_of(rng, 200_000, 20_000), items[77][1], "a1"])
+    index = decontam.ItemIndex(items)
+    assert list(index.search([text, "a1 a1"], 0.6, 0.8)) == [{77: pytest.approx((1.0, 1.0, 1.0))}, {}]
+    assert len(index.largest) <= sum(len(set(decontam.item_words(t))) for _, t in items)  # a bound for a posting at most
 
 
 # quality

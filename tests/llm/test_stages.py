@@ -1,5 +1,7 @@
 """Each stage over null, empty, long and repeated rows with clashing columns, and over no rows."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +10,13 @@ from tests.conftest import DATA
 from tests.llm.test_operators import ODD, SCHEMA
 
 DIR = str(DATA / "sf0.001")
-#: What goes of the odd rows: texts without a letter, later copies, nothing, nothing. Rows without an id stay.
-GONE = {"language": {3, 4, 5}, "exact": {2, 4}, "near": {2, 4, 5}, "leaks": set()}
+#: How many rows of each id stay: of the first stage those with a letter, of the next two one of equal (near) texts.
+STAY = {
+    "language": {1: 1, 2: 2, 6: 1, 7: 1, 8: 1, 9: 1, None: 1},
+    "exact": {1: 1, 3: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, None: 1},
+    "near": {1: 1, 3: 1, 6: 1, 8: 1, 9: 1, None: 1},
+    "leaks": {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, None: 2},
+}
 
 
 @pytest.fixture(scope="module")
@@ -24,12 +31,24 @@ def test_odd_rows(spark, odd, name, stage):
         assert out.count() == len(ODD)
         return
     assert out.columns == odd.columns
-    left = [r["doc_id"] for r in out.select("doc_id").collect()]
-    if name == "near":  # the two long texts are near copies
-        assert {6, 7} & set(left)
-        left = [i for i in left if i not in (6, 7)]
-    wanted = [i for i, *_ in ODD if i not in GONE[name] and (name != "near" or i not in (6, 7))]
-    assert sorted(left, key=str) == sorted(wanted, key=str)
+    assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == STAY[name]
+
+
+def test_ids_and_rows_that_repeat(spark):
+    """No text goes for its id; of equal rows one stays; rows without an id are judged like others."""
+    rows = [(1, "same text here"), (2, "same text here"), (2, "another unique text"), (3, "twice"), (3, "twice"), (None, "no id"), (None, "no  id"), (None, "no id"), (None, "other words")]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], SCHEMA).repartition(3)
+    wanted = Counter([(1, "same text here"), (2, "another unique text"), (3, "twice"), (None, "other words")])
+    for stage in (P.exact_stage, P.near_stage):
+        left = Counter((r["doc_id"], r["text"]) for r in stage(spark, docs, DIR).collect())
+        no_id = [t for i, t in left.elements() if i is None and t.startswith("no")]
+        assert len(no_id) == 1 and left - Counter([(None, no_id[0])]) == wanted
+
+
+def test_leaks_go_by_row(spark):
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(1, item, "en", "a"), (1, "clean", "en", "a"), (None, item, "en", "a"), (None, "clean too", "en", "a")], SCHEMA)
+    assert {(r["doc_id"], r["text"]) for r in P.leak_stage(spark, docs, DIR).collect()} == {(1, "clean"), (None, "clean too")}
 
 
 @pytest.mark.parametrize("name, stage", P.STAGES)
