@@ -3,56 +3,86 @@
 Each stage takes the documents its predecessor kept, takes its decision over all of them, and returns their columns as
 they are; the last returns their tokens. ``run`` writes every stage as Parquet below the session's shared checkpoint
 folder and reads it again, so a lost executor costs at most the stage it was in.
+
+Rows are told apart by ``doc_id`` together with the text: operators and joins use a key of both, so a text never goes
+because another one has its id, and rows with a null id are judged like any other.
+
+Defined results: null and empty texts go in the first stage (no letter); of texts that are equal the row with the
+smallest id stays, a null id comes last; of rows that are equal in id and text exactly one stays; other columns,
+whatever their names, are returned as they are; no rows in, no rows out.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import bloom_dedup, bpe, decontam, jaccard, langid
-from terrasift.llm.common import stored, table
+from terrasift.llm import bloom_dedup, bpe, decontam, langid, simhash
+from terrasift.llm.common import new_path, remove, stored, table
 from terrasift.llm.queries import BPE_RANKS, PIECES, held_out
 
+_KEY, _GONE = "_row key", "_row gone"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds the key of a row: it sorts by id, null last, and tells different texts of one id apart (two 64-bit hashes)."""
+    return docs.withColumn(_KEY, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")))
+
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose ids are not in ``gone``; rows with a null id stay.
+    """The documents whose keys are not the ``doc_id`` of ``gone``.
 
-    The ids are written first: their size is then known, so few of them are broadcast and the texts stay where they are.
+    Keys are written first: their size is then known, so few of them are broadcast and the texts stay where they are.
     """
-    gone = stored(gone.select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = stored(gone.select(F.col("doc_id").alias(_GONE)).distinct())
+    return docs.join(gone, docs[_KEY] == gone[_GONE], "left_anti")
+
+
+def _one_of_each(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """Of the documents whose keys are the ``doc_id`` of ``again`` one row each; only those shuffle."""
+    again = stored(again.select(F.col("doc_id").alias(_GONE)).distinct())
+    on = docs[_KEY] == again[_GONE]
+    return docs.join(again, on, "left_anti").unionByName(docs.join(again, on, "left_semi").dropDuplicates([_KEY]))
+
+
+def _repeated(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that is likelier than all others together, go."""
     model = langid.LanguageModel.fit(docs.filter(~held_out(F.col("doc_id"))), langid.public_pieces(PIECES))
-    return _without(docs, model.predict(docs).filter("lang_pred = 'und' or score < 0.5"))
+    keyed = _keyed(docs)
+    return _without(keyed, model.predict(keyed, id_col=_KEY).filter("lang_pred = 'und' or score < 0.5")).drop(_KEY)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
-    return _without(docs, bloom_dedup.exact_dedup(docs).filter("not kept"))
+    """Of equal texts one document stays, one with the smallest id."""
+    keyed = _keyed(docs)
+    found = stored(bloom_dedup.exact_dedup(keyed, id_col=_KEY).filter("group_size > 1"))
+    left = _without(keyed, found.filter("not kept"))
+    return _one_of_each(left, _repeated(found.filter("kept"))).drop(_KEY)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, similarity 0.8 or more) the document with the smallest id stays."""
-    return _without(docs, jaccard.near_copies(docs, words=5, similarity=0.8).filter("doc_id != component_id"))
+    """Of each group of near copies (shingles of five words, similarity 0.8 or more) one document with the smallest id stays."""
+    keyed = _keyed(docs)
+    found = stored(simhash.near_dedup(keyed, id_col=_KEY, words=5, similarity=0.8).select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("gone")))
+    left = _without(keyed, found.filter("gone"))
+    return _one_of_each(left, _repeated(found.filter("not gone"))).drop(_KEY)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
-    return _without(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    return _without(keyed, decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=_KEY)).drop(_KEY)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    """doc_id, n_tokens, ids, and the SHA-256 of what the ids decode to."""
     codec = bpe.Codec(spark, BPE_RANKS, public_tokenizers.PATTERN)
-    found = codec.recode(docs)
+    found = codec.encode(docs, decode=True)
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("data", 256).alias("decoded_sha256"))
 
 
@@ -63,10 +93,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
