@@ -100,6 +100,74 @@ def _maybe_repeated(bits, slots: int, hashes: int):
     return maybe
 
 
+def _any(slots: int, hashes: int):
+    """One bit map, compressed by leaving out empty chunks, of the slots that a task's rows hit."""
+
+    def run(batches):
+        parts = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
+        at = np.unique(_positions(np.concatenate(parts), slots, hashes)) if parts else np.zeros(0, np.int64)
+        for own in np.split(at, np.flatnonzero(np.diff(at // _CHUNK)) + 1) if len(at) else ():
+            bits = np.zeros(_CHUNK, np.uint8)
+            bits[own % _CHUNK] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([own[0] // _CHUNK], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["chunk", "bits"])
+
+    return run
+
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, on: str, hashes: int = 3, max_filter_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that may have one of the ``keys``, rows that certainly have none, keys): a Bloom filter of the keys, of
+    bounded size, so that a join with them shuffles few other rows. ``keys`` has the one column ``on``, distinct."""
+    keys = stored(keys)
+    _, slots = plan(keys.count(), 16, max_filter_bytes)
+    out = np.zeros(slots // 8, np.uint8)
+    for row in keys.select(F.xxhash64(on).alias("h")).mapInArrow(_any(slots, hashes), "chunk bigint, bits binary").toLocalIterator():
+        at = row["chunk"] * (_CHUNK // 8)
+        out[at : at + _CHUNK // 8] |= np.frombuffer(row["bits"], np.uint8)
+    maybe = _maybe_repeated(rows.sparkSession.sparkContext.broadcast(out), slots, hashes)(F.xxhash64(on))
+    return rows.filter(maybe), rows.filter(~maybe), keys
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows that have one of the keys, not null."""
+    maybe, _, keys = split_by_keys(rows, keys, on)
+    return maybe.join(keys, on, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows that have none of the keys, not null. Most of them never shuffle."""
+    maybe, others, keys = split_by_keys(rows, keys, on)
+    return maybe.join(keys, on, "left_anti").unionByName(others)
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, hashes: int = 3, max_filter_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay: one of each group of equal texts, one of its smallest id.
+
+    Rows that pass one of the filters never move; the others meet by partial aggregates, so no group is collected.
+    """
+    ship(docs.sparkSession)
+    h, names = "_hash of text", docs.columns
+    rows = docs.withColumn(h, F.xxhash64(normalised(text_col)))
+    ranges, slots = plan(docs.count(), slots_per_row, max_filter_bytes)
+    path, schema = new_path(docs.sparkSession, "hashes"), "h bigint, lot int"
+    rows.select(F.col(h).alias("h")).withColumn("lot", _lot("h", ranges)).write.partitionBy("lot").parquet(path)
+    parts = []
+    for n in range(ranges):
+        bits = docs.sparkSession.sparkContext.broadcast(repeated_slots(docs.sparkSession.read.schema(schema).parquet(path).filter(F.col("lot") == n).select("h"), slots, hashes))
+        own, maybe = rows.filter(_lot(h, ranges) == n), _maybe_repeated(bits, slots, hashes)(h)
+        order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
+        settled = own.filter(maybe).groupBy(F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)).agg(F.min_by(F.struct(*[f"`{c}`" for c in names]), order).alias("row")).select("row.*")
+        parts.append(settled.unionByName(own.filter(~maybe).drop(h)))
+        if ranges > 1:  # one filter is held at a time
+            parts[-1] = stored(parts[-1])
+            bits.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _lot(h: str, ranges: int) -> F.Column:
+    """Slots come from a hash's low bits and steps from its high ones, ranges from those between."""
+    return F.shiftrightunsigned(h, 29).bitwiseAND(ranges - 1).cast("int")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, hashes: int = 3, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
@@ -107,9 +175,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = id_and_text(docs, id_col, text_col).select("doc_id", normalised("text").alias("norm"))
     hashed = norm.select("doc_id", F.xxhash64("norm").alias("h"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))
     ranges, slots = plan(docs.count(), slots_per_row, max_filter_bytes)
-    # written once, by range; slots come from a hash's low bits and steps from its high ones, ranges from those between
     path, schema = new_path(spark, "hashes"), hashed.withColumn("lot", F.lit(0)).schema
-    hashed.withColumn("lot", F.shiftrightunsigned("h", 29).bitwiseAND(ranges - 1).cast("int")).write.partitionBy("lot").parquet(path)
+    hashed.withColumn("lot", _lot("h", ranges)).write.partitionBy("lot").parquet(path)
     parts = []
     for n in range(ranges):
         own = spark.read.schema(schema).parquet(path).filter(F.col("lot") == n)

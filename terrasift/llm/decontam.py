@@ -25,6 +25,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import islice, repeat
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_and_text, id_type, ship, sized, stored
+from .common import discard, id_and_text, id_type, ship, stored
 
 _BLOCK = 4  # items
 _WORDS_AT_ONCE = 200_000  # of documents searched together
@@ -234,41 +235,52 @@ def _shards(items: DataFrame, size: int):
     discard(df)
 
 
+_HITS = "item_id: bigint, score: double, question_overlap: double, answer_overlap: double"
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.6, overlap: float = 0.8, shard_items: int = 16_384) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every item that a document holds."""
+    rows, parts = id_and_text(docs, id_col, text_col), []
+    for held, only in _searches(docs, benchmark, item_col, threshold, overlap, shard_items):
+        found = rows.select("doc_id", F.explode(held("text")).alias("hit")).select("doc_id", "hit.*")
+        parts.append(found if only else stored(found))
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], f"doc_id: {id_type(rows)}, {_HITS}")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", threshold: float = 0.6, overlap: float = 0.8, shard_items: int = 16_384) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no item. No row shuffles."""
+    for held, only in _searches(docs, benchmark, item_col, threshold, overlap, shard_items):
+        docs = docs.filter(F.size(held(F.col(text_col))) == 0)
+        docs = docs if only else stored(docs)
+    return docs
+
+
+def _searches(docs: DataFrame, benchmark: DataFrame, item_col: str, threshold: float, overlap: float, shard_items: int):
+    """For each shard of items a function from texts to what they hold; of several shards one is held at a time."""
     spark = docs.sparkSession
     ship(spark)
-    rows = id_and_text(docs, id_col, text_col)
     items = id_and_text(benchmark, item_col, "text").select(F.col("doc_id").cast("bigint"), "text")
-    schema = f"doc_id {id_type(rows)}, item_id bigint, score double, question_overlap double, answer_overlap double"
-    parts = []
     for shard, totals in _shards(items, shard_items):
         index = spark.sparkContext.broadcast(ItemIndex(shard, totals=totals))
-        found = rows.mapInArrow(_search(index, threshold, overlap), schema)
-        if totals.items > shard_items:  # one index is held at a time
-            found = stored(found)
+        only = totals.items <= shard_items
+        yield F.arrow_udf(_search(index, threshold, overlap), f"array<struct<{_HITS}>>"), only
+        if not only:
             index.destroy()
-        parts.append(found)
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def _search(index, threshold: float, overlap: float):
-    names = ["item_id", "score", "question_overlap", "answer_overlap"]
-    types = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-
-    def some(ids: pa.Array, texts: list[str]):
-        hits = [(at, index.value.items[item], *values) for at, found in enumerate(index.value.search(texts, threshold, overlap)) for item, values in found.items()]
-        if hits:
-            at, *columns = zip(*hits)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(x, t) for x, t in zip(columns, types))], ["doc_id", *names])
-
-    def run(batches):
-        for b in sized(batches):
-            start, size, texts = 0, 0, [t or "" for t in b.column(1).to_pylist()]
-            for i, text in enumerate(texts):
-                size += len(text) // 5
-                if size >= _WORDS_AT_ONCE or i == len(texts) - 1:
-                    yield from some(b.column(0).slice(start, i + 1 - start), texts[start : i + 1])
-                    start, size = i + 1, 0
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out, texts, size = [], [], 0
+            for i, text in enumerate(column):
+                texts.append(text.as_py() or "")
+                size += len(texts[-1]) // 5
+                if size >= _WORDS_AT_ONCE or i == len(column) - 1:
+                    for found in index.value.search(texts, threshold, overlap):
+                        out.append([dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), (index.value.items[item], *values))) for item, values in found.items()])
+                    texts, size = [], 0
+            yield pa.array(out, kind)
 
     return run

@@ -6,7 +6,7 @@ of the hashes, with grams that are common in a sample of the texts last, so a co
 of little else. Which grams count as common changes the work, never the result.
 
 The pairs that the covering tables of SimHash link, and where more than ``common`` texts meet the pairs of each with
-the smallest and the largest of them, are compared first. After that two texts that meet are compared unless they are
+two of them, one that has few grams of its own, are compared first. After that two texts that meet are compared unless they are
 in one component already. The grams they share in their first members, and what is left after the earlier end of
 these, bound what they can share; pairs below what is needed go. Whole sets are read from the texts again for the
 candidates alone.
@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom_dedup import matching
 from .common import id_and_text, id_type, ship, sized, stored
 from ..operators.graph import components
 from .simhash import _signed, links, majority, shingle_hashes
@@ -78,17 +79,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that have the similarity."""
         keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
-        ids = stored(firsts.join(keys, "s").select("node").distinct())
-        found = rows.join(ids, rows["doc_id"] == ids["node"], "left_semi").mapInArrow(_sets(words, similarity), schema)
+        ids = firsts.join(keys, "s").select(F.col("node").alias("doc_id")).distinct()
+        found = matching(rows, ids, "doc_id").mapInArrow(_sets(words, similarity), schema)
         sets = stored(found.join(keys, "s", "left_semi").drop("doc_id", "fp").dropDuplicates(["s"]))
         left, right = (sets.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}")) for k in "ab")
         both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
         return stored(both.filter(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"))
 
     tokens = marked.select("s", "n", F.col("n") - F.size("grams"), F.element_at("grams", -1), F.explode("grams")).toDF("s", "n", "rest", "end", "g")
-    shared = stored(tokens.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo != hi"))
+    shared = stored(tokens.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo != hi").select("g", "k"))
     members = stored(tokens.join(shared, "g").distinct())
-    near = members.filter(F.col("k") > common).select("s", F.explode(F.array("lo", "hi")).alias("hub")).filter("s != hub")
+    # in a group of copies of one text those with the fewest grams of their own are nearest to all others
+    own = stored(members.groupBy("s").agg((F.first("n") - F.first("rest") - F.count(F.lit(1))).alias("own")))
+    many = members.filter(F.col("k") > common).join(own, "s")
+    hubs = stored(many.groupBy("g").agg(F.min(F.struct("own", "s")).alias("h"), F.min("s").alias("lo")).select("g", F.array("h.s", "lo").alias("hubs")))
+    near = many.join(hubs, "g").select("s", F.explode("hubs").alias("hub")).filter("s != hub")
     star = near.select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b"))
     meant = stored(firsts.groupBy("fp").agg(F.min("s").alias("node")))
     equal = firsts.select("s", "fp").join(meant, "fp").filter("s != node").select(F.col("s").alias("a"), F.col("node").alias("b"))

@@ -13,16 +13,17 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_and_text, id_type, ship, sized, stored
+from .common import discard, id_and_text, ship, stored
 
 MAX_WORD = 48
 _KNOWN = 150_000  # words that a task keeps
@@ -141,7 +142,7 @@ class LanguageModel:
         ship(spark)
         rows = labelled.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
         share = (texts_per_language / F.approx_count_distinct("row", 0.02)).alias("share")
-        sizes = rows.groupBy("lang").agg(share).select(F.col("lang").alias("of"), "share")
+        sizes = stored(rows.groupBy("lang").agg(share).select(F.col("lang").alias("of"), "share"))
         sample = rows.join(sizes, F.col("lang") == F.col("of")).filter(F.col("share") > F.col("row") / 2.0**64 + 0.5).dropDuplicates(["lang", "row"])
         split = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{MAX_WORD}}}"), 0))
         counted = sample.select("lang", split.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -159,13 +160,17 @@ class LanguageModel:
         discard(counted)
         return model
 
+    def of(self, text: Column | str) -> Column:
+        """A struct of lang_pred and score, the posterior probability of lang_pred under equal priors."""
+        sc = SparkContext.getOrCreate()
+        shared = sc.broadcast((self.languages, self.pieces, self.longest))
+        return F.arrow_udf(_predict(shared), "lang_pred string, score double")(text)
+
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, lang_pred, score: the posterior probability of lang_pred under equal priors."""
-        spark = docs.sparkSession
-        ship(spark)
-        shared = spark.sparkContext.broadcast((self.languages, self.pieces, self.longest))
+        """doc_id, lang_pred, score."""
+        ship(docs.sparkSession)
         rows = id_and_text(docs, id_col, text_col)
-        return rows.mapInArrow(_predict(shared), f"doc_id {id_type(rows)}, lang_pred string, score double")
+        return rows.select("doc_id", self.of("text").alias("p")).select("doc_id", "p.*")
 
 
 class _Scores:
@@ -187,12 +192,12 @@ class _Scores:
 
 
 def _predict(shared):
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages, pieces, longest = shared.value
         known = _Scores(pieces, longest) if languages else None
-        for b in sized(batches):
+        for column in texts:
             totals, waiting, sizes = [], [], []
-            for text in b.column(1):
+            for text in column:
                 found = words(text.as_py() or "") if languages else []
                 waiting += found
                 sizes.append(len(found))
@@ -204,7 +209,7 @@ def _predict(shared):
             best = score.argmax(axis=1) if languages else np.zeros(len(empty), int)
             chance = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1) if languages else np.zeros(len(empty))
             names = ["und" if e else languages[k] for e, k in zip(empty.tolist(), best.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.where(empty, 0.0, chance))], ["doc_id", "lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(empty, 0.0, chance))], ["lang_pred", "score"])
 
     return run
 
