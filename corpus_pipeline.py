@@ -4,8 +4,8 @@ Each stage takes the documents its predecessor kept, takes its decision over all
 they are; the last returns their tokens. ``run`` writes every stage as Parquet below the session's shared checkpoint
 folder and reads it again, so a lost executor costs at most the stage it was in.
 
-Rows are told apart by ``doc_id`` together with the text: operators and joins use a key of both, so a text never goes
-because another one has its id, and rows with a null id are judged like any other.
+Rows are told apart by ``doc_id`` together with the text, so a text never goes because another one has its id, and
+rows with a null id are judged like any other. Languages and leaks are decided within a row; only possible copies move.
 
 Defined results: null and empty texts go in the first stage (no letter); of texts that are equal the row with the
 smallest id stays, a null id comes last; of rows that are equal in id and text exactly one stays; other columns,
@@ -22,61 +22,38 @@ from terrasift.llm import bloom_dedup, bpe, decontam, langid, simhash
 from terrasift.llm.common import new_path, remove, stored, table
 from terrasift.llm.queries import BPE_RANKS, PIECES, held_out
 
-_KEY, _GONE = "_row key", "_row gone"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds the key of a row: it sorts by id, null last, and tells different texts of one id apart (two 64-bit hashes)."""
-    return docs.withColumn(_KEY, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")))
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose keys are not the ``doc_id`` of ``gone``.
-
-    Keys are written first: their size is then known, so few of them are broadcast and the texts stay where they are.
-    """
-    gone = stored(gone.select(F.col("doc_id").alias(_GONE)).distinct())
-    return docs.join(gone, docs[_KEY] == gone[_GONE], "left_anti")
-
-
-def _one_of_each(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """Of the documents whose keys are the ``doc_id`` of ``again`` one row each; only those shuffle."""
-    again = stored(again.select(F.col("doc_id").alias(_GONE)).distinct())
-    on = docs[_KEY] == again[_GONE]
-    return docs.join(again, on, "left_anti").unionByName(docs.join(again, on, "left_semi").dropDuplicates([_KEY]))
-
-
-def _repeated(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+_KEY, _OWN = "_row key", "_own"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that is likelier than all others together, go."""
     model = langid.LanguageModel.fit(docs.filter(~held_out(F.col("doc_id"))), langid.public_pieces(PIECES))
-    keyed = _keyed(docs)
-    return _without(keyed, model.predict(keyed, id_col=_KEY).filter("lang_pred = 'und' or score < 0.5")).drop(_KEY)
+    judged = docs.withColumn(_OWN, model.of("text"))
+    return judged.filter((F.col(f"{_OWN}.lang_pred") != "und") & (F.col(f"{_OWN}.score") >= 0.5)).drop(_OWN)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays, one with the smallest id."""
-    keyed = _keyed(docs)
-    found = stored(bloom_dedup.exact_dedup(keyed, id_col=_KEY).filter("group_size > 1"))
-    left = _without(keyed, found.filter("not kept"))
-    return _one_of_each(left, _repeated(found.filter("kept"))).drop(_KEY)
+    return bloom_dedup.first_of_each(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, similarity 0.8 or more) one document with the smallest id stays."""
-    keyed = _keyed(docs)
-    found = stored(simhash.near_dedup(keyed, id_col=_KEY, words=5, similarity=0.8).select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("gone")))
-    left = _without(keyed, found.filter("gone"))
-    return _one_of_each(left, _repeated(found.filter("not gone"))).drop(_KEY)
+    """Of each group of near copies (shingles of five words, similarity 0.8 or more) one document with the smallest id
+    stays. A row's key sorts by id, null last, and tells different texts of one id apart."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    keyed = docs.withColumn(_KEY, key)
+    found = stored(simhash.near_dedup(keyed, id_col=_KEY, words=5, similarity=0.8).select(F.col("doc_id").alias(_KEY), "component_id"))
+    stays = F.col(_KEY) == F.col("component_id")
+    left = bloom_dedup.without(keyed, found.filter(~stays).select(_KEY).distinct(), _KEY)
+    again = found.filter(stays).groupBy(_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_KEY)
+    maybe, others, again = bloom_dedup.split_by_keys(left, again, _KEY)
+    once = maybe.join(again, _KEY, "left_anti").unionByName(maybe.join(again, _KEY, "left_semi").dropDuplicates([_KEY]))
+    return others.unionByName(once).drop(_KEY).select(*docs.columns)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
-    keyed = _keyed(docs)
-    return _without(keyed, decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=_KEY)).drop(_KEY)
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
