@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalar import col
@@ -60,6 +60,12 @@ def heaviest(text, categories: dict[str, tuple[str, float, str | None]] = CATEGO
     return chain.otherwise(named(fallback))
 
 
+def classified(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds ``heaviest`` of a column: each different text is classified once, and there are far fewer than rows."""
+    known = df.select(F.col(text).alias("_text")).distinct().withColumn(name, heaviest("_text"))
+    return df.join(known, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def at_market(code, description, instrument, price) -> Column:
     """struct(is_arms_length, flag) of a sale."""
     code, description, instrument = (F.upper(F.trim(F.coalesce(col(c).cast("string"), F.lit("")))) for c in (code, description, instrument))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ EARTH_MILES = 3958.7613
 # Spellings of nothing, in lower case.
 NULLISH = ("", "nan", "none", "null", "<na>", "nat")
 # Letters with marks, and without.
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+_LATIN = [chr(i) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for i in block if len(normalize("NFD", chr(i))) > 1]
+_MARKED, _PLAIN = "".join(_LATIN), "".join(normalize("NFD", c)[0] for c in _LATIN)
 # Numbers in words.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty")
 
@@ -51,8 +53,8 @@ def no_zero(c) -> Column:
 
 
 def without_marks(c) -> Column:
-    """Latin letters without their marks."""
-    return F.translate(col(c), _MARKED, _PLAIN)
+    """Latin letters without their marks: those that Unicode decomposes lose them, and marks that stand alone go."""
+    return F.regexp_replace(F.translate(col(c), _MARKED, _PLAIN), r"\p{Mn}", "")
 
 
 def first_date(c, *formats: str) -> Column:

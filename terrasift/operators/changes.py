@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from .relational import latest_per_key
 
 
+def first_of_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    return latest_per_key(df, keys, order) if order else df.dropDuplicates(list(keys))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), keep: Sequence[str] = ()) -> DataFrame:
     """``new`` replaces rows of ``old`` with the same key, by column name; of several new rows the first in ``order`` counts.
 
     Columns in ``keep`` retain the old value where the new one is null.
     """
-    new = latest_per_key(new, keys, order) if order else new.dropDuplicates(list(keys))
+    new = first_of_key(new, keys, order)
     if keep:
         before = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in keep])
         new = new.join(before, list(keys), "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_old_{c}")) for c in keep}).drop(*[f"_old_{c}" for c in keep])
@@ -24,7 +28,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    new = latest_per_key(new, keys, order) if order else new.dropDuplicates(list(keys))
+    new = first_of_key(new, keys, order)
     return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
@@ -39,8 +43,14 @@ def rekey(df: DataFrame, key: str, repairs: DataFrame, old: str, new: str) -> Da
     return df.join(free, F.col(key) == F.col("_old"), "left").withColumn(key, F.coalesce("_new", key)).drop("_old", "_new")
 
 
+KEPT_VERSIONS = 2
+
+
 class TableStore:
-    """Parquet tables below a shared folder. Every write is a new version; readers follow the newest complete one."""
+    """Parquet tables below a shared folder. Every write is a new version; readers follow the newest complete one.
+
+    The version before stays for readers that are still at it; older ones are removed.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -65,10 +75,12 @@ class TableStore:
         """Replaces the table; a run that fails leaves the version before in place."""
         number = int(self._versions(name)[-1].split("-")[0]) + 1 if self.exists(name) else 0
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{number:010d}-{uuid.uuid4().hex}")
+        for old in self._versions(name)[:-KEPT_VERSIONS]:
+            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
         return self.read(name)
 
     def upsert(self, name: str, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), keep: Sequence[str] = ()) -> DataFrame:
-        return self.write(name, upsert(self.read(name), new, keys, order, keep) if self.exists(name) else new.dropDuplicates(list(keys)))
+        return self.write(name, upsert(self.read(name), new, keys, order, keep) if self.exists(name) else first_of_key(new, keys, order))
 
     def insert_ignore(self, name: str, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-        return self.write(name, insert_ignore(self.read(name), new, keys, order) if self.exists(name) else new.dropDuplicates(list(keys)))
+        return self.write(name, insert_ignore(self.read(name), new, keys, order) if self.exists(name) else first_of_key(new, keys, order))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..sources.lines import PRIORITY, parsed_points
 from .relational import capped
-from .spatial import box, claim_by_priority, grid, overlaps, simplify
+from .spatial import box, claim_by_priority, grid, meets, overlaps, simplify
 
 #: Page caps of the layers: what a map can show, not what is computed.
 MOST_CELLS, MOST_TRACTS, MOST_LINES = 6000, 2500, 5000
@@ -37,11 +37,11 @@ def _simplified(tolerance: float):
 
 
 def choropleth(geometry: DataFrame, attributes: DataFrame, west: float, south: float, east: float, north: float, most: int = MOST_TRACTS, tolerance: float = 0.0004) -> tuple[DataFrame, bool]:
-    """Tracts whose box meets the window, simplified, with their attributes; and whether more were left out.
+    """Tracts that meet the window (their box first, then their shape), simplified, with their attributes; and whether more were left out.
 
     ``geometry``: tract_fips, ring (array of struct(x, y)).
     """
-    shapes = geometry.withColumn("_b", box(F.col("ring"))).select("tract_fips", "ring", "_b.*").filter(overlaps(west, south, east, north))
+    shapes = geometry.withColumn("_b", box(F.col("ring"))).select("tract_fips", "ring", "_b.*").filter(overlaps(west, south, east, north) & meets(F.col("ring"), west, south, east, north))
     chosen, more = capped(shapes.select("tract_fips", "ring"), [F.col("tract_fips")], most)
     thin = chosen.mapInPandas(_simplified(tolerance), "tract_fips string, ring array<struct<x:double,y:double>>")
     return thin.join(attributes.select("tract_fips", "county_name", "state_name", "risk_score", "risk_ratng", "risk_npctl", "eal_valt", "sovi_ratng", "resl_ratng"), "tract_fips", "left"), more

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +64,20 @@ def blocked_best(left: DataFrame, right: DataFrame, block: Sequence[str], score:
     return latest_per_key(pairs, [left_key], [F.col("score").desc(), *tiebreak])
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], left_key: str, right_key: str, words: str, least: float, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """left_key, right_key, score of the pairs of a block whose word sets have at least that Jaccard similarity.
+
+    Such pairs share one of the first n - ceil(least n) + 1 words of each in any one order, here the words' hashes; only
+    texts that share such a word are compared, not all of a block. ``words``: distinct words, an array in both frames.
+    """
+    n = F.size(words)
+    first = F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * least - F.lit(1e-9)).cast("int") + 1))
+    a, b = (df.select(*block, F.col(key).alias(f"_{side}"), F.col(words).alias(f"_w{side}"), F.explode(first).alias("_at")) for df, key, side in ((left, left_key, "l"), (right, right_key, "r")))
+    met = a.join(b, [*block, "_at"]).filter((F.size("_wl") >= least * F.size("_wr") - 1e-9) & (F.size("_wr") >= least * F.size("_wl") - 1e-9))
+    pairs = met.groupBy("_l", "_r").agg(F.first("_wl").alias("_wl"), F.first("_wr").alias("_wr"))
+    return pairs.select(F.col("_l").alias(left_key), F.col("_r").alias(right_key), score(F.col("_wl"), F.col("_wr")).alias("score")).filter(F.col("score") >= least)
+
+
 def floor_index_percentile(df: DataFrame, value: str, percent: float) -> float | None:
     """The element at floor(p (n - 1)) of the sorted values, p clamped to 50 to 99 percent."""
     n = df.filter(F.col(value).isNotNull()).count()

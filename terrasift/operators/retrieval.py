@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,56 @@ def nearest(items: DataFrame, vector: str, query: Sequence[float], k: int, key:
     return rows.withColumn("score", F.round(cosine(F.col(vector), literal), 6)).orderBy(F.col("score").desc_nulls_last(), key).limit(k)
 
 
+def nearest_each(items: DataFrame, vector: str, queries: DataFrame, k: int, key: str, at_once: int = 1024) -> DataFrame:
+    """query, key, score, nth: the k items most like each row of ``queries`` (key and vector); ties by key.
+
+    Queries are taken ``at_once`` at a time, a matrix of bounded size. A task keeps k items for each; those of all
+    tasks meet by query, k rows a task.
+    """
+    spark, out = items.sparkSession, []
+    kind = items.schema[key].dataType.simpleString()
+    rows = queries.select(key, vector).filter(F.col(vector).isNotNull()).toLocalIterator()
+    while block := list(islice(rows, at_once)):
+        asked = spark.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block], np.float64)))
+        best = items.select(key, vector).filter(F.col(vector).isNotNull()).mapInPandas(_scored(asked, k), f"query {kind}, {key} {kind}, score double")
+        nth = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))
+        out.append(best.withColumn("nth", nth).filter(F.col("nth") <= k))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"query {kind}, {key} {kind}, score double, nth int")
+
+
+def _scored(asked, k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = asked.value
+        size = np.sqrt((q * q).sum(axis=1))
+        best: list[pd.DataFrame] = [pd.DataFrame() for _ in names]
+        for f in frames:
+            if not len(f):
+                continue
+            ids, m = f.iloc[:, 0].to_numpy(), np.stack(f.iloc[:, 1].to_numpy()).astype(np.float64)
+            with np.errstate(all="ignore"):
+                score = np.round(q @ m.T / (size[:, None] * np.sqrt((m * m).sum(axis=1))), 6)
+            for i, own in enumerate(score):
+                at = np.flatnonzero(~np.isnan(own))
+                if len(at) > k:  # all that tie with the k-th stay
+                    at = at[own[at] >= np.partition(own[at], len(at) - k)[len(at) - k]]
+                both = pd.concat([best[i], pd.DataFrame({"query": names[i], f.columns[0]: ids[at], "score": own[at]})])
+                best[i] = both.sort_values(["score", f.columns[0]], ascending=[False, True]).head(k)
+        yield from (b for b in best if len(b))
+
+    return run
+
+
+def lexical_each(items: DataFrame, text: str, queries: DataFrame, k: int, key: str) -> DataFrame:
+    """query, key, score, nth: for each row of ``queries`` the k items that share most different words with it; ties by key.
+
+    Words meet through an inverted list; shared words are counted in part before the pairs shuffle.
+    """
+    listed = lambda df, name: df.select(F.col(key).alias(name), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9_]+)"), 1))).alias("word"))
+    pairs = listed(queries, "query").join(listed(items, key), "word").groupBy("query", key).agg(F.count(F.lit(1)).alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))
+    return pairs.withColumn("nth", nth).filter(F.col("nth") <= k)
+
+
 def lexical(items: DataFrame, text: str, query: str, phrases: Sequence[str], k: int, key: str) -> DataFrame:
     """Shared different words plus two for each phrase that occurs; positive scores only, ties by key."""
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9_]+)"), 1))

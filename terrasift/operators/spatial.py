@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .shared import stored
 
 
 def grid(points: DataFrame, x: str, y: str, size: float, weight: str) -> DataFrame:
@@ -44,18 +47,36 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
 
-def assign_polygon(points: DataFrame, polygons: DataFrame, point_key: str, x: str, y: str, polygon_key: str, ring: str, cell: float) -> DataFrame:
+def assign_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, polygon_key: str, ring: str, cell: float) -> DataFrame:
     """Adds the polygon of each point, the smallest key where several hold it, null where none does.
 
-    Polygons are dealt to the grid cells their boxes touch, so points only meet polygons of their own cell.
+    Polygons are dealt to the grid cells their boxes touch and listed by cell, as many as overlap there; the lists are
+    written, so points meet them in one join of which Spark can split a busy cell.
     """
     edge = box(F.col(ring))
     at = lambda a, b: F.sequence(F.floor(a / cell).cast("bigint"), F.floor(b / cell).cast("bigint"))
     dealt = polygons.withColumn("_b", edge).withColumn("_i", F.explode(at(F.col("_b.min_lon"), F.col("_b.max_lon")))).withColumn("_j", F.explode(at(F.col("_b.min_lat"), F.col("_b.max_lat"))))
-    dealt = dealt.select(F.col(polygon_key).alias("_polygon"), F.col(ring).alias("_ring"), "_i", "_j")
+    lists = stored(dealt.groupBy("_i", "_j").agg(F.collect_list(F.struct(F.col(polygon_key).alias("polygon"), F.col(ring).alias("ring"))).alias("_near")))
     own = points.withColumns({"_i": F.floor(F.col(x) / cell).cast("bigint"), "_j": F.floor(F.col(y) / cell).cast("bigint")})
-    found = own.join(dealt, ["_i", "_j"]).filter(inside(F.col(x), F.col(y), F.col("_ring"))).groupBy(point_key).agg(F.min("_polygon").alias(polygon_key))
-    return points.join(found, point_key, "left")
+    holding = F.filter("_near", lambda p: inside(F.col(x), F.col(y), p["ring"]))
+    return own.join(lists, ["_i", "_j"], "left").withColumn(polygon_key, F.array_min(F.transform(holding, lambda p: p["polygon"]))).drop("_i", "_j", "_near")
+
+
+def meets(ring: Column, west: float, south: float, east: float, north: float) -> Column:
+    """Whether a closed ring's area and a window have a point in common: an edge passes the window, or it lies inside."""
+    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def passes(e):
+        """The part of the edge that is within both ranges, as a stretch of its length, is not empty."""
+        low, high = F.lit(0.0), F.lit(1.0)
+        for k, least, most in (("x", west, east), ("y", south, north)):
+            a, d = e["a"][k], e["b"][k] - e["a"][k]
+            first, last = (least - a) / F.nullif(d, F.lit(0.0)), (most - a) / F.nullif(d, F.lit(0.0))
+            flat = F.when((a >= least) & (a <= most), F.lit(0.0)).otherwise(F.lit(2.0))
+            low, high = F.greatest(low, F.when(d == 0, flat).otherwise(F.least(first, last))), F.least(high, F.when(d == 0, F.lit(1.0)).otherwise(F.greatest(first, last)))
+        return low <= high
+
+    return F.exists(edges, passes) | inside(F.lit(west), F.lit(south), ring)
 
 
 def project(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -69,10 +90,26 @@ def project(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Colu
 def snap(edges: DataFrame, lon: float, lat: float, farthest_miles: float = 0.5) -> DataFrame:
     """The edge nearest to a point with where it meets it: one row, or none beyond ``farthest_miles``."""
     at = project(F.lit(lon), F.lit(lat), F.col("src_x"), F.col("src_y"), F.col("dst_x"), F.col("dst_y"))
-    best = edges.withColumn("at", at).orderBy("at.d2", "src_x", "src_y", "dst_x", "dst_y").limit(1)
+    high = farthest_miles / 68.0  # a degree of latitude is longer than this many miles
+    wide = high / max(0.01, math.cos(math.radians(min(89.0, abs(lat) + high))))
+    near = edges.filter((F.least("src_x", "dst_x") <= lon + wide) & (F.greatest("src_x", "dst_x") >= lon - wide) & (F.least("src_y", "dst_y") <= lat + high) & (F.greatest("src_y", "dst_y") >= lat - high))
+    best = near.withColumn("at", at).orderBy("at.d2", "src_x", "src_y", "dst_x", "dst_y").limit(1)
     return best.filter(S.miles(F.lit(lat), F.lit(lon), "at.y", "at.x") <= farthest_miles)
 
 
+def nearest_edges(points: DataFrame, edges: DataFrame, key: str, x: str, y: str, edge_key: str, farthest: float) -> DataFrame:
+    """key, edge_key, t, d2: for each point the nearest edge within ``farthest`` (in the units of the coordinates).
+
+    An edge is dealt to the cells, ``farthest`` wide, that its widened box touches, so a point only looks in its own.
+    """
+    at = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - farthest) / farthest).cast("bigint"), F.floor((F.greatest(a, b) + farthest) / farthest).cast("bigint")))
+    dealt = edges.select(edge_key, "src_x", "src_y", "dst_x", "dst_y").withColumn("_i", at("src_x", "dst_x")).withColumn("_j", at("src_y", "dst_y"))
+    own = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumns({"_i": F.floor(F.col("_x") / farthest).cast("bigint"), "_j": F.floor(F.col("_y") / farthest).cast("bigint")})
+    met = own.join(dealt, ["_i", "_j"]).withColumn("at", project(*(F.col(c) for c in ("_x", "_y", "src_x", "src_y", "dst_x", "dst_y")))).filter(F.col("at.d2") <= farthest * farthest)
+    best = met.groupBy(key).agg(F.min(F.struct("at.d2", F.col(edge_key).alias("edge"), "at.t")).alias("b"))
+    return best.select(key, F.col("b.edge").alias(edge_key), "b.t", "b.d2")
+
+
 def samples(ax: Column, ay: Column, bx: Column, by: Column, steps: int = 10) -> Column:
     """Places along a segment, both ends included."""
     return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct((ax + (bx - ax) * i / steps).alias("x"), (ay + (by - ay) * i / steps).alias("y")))

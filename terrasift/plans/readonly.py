@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import joins_for, visible
 
-_READS = {"Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "Intersect", "Except", "UnresolvedWith", "WithCTE", "UnresolvedHaving", "Filter", "SubqueryAlias", "Pivot", "Unpivot", "Offset", "UnresolvedRelation", "WithWindowDefinition"}
+#: What a parsed plan may consist of. Scripts, table functions, commands and hints of any other kind are refused.
+_READS = {
+    "Aggregate", "Distinct", "Except", "Filter", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "Offset", "OneRowRelation", "Pivot", "Project", "Sort", "SubqueryAlias",
+    "Union", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Unpivot", "WithWindowDefinition",
+}
+#: Functions a statement may call; operators and casts are no functions to the parser.
+_FUNCTIONS = set(
+    "abs acos add_months any_value approx_count_distinct array array_contains array_distinct array_sort asin atan atan2 avg between bool_and bool_or ceil ceiling char_length coalesce collect_list "
+    "collect_set concat concat_ws contains corr cos count count_if cume_dist current_date current_timestamp date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek degrees "
+    "dense_rank element_at endswith every exp extract first first_value floor from_json get_json_object greatest hour if ifnull in initcap instr isnotnull isnull json_tuple lag last last_day last_value lcase "
+    "lead least left len length ln locate log log10 lower lpad ltrim max max_by md5 mean median min min_by minute mod month months_between named_struct ntile nullif nvl nvl2 percent_rank percentile "
+    "percentile_approx percentile_cont percentile_disc pow power quarter radians rank regexp_extract regexp_like regexp_replace repeat replace reverse right rlike round row_number rpad rtrim second sign sin size "
+    "some split split_part sqrt startswith stddev stddev_pop stddev_samp struct substr substring substring_index sum tan to_date to_timestamp trim trunc try_cast try_divide try_to_timestamp ucase upper var_pop "
+    "var_samp variance weekofyear year".split()
+)
 
 
 class NotAllowed(ValueError):
@@ -21,6 +35,34 @@ def cleaned(sql: str) -> str:
     return text.rstrip("; \n\t")
 
 
+def _function_names(expression) -> set[str]:
+    found = set()
+    if expression.getClass().getSimpleName() == "UnresolvedFunction":
+        found.add(expression.nameParts().mkString(".").lower())
+    children = expression.children()
+    for i in range(children.size()):
+        found |= _function_names(children.apply(i))
+    return found
+
+
+def _judged(plan) -> None:
+    """Raises for any node, in a subquery too, that is no plain read, and for any function that is not listed."""
+    if (kind := plan.getClass().getSimpleName()) not in _READS:
+        raise NotAllowed(f"only queries are allowed, not {kind}")
+    expressions = plan.expressions()
+    for i in range(expressions.size()):
+        if unknown := _function_names(expressions.apply(i)) - _FUNCTIONS:
+            raise NotAllowed(f"not an allowed function: {', '.join(sorted(unknown))}")
+    parts = [plan.children(), plan.subqueries()]
+    if kind == "UnresolvedWith":
+        relations = plan.cteRelations()
+        for i in range(relations.size()):
+            _judged(relations.apply(i)._2())
+    for part in parts:
+        for i in range(part.size()):
+            _judged(part.apply(i))
+
+
 def _names(plan, hidden: frozenset[str]) -> set[str]:
     """Relations that a parsed plan reads. The names a WITH defines count only inside it."""
     kind = plan.getClass().getSimpleName()
@@ -53,8 +95,7 @@ def checked(spark: SparkSession, sql: str, tables: list[str] | None = None) -> t
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise NotAllowed(f"not one readable statement: {str(e)[:200]}") from None
-    if (kind := plan.getClass().getSimpleName()) not in _READS:
-        raise NotAllowed(f"only queries are allowed, not {kind}")
+    _judged(plan)
     names = _names(plan, frozenset())
     if unknown := names - set(tables if tables is not None else visible()):
         raise NotAllowed(f"not an allowed table: {', '.join(sorted(unknown))}")
@@ -63,8 +104,9 @@ def checked(spark: SparkSession, sql: str, tables: list[str] | None = None) -> t
     return text, names
 
 
-def run(spark: SparkSession, sql: str, tables: list[str] | None = None) -> DataFrame:
-    return spark.sql(checked(spark, sql, tables)[0])
+def run(spark: SparkSession, sql: str, tables: list[str] | None = None, args: dict | list | None = None) -> DataFrame:
+    """``args``: values of the statement's ``:name`` or ``?`` parameters; they are never spliced into its text."""
+    return spark.sql(checked(spark, sql, tables)[0], args=args)
 
 
 def why_empty(spark: SparkSession, names: set[str]) -> str:

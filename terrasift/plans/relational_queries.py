@@ -149,14 +149,14 @@ def semi_join_attr(spark, d):
 
 
 @query("""WITH want AS (SELECT p_partkey AS sale, p_name AS name, p_brand AS brand, p_type AS type FROM part WHERE p_partkey % 3 = 0),
-have AS (SELECT p_partkey AS house, p_name AS name, p_brand AS brand, p_type AS type FROM part WHERE p_partkey % 3 = 1 AND p_size > 25),
+have AS (SELECT p_partkey AS house, p_name AS name, p_brand AS brand, p_type AS type FROM part WHERE p_partkey % 3 <> 0),
 t1 AS (SELECT name, brand, type, min(house) AS h FROM have GROUP BY ALL), t2 AS (SELECT name, brand, min(house) AS h FROM have GROUP BY ALL), t3 AS (SELECT name, type, min(house) AS h FROM have GROUP BY ALL)
 SELECT sale, coalesce(t1.h, t2.h, t3.h) AS house, CASE WHEN t1.h IS NOT NULL THEN 1 WHEN t2.h IS NOT NULL THEN 2 WHEN t3.h IS NOT NULL THEN 3 END AS tier FROM want w
 LEFT JOIN t1 ON t1.name = w.name AND t1.brand = w.brand AND t1.type = w.type LEFT JOIN t2 ON t2.name = w.name AND t2.brand = w.brand LEFT JOIN t3 ON t3.name = w.name AND t3.type = w.type""")
 def tiered_match(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), "p_size")
     want = rows.filter("p_partkey % 3 = 0").withColumnRenamed("p_partkey", "sale")
-    have = rows.filter("p_partkey % 3 = 1 and p_size > 25").withColumnRenamed("p_partkey", "house")
+    have = rows.filter("p_partkey % 3 != 0").withColumnRenamed("p_partkey", "house")
     return R.tiered_match(want, have, [("name", "brand", "type"), ("name", "brand"), ("name", "type")], "house", [F.col("house")]).select("sale", "house", "tier")
 
 
@@ -166,11 +166,20 @@ SELECT p_partkey, other, round(score, 6) AS score FROM (SELECT *, row_number() O
 def fuzzy_block_best(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", S.words("p_name").alias("w"))
     other = rows.select(F.col("p_partkey").alias("other"), "p_type", "p_brand", F.col("w").alias("v"))
-    score = F.when(F.col("p_partkey") != F.col("other"), S.jaccard(F.col("w"), F.col("v")))
-    best = R.blocked_best(rows, other, ["p_type", "p_brand"], score, 0.3, "p_partkey", [F.col("other")])
+    pairs = R.similar_pairs(rows, other.withColumnRenamed("v", "w"), ["p_type", "p_brand"], "p_partkey", "other", "w", 0.3, S.jaccard).filter("p_partkey != other")
+    best = R.latest_per_key(pairs, ["p_partkey"], [F.col("score").desc(), F.col("other")])
     return best.select("p_partkey", "other", F.round("score", 6).alias("score"))
 
 
+@query("""WITH a AS (SELECT p_partkey, p_type, p_brand, string_split(p_name, ' ') AS w FROM part), b AS (SELECT p_partkey AS other, p_type, p_brand, string_split(p_name, ' ') AS v FROM part),
+pairs AS (SELECT p_partkey, other, len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) AS score FROM a JOIN b USING (p_type, p_brand) WHERE p_partkey < other)
+SELECT p_partkey, other, round(score, 6) AS score FROM pairs WHERE score >= 0.5""")
+def jaccard_pairs(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", S.words("p_name").alias("w"))
+    pairs = R.similar_pairs(rows, rows.withColumnRenamed("p_partkey", "other"), ["p_type", "p_brand"], "p_partkey", "other", "w", 0.5, S.jaccard)
+    return pairs.filter("p_partkey < other").withColumn("score", F.round("score", 6))
+
+
 @query("""SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id
 AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR""")
 def range_bucket_join(spark, d):

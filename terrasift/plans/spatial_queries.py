@@ -97,9 +97,9 @@ def _ring_sql(ring) -> str:
 @query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x, l_extendedprice AS y FROM lineitem),
 t AS (SELECT *, CASE WHEN ({_ring_sql(_RINGS[1])}) % 2 = 1 THEN 1 WHEN ({_ring_sql(_RINGS[2])}) % 2 = 1 THEN 2 END AS tract FROM p) SELECT tract, count(*) AS n FROM t GROUP BY 1""")
 def point_in_polygon(spark, d):
-    points = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("id"), "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"))
+    points = table(spark, d, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("y"))
     rings = spark.createDataFrame([(k, [(float(x), y / 1000) for x, y in v]) for k, v in _RINGS.items()], "tract int, ring array<struct<x:double,y:double>>")
-    return P.assign_polygon(points, rings, "id", "l_quantity", "y", "tract", "ring", 10.0).groupBy("tract").agg(F.count(F.lit(1)).alias("n"))
+    return P.assign_polygon(points, rings, "l_quantity", "y", "tract", "ring", 10.0).groupBy("tract").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT l_partkey, l_suppkey, l_orderkey, p FROM (SELECT l_partkey, l_suppkey, l_orderkey, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END AS p,
@@ -117,23 +117,22 @@ def graph_edges_min(spark, d):
 
 
 #: Edges of a network of suppliers and the parts they ship: sparse, with many nodes of degree two.
-_NETWORK = "SELECT least(a, b) AS src, greatest(a, b) AS dst, min(w) AS weight FROM (SELECT o_custkey AS a, (o_custkey * 7 + o_orderkey % 3) % (SELECT count(*) FROM customer) AS b, CAST(1 + o_custkey % 5 AS DOUBLE) AS w FROM orders WHERE o_orderpriority = '1-URGENT') WHERE a <> b GROUP BY 1, 2"
+_NETWORK = "SELECT least(a, b) AS src, greatest(a, b) AS dst, min(w) AS weight FROM (SELECT o_custkey AS a, (o_custkey * 7 + o_orderkey % 3) % (SELECT count(*) FROM customer) AS b, CAST(1 + o_custkey % 5 AS DOUBLE) AS w FROM orders) WHERE a <> b GROUP BY 1, 2"
 
 
 def _network(spark, d):
     n = table(spark, d, "customer").count()
-    rows = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
-    rows = rows.select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % n).alias("b"), (1 + F.col("o_custkey") % 5).cast("double").alias("w"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % n).alias("b"), (1 + F.col("o_custkey") % 5).cast("double").alias("w"))
     return G.undirected(rows, "a", "b", "w")
 
 
-@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_NETWORK}), both_ways AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
-walk AS (SELECT 0::BIGINT AS node, 0::BIGINT AS hops UNION SELECT dst, hops + 1 FROM walk JOIN both_ways ON src = node WHERE hops < 25)
-SELECT node, CAST(min(hops) AS DOUBLE) AS distance FROM walk GROUP BY 1""")
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_NETWORK}), both_ways AS MATERIALIZED (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e),
+walk(node, distance) USING KEY (node) AS (SELECT 0::BIGINT AS node, 0::DOUBLE AS distance UNION
+SELECT dst, min(w.distance + weight) FROM walk w JOIN both_ways ON src = w.node LEFT JOIN recurring.walk r ON r.node = dst WHERE r.node IS NULL OR w.distance + weight < r.distance GROUP BY dst)
+SELECT node, distance FROM walk""")
 def shortest_path(spark, d):
-    """Hops from customer 0 to all it reaches, however far. The SQL beside it stops at 25, where it would lack rows."""
-    hops = G.shortest_paths(_network(spark, d).withColumn("weight", F.lit(1.0)), 0)
-    return hops.select("node", "distance")
+    """From customer 0 to all it reaches, over the weighted network of all orders."""
+    return G.shortest_paths(_network(spark, d), 0).select("node", "distance")
 
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS chain, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth, o_orderstatus FROM orders),
@@ -157,6 +156,17 @@ def snap_nearest_edge(spark, d):
     return e.withColumn("at", at).orderBy("at.d2", "s_suppkey").limit(1).select("s_suppkey", F.round("at.t", 6).alias("t"))
 
 
+@query("""WITH q AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y FROM part WHERE p_partkey % 50 = 0), e AS (SELECT s_suppkey, CAST(s_suppkey % 50 AS DOUBLE) AS ax, s_acctbal / 500 AS ay FROM supplier),
+t AS (SELECT p_partkey, s_suppkey, greatest(0.0, least(1.0, ((x - ax) * 3 + (y - ay) * 2) / 13.0)) AS t, x, y, ax, ay FROM q, e), d AS (SELECT *, pow(x - (ax + t * 3), 2) + pow(y - (ay + t * 2), 2) AS d2 FROM t)
+SELECT p_partkey, s_suppkey, round(t, 6) AS t FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d2, s_suppkey) AS nth FROM d WHERE d2 <= 4) WHERE nth = 1""")
+def snap_nearest_edges(spark, d):
+    """Every part whose id is divisible by 50 is a stop; an edge is near if it is at most 2 away."""
+    ax, ay = (F.col("s_suppkey") % 50).cast("double"), F.col("s_acctbal") / 500
+    edges = table(spark, d, "supplier").select("s_suppkey", ax.alias("src_x"), ay.alias("src_y"), (ax + 3).alias("dst_x"), (ay + 2).alias("dst_y"))
+    stops = table(spark, d, "part").filter("p_partkey % 50 = 0").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"))
+    return P.nearest_edges(stops, edges, "p_partkey", "x", "y", "s_suppkey", 2.0).select("p_partkey", "s_suppkey", F.round("t", 6).alias("t"))
+
+
 @query("""WITH c AS (SELECT CAST(floor(l_quantity / 5.0 + 0.5) AS BIGINT) AS i, CAST(floor(l_linenumber / 5.0 + 0.5) AS BIGINT) AS j, round(count(*) / 100.0, 4) AS intensity FROM lineitem GROUP BY 1, 2),
 s AS (SELECT s_suppkey, k, CAST(s_suppkey % 40 AS DOUBLE) + 10.0 * k / 10 AS x, CAST(s_suppkey % 5 AS DOUBLE) + 2.0 * k / 10 AS y FROM supplier, range(11) r(k)),
 m AS (SELECT s_suppkey, coalesce(intensity, 0) AS v FROM s LEFT JOIN c ON i = CAST(floor(x / 5.0 + 0.5) AS BIGINT) AND j = CAST(floor(y / 5.0 + 0.5) AS BIGINT))

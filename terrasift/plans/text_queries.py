@@ -82,7 +82,7 @@ def _category_sql(part: int) -> str:
 SELECT category, count(*) AS n, CAST(sum(w) AS DOUBLE) AS severity FROM (SELECT {_category_sql(0)} AS category, CAST({_category_sql(1)} AS DECIMAL(18,2)) AS w FROM i) GROUP BY 1""")
 def taxonomy_max_weight(spark, d):
     texts = F.element_at(F.create_map(*[F.lit(x) for kv in _INCIDENT.items() for x in kv]), (F.col("l_partkey") % 8).cast("int"))
-    rows = table(spark, d, "lineitem").select(rules.heaviest(texts).alias("c"))
+    rows = rules.classified(table(spark, d, "lineitem").select(texts.alias("raw_type")), "raw_type", "c")
     return rows.groupBy(F.col("c.key").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.weight").cast("decimal(18,2)")).cast("double").alias("severity"))
 
 
@@ -148,6 +148,22 @@ def cosine_topk_filtered(spark, d):
     return V.nearest(table(spark, d, "embeddings"), "embedding", _ASKED, 10, "vec_id", F.col("label") == 3).select("vec_id", "score")
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 50 = 0)
+SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS nth FROM s) WHERE nth <= 10""")
+def cosine_topk_each(spark, d):
+    """Asked by every vector whose id is divisible by 50."""
+    items = table(spark, d, "embeddings")
+    return V.nearest_each(items, "embedding", items.filter("vec_id % 50 = 0"), 10, "vec_id").select("query", "vec_id", "score")
+
+
+@query("""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM benchmark), s AS (SELECT a.item_id AS query, b.item_id, count(*) AS score FROM w a JOIN w b USING (word) WHERE a.item_id % 50 = 0 GROUP BY 1, 2)
+SELECT query, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) AS nth FROM s) WHERE nth <= 10""")
+def lexical_topk_each(spark, d):
+    """Asked by every item whose id is divisible by 50."""
+    items = table(spark, d, "benchmark")
+    return V.lexical_each(items, "text", items.filter("item_id % 50 = 0"), 10, "item_id").select("query", "item_id", "score")
+
+
 _QUESTION, _PHRASES = "the onst of ering with that", ("of the", "to the")
 
 
@@ -188,11 +204,11 @@ def grounding_ratio(spark, d):
 # change frames
 
 
-@query("""WITH old AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey AS id, c_name || ' (new)' AS name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 END AS balance FROM customer WHERE c_custkey % 5 = 0)
+@query("""WITH old AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey AS id, c_name || ' (new)' AS name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 END AS balance FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0)
 SELECT id, name, balance FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT n.id, n.name, coalesce(n.balance, o.balance) FROM new n LEFT JOIN old o ON n.id = o.id""")
 def upsert_result(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
-    new = rows.filter("id % 5 = 0").select("id", F.concat("name", F.lit(" (new)")).alias("name"), F.when(F.col("id") % 2 == 0, F.col("balance") + 1).alias("balance"))
+    new = rows.filter("id % 5 = 0 or id % 3 = 0").select("id", F.concat("name", F.lit(" (new)")).alias("name"), F.when(F.col("id") % 2 == 0, F.col("balance") + 1).alias("balance"))
     return C.upsert(rows.filter("id % 3 <> 0"), new, ["id"], [F.col("name")], keep=["balance"])
 
 

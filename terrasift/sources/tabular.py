@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators.relational import union_all
 
 
 def folded(name: str) -> str:
@@ -24,11 +26,37 @@ def resolve(header: Sequence[str], wanted: Mapping[str, Sequence[str]]) -> dict[
     return {field: name for field, name in found.items() if name is not None}
 
 
-def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """UTF-8 with or without a byte order mark; a file that is not UTF-8 is read as Latin-1. All columns are text."""
+def csv_parts(spark: SparkSession, path: str, **options) -> list[DataFrame]:
+    """The CSV files of a file, pattern or folder tree, one frame for all files of the same header and encoding.
+
+    UTF-8 with or without a byte order mark; a file that is not UTF-8 is read as Latin-1. All columns are text. Only
+    the files' paths and headers come to the driver; a file is looked at whole once, by one task, to judge its encoding.
+    """
+    content = F.expr("cast(content as string)")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").format("binaryFile").load(path)
+    looked = files.select("path", F.is_valid_utf8(content).alias("utf8"), F.substring_index(content, "\n", 1).alias("header"))
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for r in looked.orderBy("path").collect():
+        groups.setdefault((r["header"].strip("\ufeff\r"), r["utf8"]), []).append(r["path"])
     opened = spark.read.options(header=True, multiLine=True, quote='"', escape='"', **options)
-    sample = spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(F.expr("cast(content as string)")).alias("ok"))
-    return opened.csv(path) if all(r["ok"] for r in sample.limit(1).collect()) else opened.option("encoding", "ISO-8859-1").csv(path)
+    return [opened.option("encoding", "UTF-8" if utf8 else "ISO-8859-1").csv(paths) for (_, utf8), paths in groups.items()]
+
+
+def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """All files of ``csv_parts`` as one frame, by column name, with nulls for the columns that a file lacks."""
+    if not (parts := csv_parts(spark, path, **options)):
+        raise FileNotFoundError(f"no CSV file at {path}")
+    return union_all(*parts)
+
+
+def load_folder(spark: SparkSession, path: str, parse: Callable[[DataFrame, str], DataFrame | None], **options) -> DataFrame | None:
+    """``parse(rows, file name)`` of every file of a folder tree, put together by name; files that it refuses are left out."""
+    frames = []
+    for part in csv_parts(spark, path, **options):
+        for file in sorted(part.inputFiles()):
+            found = parse(part.filter(F.input_file_name() == file), unquote(file.rsplit("/", 1)[-1]))
+            frames += [] if found is None else [found]
+    return union_all(*frames) if frames else None
 
 
 def read_excel(path: str, spark: SparkSession, **options) -> DataFrame:

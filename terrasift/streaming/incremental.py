@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import TableStore
+from ..operators.shared import discard, stored
 
 
 def watch(spark: SparkSession, folder: str, schema: str, files_at_once: int = 100) -> DataFrame:
@@ -21,10 +22,10 @@ def upsert_stream(stream: DataFrame, store: TableStore, table: str, keys: Sequen
     """Runs until the folder has nothing new."""
 
     def write(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
+        batch = stored(batch)
         store.upsert(table, batch, keys, order)
         if history:
             store.insert_ignore(history, batch, history_keys, order)
-        batch.unpersist()
+        discard(batch)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -116,9 +116,11 @@ def test_only_queries_over_visible_tables(spark, world):
     ok = "```sql\nWITH a AS (SELECT city FROM houses), b AS (SELECT * FROM a) SELECT city, extract(year FROM current_date()) AS y, 'DROP TABLE x' AS t FROM b WHERE city IN (SELECT city FROM sold_homes);\n```"
     assert readonly.checked(spark, ok)[1] == {"houses", "sold_homes"}
     assert readonly.run(spark, "SELECT count(*) AS n FROM houses").first()[0] == 6
-    for bad in ("", "DROP TABLE houses", "SELECT 1", "SELECT * FROM geocode_cache", "SELECT * FROM houses; SELECT * FROM houses", "INSERT INTO houses SELECT * FROM houses", "SELECT * FROM houses WHERE city = (SELECT max(address_key) FROM geocode_cache)", "WITH houses2 AS (SELECT * FROM nope) SELECT * FROM houses2"):
+    for bad in ("", "DROP TABLE houses", "SELECT 1", "SELECT * FROM geocode_cache", "SELECT * FROM houses; SELECT * FROM houses", "INSERT INTO houses SELECT * FROM houses", "SELECT * FROM houses WHERE city = (SELECT max(address_key) FROM geocode_cache)", "WITH houses2 AS (SELECT * FROM nope) SELECT * FROM houses2", "SELECT * FROM (SELECT TRANSFORM(address) USING 'id' AS (x string) FROM houses) t", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM houses", "SELECT city FROM houses WHERE upper(java_method('java.lang.System', 'getProperty', 'user.home')) = 'A'", "WITH a AS (SELECT TRANSFORM(city) USING 'id' AS (x string) FROM houses) SELECT * FROM a", "SELECT * FROM houses WHERE city IN (SELECT reflect('java.lang.System', 'lineSeparator') FROM houses)", "SELECT * FROM read_files('/etc/passwd'), houses"):
         with pytest.raises(readonly.NotAllowed):
             readonly.checked(spark, bad)
+    asked = readonly.run(spark, "SELECT house_id FROM houses WHERE house_id = :id OR house_id = :other ORDER BY 1", args={"id": "h2", "other": "x' OR '1' = '1"})
+    assert [r["house_id"] for r in asked.collect()] == ["h2"]
     assert "Empty tables: crime_incidents" in readonly.why_empty(spark, {"houses", "crime_incidents"})
     assert catalog.columns_for("which houses have the best walk score")[0][1] == "houses.walk_score"
     found = retrieval.lexical(catalog.documents(spark), "text", "flood risk of metro tracts", ["flood risk"], 3, "id").collect()

@@ -83,3 +83,11 @@ def test_verdicts(spark):
 def test_history_keeps_the_newest(spark):
     df = spark.createDataFrame([(1, 0, "a" * 5), (1, 1, "b" * 50), (2, 0, None)], "k int, t int, x string")
     assert sorted((r["k"], r["t"]) for r in V.recent(df, "k", "t", "x", 10).collect()) == [(1, 1), (2, 0)]
+
+
+def test_marks_of_all_latin_letters(spark):
+    rows = [("Škoda Žižkov Łodź Māori", "Skoda Zizkov Łodz Maori"), ("Việt Nam ẞ", "Viet Nam ẞ"), ("e\u0301\u0327 ç", "e c"), (None, None)]
+    from terrasift.functions import scalar
+
+    found = spark.createDataFrame([(a,) for a, _ in rows], "t string").select(scalar.without_marks("t").alias("t")).collect()
+    assert [r["t"] for r in found] == [b for _, b in rows]

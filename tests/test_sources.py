@@ -129,3 +129,29 @@ def test_shapefile(spark, tmp_path):
 def test_best_place(spark):
     df = spark.createDataFrame([("Park, Ohio", 0.9), ("Park, Pittsburgh", 0.2), ("Park, pittsburgh PA", 0.5)], "display_name string, importance double")
     assert geocoding.best_place(df, "Pittsburgh").first()["importance"] == 0.5
+
+
+def test_folder_of_files_with_different_headers_and_encodings(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    written(tmp_path / "in" / "a.csv", "name,city\ncafé,Łódź\n")
+    written(tmp_path / "in" / "deep" / "b.CSV", "name\ncafé\n", "latin-1")
+    written(tmp_path / "in" / "c.csv", "city,name\nOslo,bar\n")
+    written(tmp_path / "in" / "notes.txt", "not,read\n1,2\n")
+    rows = {(r["name"], r["city"]) for r in tabular.read_csv(spark, str(tmp_path / "in")).collect()}
+    assert rows == {("café", "Łódź"), ("café", None), ("bar", "Oslo")}
+    listed = tabular.load_folder(spark, str(tmp_path / "in"), lambda rows, name: None if name == "c.csv" else tabular.named(rows, {"name": ("NAME",)}, ["name"], name))
+    assert {(r["name"], r["source_file"]) for r in listed.collect()} == {("café", "a.csv"), ("café", "b.CSV")}
+
+
+def test_first_write_keeps_the_first_in_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from terrasift.operators.changes import TableStore
+
+    store = TableStore(spark, str(tmp_path / "store"))
+    new = spark.createDataFrame([(1, 5), (1, 9), (1, 7)], "id int, v int").repartition(3)
+    for name, write in (("u", store.upsert), ("i", store.insert_ignore)):
+        assert [tuple(r) for r in write(name, new, ["id"], [F.col("v").desc()]).collect()] == [(1, 9)]
+    for v in range(4):
+        assert store.upsert("u", spark.createDataFrame([(1, v)], "id int, v int"), ["id"]).first()["v"] == v
+    assert len(list((tmp_path / "store" / "u").iterdir())) == 2

@@ -53,7 +53,7 @@ def test_choropleth(spark):
 def test_points_in_polygons(spark):
     polygons = spark.createDataFrame([("p", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]), ("q", [(3.0, 3.0), (9.0, 3.0), (9.0, 9.0), (3.0, 3.0)])], "tract string, ring array<struct<x:double,y:double>>")
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 8.0, 4.0), (3, 20.0, 20.0), (4, 3.9, 3.5), (5, None, 1.0)], "id int, x double, y double")
-    found = {r["id"]: r["tract"] for r in P.assign_polygon(points, polygons, "id", "x", "y", "tract", "ring", 2.0).collect()}
+    found = {r["id"]: r["tract"] for r in P.assign_polygon(points, polygons, "x", "y", "tract", "ring", 2.0).collect()}
     assert found == {1: "p", 2: "q", 3: None, 4: "p", 5: None}  # the smallest key where two hold it
 
 
@@ -82,7 +82,7 @@ def test_shortest_paths_equal_dijkstra(spark):
 def test_shortest_path_has_no_horizon(spark, monkeypatch):
     line = spark.createDataFrame([(i, i + 1, 2.0) for i in range(30)], "src bigint, dst bigint, weight double")
     monkeypatch.setattr(spatial_queries, "_network", lambda spark, d: line)
-    assert {r["node"]: r["distance"] for r in spatial_queries.shortest_path(spark, "").collect()} == {i: float(i) for i in range(31)}
+    assert {r["node"]: r["distance"] for r in spatial_queries.shortest_path(spark, "").collect()} == {i: 2.0 * i for i in range(31)}
     with pytest.raises(RuntimeError):
         G.shortest_paths(line, 0, rounds=5)
 
@@ -156,3 +156,25 @@ def test_avoidance_view(spark, routes):
     view = routing.analysis(routes, hot, "pittsburgh", (-80.0, 40.4), (-79.96, 40.41), percent=99)
     assert view["hot"].count() == 1 and view["blocked"].count() >= 2 and view["open"].count() >= 2
     assert [r["layer_type"] for r in routing.facilities(routes, "pittsburgh", [(-80.0, 40.399), (-79.99, 40.401)]).collect()] == ["bike_lanes", "sharrows", "trails"]
+
+
+def test_windows_meet_shapes_not_boxes(spark):
+    from pyspark.sql import functions as F
+
+    triangle = [(0.0, 0.0), (10.0, 0.0), (0.0, 10.0), (0.0, 0.0)]
+    df = spark.createDataFrame([(triangle,)], "ring array<struct<x:double,y:double>>")
+    windows = {(8, 8, 9, 9): False, (4, 4, 9, 9): True, (1, 1, 2, 2): True, (-5, -5, 20, 20): True, (-2, 3, -1, 4): False, (-1, 3, 12, 4): True, (5, 5, 6, 6): True, (5.1, 5.1, 6, 6): False}
+    found = df.select(*[P.meets(F.col("ring"), *map(float, w)).alias(str(i)) for i, w in enumerate(windows)]).first()
+    assert list(found) == list(windows.values())
+
+
+def test_long_weighted_paths(spark):
+    """Longer ways that are nearer come late; a path of many nodes is walked whole."""
+    edges = [(i, i + 1, 1.0) for i in range(60)] + [(0, 60, 100.0), (0, 30, 29.5)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint, weight double")
+    paths = G.shortest_paths(df, 0)
+    distances = {r["node"]: r["distance"] for r in paths.collect()}
+    assert distances == {i: min(i, 29.5 + abs(30 - i)) for i in range(61)}
+    assert G.path_to(paths, 60) == [0, *range(30, 61)] and G.path_to(paths, 0) == [0] and G.path_to(paths, 99) == []
+    with pytest.raises(RuntimeError):
+        G.shortest_paths(df, 0, rounds=3)
