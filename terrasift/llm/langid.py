@@ -13,6 +13,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,23 +47,68 @@ def words(text: str) -> list[str]:
     return found
 
 
+class PieceTable(dict):
+    """Piece -> row, with a table of the pieces' 64-bit hashes in which many are looked up at once."""
+
+    _BASE, _SPREAD, _BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), 19
+
+    def __init__(self, pieces: dict[str, int]):
+        super().__init__(pieces)
+        self.bits = max(self._BITS, 3 + len(self).bit_length())
+        self.slots = np.full((1 << self.bits) + 64, -1, np.int64)
+        self.hashes, self.probes = np.zeros(max(self.values(), default=0) + 1, np.uint64), 1
+        for piece, row in self.items():
+            h = np.zeros(1, np.uint64)
+            for c in piece:
+                h = h * self._BASE + np.uint64(ord(c))
+            at = int(self._slot(h)[0])
+            first = at
+            while self.slots[at] >= 0:
+                at += 1
+            self.slots[at], self.hashes[row] = row, h[0]
+            self.probes = max(self.probes, at - first + 1)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * self._SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rows(self, h: np.ndarray, missing: int) -> np.ndarray:
+        slot, out = self._slot(h), np.full(len(h), missing)
+        for _ in range(self.probes):
+            row = self.slots[slot]
+            hit = (row >= 0) & (self.hashes[row] == h)
+            out[hit] = row[hit]
+            slot = slot + 1
+        return out
+
+    def of_spans(self, letters: np.ndarray, longest: int, last: int) -> dict[tuple[int, int], np.ndarray]:
+        """(start, end) -> the row of that span of each word; ``letters``: words of one length, a column to a letter."""
+        n, out = len(letters), {}
+        for start in range(n):
+            h = np.zeros(letters.shape[1], np.uint64)
+            for end in range(start + 1, min(n, start + longest) + 1):
+                h = h * self._BASE + letters[end - 1]
+                out[start, end] = self.rows(h, last - 1 if end - start == 1 else last)
+        return out
+
+
 def passes(words_: list[str], pieces: dict[str, int], longest: int, last: int):
     """Words of one length go through the letters together: (which words, spans, the row of each word's each span).
 
     A span is (start, end) in the word after its mark; ``last`` - 1 stands for a lone character that is no piece, ``last``
     for what is none at all.
     """
+    pieces = pieces if isinstance(pieces, PieceTable) else PieceTable(pieces)
     by_length: dict[int, list[int]] = {}
     for i, word in enumerate(words_):
         by_length.setdefault(len(word) + 1, []).append(i)
-    get = pieces.get
     for n, members in by_length.items():
         spans = [(start, end) for end in range(1, n + 1) for start in range(max(0, end - longest), end)]
-        keyed = [(start, end, last - 1 if end - start == 1 else last) for start, end in spans]
         step = max(1, 400_000 // len(spans))
         for at in range(0, len(members), step):
             part = members[at : at + step]
-            yield part, n, spans, np.array([[get(marked[a:b], m) for a, b, m in keyed] for marked in ("▁" + words_[i] for i in part)])
+            letters = np.frombuffer("".join("▁" + words_[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).T.astype(np.uint64)
+            rows = pieces.of_spans(letters, longest, last)
+            yield part, n, spans, np.stack([rows[s] for s in spans]).T
 
 
 def word_scores(words_: list[str], pieces: dict[str, int], chances: np.ndarray, longest: int) -> np.ndarray:
@@ -84,7 +130,7 @@ def word_scores(words_: list[str], pieces: dict[str, int], chances: np.ndarray,
 def table_of(pieces: dict[str, tuple[float, ...]]) -> tuple[dict[str, int], np.ndarray]:
     """Each piece's row, and the rows, with the two that stand for no piece at the end."""
     chances = np.array([*pieces.values()])
-    return {p: i for i, p in enumerate(pieces)}, np.vstack([chances, np.full_like(chances[:1], _FLOOR), np.zeros_like(chances[:1])])
+    return PieceTable({p: i for i, p in enumerate(pieces)}), np.vstack([chances, np.full_like(chances[:1], _FLOOR), np.zeros_like(chances[:1])])
 
 
 def expected_counts(words_: list[str], n: np.ndarray, pieces: dict[str, int], chance: np.ndarray, longest: int) -> np.ndarray:
@@ -163,7 +209,7 @@ class LanguageModel:
     def of(self, text: Column | str) -> Column:
         """A struct of lang_pred and score, the posterior probability of lang_pred under equal priors."""
         sc = SparkContext.getOrCreate()
-        shared = sc.broadcast((self.languages, self.pieces, self.longest))
+        shared = sc.broadcast((uuid.uuid4().hex, self.languages, self.pieces, self.longest))
         return F.arrow_udf(_predict(shared), "lang_pred string, score double")(text)
 
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,27 +220,47 @@ class LanguageModel:
 
 
 class _Scores:
-    """Numbers words; their scores stand in the rows of a table, which is emptied when it is full."""
+    """Scores of the words a worker met, in two tables of bounded size: when the younger is full it becomes the older
+    one, and the older one goes."""
 
     def __init__(self, pieces, longest):
         self.pieces, self.chances = table_of(pieces)
-        self.longest, self.at, self.rows = longest, {}, np.zeros((0, self.chances.shape[1]))
+        self.longest = longest
+        self.young, self.old = ({}, np.zeros((0, self.chances.shape[1]))), ({}, np.zeros((0, self.chances.shape[1])))
 
     def of(self, found: list[str]) -> np.ndarray:
-        different = set(found)
-        new = sorted(different - self.at.keys())
-        if len(self.at) + len(new) > _KNOWN:
-            self.at, self.rows, new = {}, self.rows[:0], sorted(different)
-        if new:
-            self.at |= dict(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.rows = np.vstack([self.rows, word_scores(new, self.pieces, self.chances, self.longest)])
-        return self.rows[np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))]
+        if len(self.young[0]) > _KNOWN:
+            self.young, self.old = ({}, self.old[1][:0]), self.young
+        at, rows = self.young
+        fresh = sorted(set(found) - at.keys())
+        if fresh:
+            before = self.old[0]
+            met, new = [w for w in fresh if w in before], [w for w in fresh if w not in before]
+            n = len(at)
+            if n + len(fresh) > len(rows):
+                rows = np.concatenate([rows, np.empty((n + len(fresh), rows.shape[1]))])
+            rows[n : n + len(met)] = self.old[1][[before[w] for w in met]]
+            rows[n + len(met) : n + len(fresh)] = word_scores(new, self.pieces, self.chances, self.longest)
+            at |= zip(met + new, range(n, n + len(fresh)))
+            self.young = at, rows
+        return rows[np.fromiter(map(at.__getitem__, found), np.int64, len(found))]
+
+
+_scores: dict[str, _Scores] = {}
+
+
+def _known(name: str, pieces, longest: int) -> _Scores:
+    """The last model's scores, for each worker process, whatever number of tasks it runs."""
+    if name not in _scores:
+        _scores.clear()
+        _scores[name] = _Scores(pieces, longest)
+    return _scores[name]
 
 
 def _predict(shared):
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        languages, pieces, longest = shared.value
-        known = _Scores(pieces, longest) if languages else None
+        name, languages, pieces, longest = shared.value
+        known = _known(name, pieces, longest) if languages else None
         for column in texts:
             totals, waiting, sizes = [], [], []
             for text in column:
@@ -217,7 +283,7 @@ def _predict(shared):
 def _sums(known, found: list[str], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Summed scores of texts whose words stand one after another, and which texts have none."""
     sizes = np.array(sizes, np.int64)
-    out = np.zeros((len(sizes), known.rows.shape[1] if known else 0))
+    out = np.zeros((len(sizes), known.chances.shape[1] if known else 0))
     if found:
         full = np.flatnonzero(sizes)
         out[full] = np.add.reduceat(known.of(found), (np.cumsum(sizes) - sizes)[full], axis=0)
