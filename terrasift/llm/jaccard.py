@@ -5,11 +5,12 @@ fixed order, so only texts that meet at such a gram are compared, and none that
 of the hashes, with grams that are common in a sample of the texts last, so a common passage brings together only texts
 of little else. Which grams count as common changes the work, never the result.
 
-The pairs that the covering tables of SimHash link, and where more than ``common`` texts meet the pairs of each with
-two of them, one that has few grams of its own, are compared first. After that two texts that meet are compared unless they are
-in one component already. The grams they share in their first members, and what is left after the earlier end of
-these, bound what they can share; pairs below what is needed go. Whole sets are read from the texts again for the
-candidates alone.
+The pairs that the covering tables of SimHash link are compared first, and where more than ``common`` texts meet the
+pairs of each with two of them, one of which has the fewest rare grams in its whole set: the text that the others are
+copies of. After that two texts that meet are compared unless they are in one component already. How many rare grams
+each shares with anyone, how many others it has, the grams that both have in their first members, and what is left
+after the earlier end of these, bound what they can share; pairs below what is needed go. Whole sets are read from the
+texts again for the candidates alone.
 
 Defined results: words and shingles are those of ``simhash``; texts without words are alike; a text of fewer than
 ``words`` words is one shingle; rows with a null id have no result; repeated rows give repeated rows of result.
@@ -31,7 +32,7 @@ from .common import id_and_text, id_type, ship, sized, stored
 from ..operators.graph import components
 from .simhash import _signed, links, majority, shingle_hashes
 
-_SCHEMA = "s bigint, n int, fp bigint, grams array<bigint>"
+_SCHEMA = "s bigint, n int, fp bigint, rare int, grams array<bigint>"
 _SAMPLE, _MOST_COMMON = 8, 1_000_000
 _LAST = np.int64(1 << 62)
 
@@ -41,7 +42,8 @@ def prefix(n: int, similarity: float) -> int:
 
 
 def _sets(words: int, similarity: float, late=None):
-    """The whole sets or, with ``late`` (a broadcast sorted array), their first members; these come after all others."""
+    """The whole sets or, with ``late`` (a broadcast sorted array), their first members; these come after all others.
+    ``rare``: how many members of the whole set are not among ``late``."""
 
     def run(batches):
         for b in sized(batches):
@@ -49,17 +51,19 @@ def _sets(words: int, similarity: float, late=None):
             fps = majority(np.concatenate([np.zeros(0, np.uint64), *hashes]), np.array([*map(len, hashes)], np.int64))
             for own in hashes:
                 grams = np.unique((own >> np.uint64(2)).view(np.int64))
-                n, s = len(grams), _signed(xxhash.xxh64_intdigest(grams.tobytes()))
+                n, rare, s = len(grams), len(grams), _signed(xxhash.xxh64_intdigest(grams.tobytes()))
                 if late is not None:
                     if len(late.value):
                         at = np.minimum(np.searchsorted(late.value, grams), len(late.value) - 1)
-                        grams = np.sort(np.where(late.value[at] == grams, grams + _LAST, grams))
+                        often = late.value[at] == grams
+                        rare -= int(often.sum())
+                        grams = np.sort(np.where(often, grams + _LAST, grams))
                     grams = grams[: prefix(n, similarity)]
-                rows.append((s, n, grams))
-            s, n, grams = zip(*rows) if rows else [()] * 3
+                rows.append((s, n, rare, grams))
+            s, n, rare, grams = zip(*rows) if rows else [()] * 4
             ends = np.cumsum([0, *map(len, grams)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(fps.view(np.int64)), lists], ["doc_id", "s", "n", "fp", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(fps.view(np.int64)), pa.array(rare, pa.int32()), lists], ["doc_id", "s", "n", "fp", "rare", "grams"])
 
     return run
 
@@ -81,18 +85,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
         ids = firsts.join(keys, "s").select(F.col("node").alias("doc_id")).distinct()
         found = matching(rows, ids, "doc_id").mapInArrow(_sets(words, similarity), schema)
-        sets = stored(found.join(keys, "s", "left_semi").drop("doc_id", "fp").dropDuplicates(["s"]))
+        sets = stored(found.join(keys, "s", "left_semi").drop("doc_id", "fp", "rare").dropDuplicates(["s"]))
         left, right = (sets.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}")) for k in "ab")
         both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
         return stored(both.filter(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"))
 
-    tokens = marked.select("s", "n", F.col("n") - F.size("grams"), F.element_at("grams", -1), F.explode("grams")).toDF("s", "n", "rest", "end", "g")
+    tokens = marked.select("s", "n", "rare", F.col("n") - F.size("grams"), F.element_at("grams", -1), F.explode("grams")).toDF("s", "n", "rare", "rest", "end", "g")
     shared = stored(tokens.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo != hi").select("g", "k"))
     members = stored(tokens.join(shared, "g").distinct())
-    # in a group of copies of one text those with the fewest grams of their own are nearest to all others
-    own = stored(members.groupBy("s").agg((F.first("n") - F.first("rest") - F.count(F.lit(1))).alias("own")))
-    many = members.filter(F.col("k") > common).join(own, "s")
-    hubs = stored(many.groupBy("g").agg(F.min(F.struct("own", "s")).alias("h"), F.min("s").alias("lo")).select("g", F.array("h.s", "lo").alias("hubs")))
+    # in a group of copies of one text those with the fewest rare grams are nearest to all others
+    many = members.filter(F.col("k") > common).select("g", "s", "rare")
+    hubs = stored(many.groupBy("g").agg(F.min(F.struct("rare", "s")).alias("h"), F.min("s").alias("lo")).select("g", F.array("h.s", "lo").alias("hubs")))
     near = many.join(hubs, "g").select("s", F.explode("hubs").alias("hub")).filter("s != hub")
     star = near.select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b"))
     meant = stored(firsts.groupBy("fp").agg(F.min("s").alias("node")))
@@ -100,14 +103,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered = links(meant).unionByName(equal)
     first = stored(star.unionByName(covered).distinct())
     linked = alike(first)
-    named = stored(members.join(components(linked).withColumnRenamed("a", "s"), "s", "left").withColumn("c", F.coalesce("b", "s")).select("g", "s", "n", "rest", "end", "c"))
+    # rare grams come first, so one that two texts share is among the first members of both, or beyond those of one
+    known = stored(members.groupBy("s").agg(F.count_if(F.col("g") < int(_LAST)).alias("met")))
+    rooted = members.join(components(linked).withColumnRenamed("a", "s"), "s", "left").withColumn("c", F.coalesce("b", "s")).join(known, "s")
+    named = stored(rooted.select("g", "s", "n", "rare", "met", F.greatest(F.lit(0), F.col("rare") - F.col("n") + F.col("rest")).alias("beyond"), "rest", "end", "c"))
     mixed = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g")
     named = named.join(mixed, "g", "left_semi")
-    a, b = (named.select("g", *[F.col(c).alias(k + c) for c in ("s", "n", "rest", "end", "c")]) for k in "ab")
+    a, b = (named.select("g", *[F.col(c).alias(k + c) for c in ("s", "n", "rare", "met", "beyond", "rest", "end", "c")]) for k in "ab")
     sized = F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9
     left = F.when(F.col("aend") < F.col("bend"), F.col("arest")).otherwise(F.col("brest"))
     needed = similarity / (1 + similarity) * (F.col("an") + F.col("bn")) - 1e-6
-    met = a.join(b, "g").filter((F.col("as") > F.col("bs")) & (F.col("ac") != F.col("bc")) & sized)
+    most = F.least("amet", "bmet") + F.col("abeyond") + F.col("bbeyond") + F.least(F.col("an") - F.col("arare"), F.col("bn") - F.col("brare"))
+    met = a.join(b, "g").filter((F.col("as") > F.col("bs")) & (F.col("ac") != F.col("bc")) & sized & (most >= needed))
     met = met.groupBy(F.col("as").alias("a"), F.col("bs").alias("b"), (needed - left).alias("least")).agg(F.count(F.lit(1)).alias("k"))
     cross = stored(met.filter("k >= least").select("a", "b").join(first, ["a", "b"], "left_anti"))
     linked = linked.unionByName(alike(cross))
