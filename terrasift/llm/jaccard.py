@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom_dedup import matching
-from .common import id_and_text, id_type, ship, sized, stored
+from .common import discard, id_and_text, id_type, ship, sized, stored
 from ..operators.graph import components
 from .simhash import _signed, links, majority, shingle_hashes
 
@@ -88,7 +88,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = stored(found.join(keys, "s", "left_semi").drop("doc_id", "fp", "rare").dropDuplicates(["s"]))
         left, right = (sets.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}")) for k in "ab")
         both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
-        return stored(both.filter(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"))
+        out = stored(both.filter(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"))
+        discard(keys, sets)
+        return out
 
     tokens = marked.select("s", "n", "rare", F.col("n") - F.size("grams"), F.element_at("grams", -1), F.explode("grams")).toDF("s", "n", "rare", "rest", "end", "g")
     shared = stored(tokens.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo != hi").select("g", "k"))
@@ -102,14 +104,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal = firsts.select("s", "fp").join(meant, "fp").filter("s != node").select(F.col("s").alias("a"), F.col("node").alias("b"))
     covered = links(meant).unionByName(equal)
     first = stored(star.unionByName(covered).distinct())
+    discard(shared, hubs, meant)
     linked = alike(first)
     # rare grams come first, so one that two texts share is among the first members of both, or beyond those of one
     known = stored(members.groupBy("s").agg(F.count_if(F.col("g") < int(_LAST)).alias("met")))
     rooted = members.join(components(linked).withColumnRenamed("a", "s"), "s", "left").withColumn("c", F.coalesce("b", "s")).join(known, "s")
     named = stored(rooted.select("g", "s", "n", "rare", "met", F.greatest(F.lit(0), F.col("rare") - F.col("n") + F.col("rest")).alias("beyond"), "rest", "end", "c"))
+    discard(members, known)
     mixed = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g")
-    named = named.join(mixed, "g", "left_semi")
-    a, b = (named.select("g", *[F.col(c).alias(k + c) for c in ("s", "n", "rare", "met", "beyond", "rest", "end", "c")]) for k in "ab")
+    open_ = named.join(mixed, "g", "left_semi")
+    a, b = (open_.select("g", *[F.col(c).alias(k + c) for c in ("s", "n", "rare", "met", "beyond", "rest", "end", "c")]) for k in "ab")
     sized = F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9
     left = F.when(F.col("aend") < F.col("bend"), F.col("arest")).otherwise(F.col("brest"))
     needed = similarity / (1 + similarity) * (F.col("an") + F.col("bn")) - 1e-6
@@ -117,7 +121,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = a.join(b, "g").filter((F.col("as") > F.col("bs")) & (F.col("ac") != F.col("bc")) & sized & (most >= needed))
     met = met.groupBy(F.col("as").alias("a"), F.col("bs").alias("b"), (needed - left).alias("least")).agg(F.count(F.lit(1)).alias("k"))
     cross = stored(met.filter("k >= least").select("a", "b").join(first, ["a", "b"], "left_anti"))
+    discard(named, first)
     linked = linked.unionByName(alike(cross))
+    discard(cross)
 
     roots = components(linked).withColumnRenamed("a", "s").withColumnRenamed("b", "root")
     held = stored(firsts.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
