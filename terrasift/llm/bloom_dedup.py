@@ -91,11 +91,16 @@ def repeated_slots(hashes: DataFrame, slots: int, k: int) -> np.ndarray:
     return out
 
 
+def hit(h: np.ndarray, bits: np.ndarray, slots: int, hashes: int) -> np.ndarray:
+    """Which of the hashes have all their slots in the bit map."""
+    at = _positions(h, slots, hashes)
+    return ((bits[at >> 3] >> (7 - (at & 7))) & 1).astype(bool).all(axis=1)
+
+
 def _maybe_repeated(bits, slots: int, hashes: int):
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        at = _positions(h.to_numpy(), slots, hashes)
-        return pd.Series(((bits.value[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1))
+        return pd.Series(hit(h.to_numpy(), bits.value, slots, hashes))
 
     return maybe
 
@@ -114,23 +119,24 @@ def _any(slots: int, hashes: int):
     return run
 
 
-def split_by_keys(rows: DataFrame, keys: DataFrame, on: str, hashes: int = 3, max_filter_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows that may have one of the ``keys``, rows that certainly have none, keys): a Bloom filter of the keys, of
-    bounded size, so that a join with them shuffles few other rows. ``keys`` has the one column ``on``, distinct."""
-    keys = stored(keys)
+def key_filter(keys: DataFrame, on: str, hashes: int = 3, max_filter_bytes: int = 16 << 20):
+    """(broadcast bit map, slots, hashes): a Bloom filter, of bounded size, of the hashes of the column ``on``."""
     _, slots = plan(keys.count(), 16, max_filter_bytes)
     out = np.zeros(slots // 8, np.uint8)
     for row in keys.select(F.xxhash64(on).alias("h")).mapInArrow(_any(slots, hashes), "chunk bigint, bits binary").toLocalIterator():
         at = row["chunk"] * (_CHUNK // 8)
         out[at : at + _CHUNK // 8] |= np.frombuffer(row["bits"], np.uint8)
-    maybe = _maybe_repeated(rows.sparkSession.sparkContext.broadcast(out), slots, hashes)(F.xxhash64(on))
-    return rows.filter(maybe), rows.filter(~maybe), keys
+    return keys.sparkSession.sparkContext.broadcast(out), slots, hashes
 
 
-def matching(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows that have one of the keys, not null."""
-    maybe, _, keys = split_by_keys(rows, keys, on)
-    return maybe.join(keys, on, "left_semi")
+def split_by_keys(rows: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that may have one of the ``keys``, rows that certainly have none, keys), so that a join with the keys
+    shuffles few other rows. ``keys`` has the one column ``on``, distinct."""
+    keys = stored(keys)
+    if keys.isEmpty():
+        return rows.filter(F.lit(False)), rows, keys
+    maybe = _maybe_repeated(*key_filter(keys, on))(F.xxhash64(on))
+    return rows.filter(maybe), rows.filter(~maybe), keys
 
 
 def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom_dedup import matching
+from .bloom_dedup import hit, key_filter
 from .common import discard, id_and_text, id_type, ship, sized, stored
 from ..operators.graph import components
 from .simhash import _signed, links, majority, shingle_hashes
@@ -41,12 +41,18 @@ def prefix(n: int, similarity: float) -> int:
     return n - math.ceil(round(similarity * n, 9)) + 1 if n else 0
 
 
-def _sets(words: int, similarity: float, late=None):
+def _sets(words: int, similarity: float, late=None, wanted=None):
     """The whole sets or, with ``late`` (a broadcast sorted array), their first members; these come after all others.
-    ``rare``: how many members of the whole set are not among ``late``."""
+    ``rare``: how many members of the whole set are not among ``late``. With ``wanted`` (a Bloom filter of ids) rows
+    whose third column, the hash of the id, it doesn't hold are left out."""
+
+    def chosen(batches):
+        bits, *sizes = wanted
+        for b in batches:
+            yield b.filter(pa.array(hit(b.column(2).to_numpy(), bits.value, *sizes)))
 
     def run(batches):
-        for b in sized(batches):
+        for b in sized(chosen(batches) if wanted else batches):
             rows, hashes = [], [np.array(shingle_hashes(text.as_py(), words), np.uint64) for text in b.column(1)]
             fps = majority(np.concatenate([np.zeros(0, np.uint64), *hashes]), np.array([*map(len, hashes)], np.int64))
             for own in hashes:
@@ -83,13 +89,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that have the similarity."""
         keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
-        ids = firsts.join(keys, "s").select(F.col("node").alias("doc_id")).distinct()
-        found = matching(rows, ids, "doc_id").mapInArrow(_sets(words, similarity), schema)
+        ids = stored(firsts.join(keys, "s").select(F.col("node").alias("doc_id")).distinct())
+        # asked in the task that makes the sets, so texts never move and a task needs one Python worker
+        wanted = key_filter(ids, "doc_id")
+        found = rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets(words, similarity, wanted=wanted), schema)
         sets = stored(found.join(keys, "s", "left_semi").drop("doc_id", "fp", "rare").dropDuplicates(["s"]))
         left, right = (sets.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}")) for k in "ab")
         both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
         out = stored(both.filter(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"))
-        discard(keys, sets)
+        discard(keys, ids, sets)
         return out
 
     tokens = marked.select("s", "n", "rare", F.col("n") - F.size("grams"), F.element_at("grams", -1), F.explode("grams")).toDF("s", "n", "rare", "rest", "end", "g")
