@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import discard, id_and_text, ship, stored
 
 MAX_WORD = 48
-_KNOWN = 150_000  # words that a task keeps
+_KNOWN = 50_000  # words that a task keeps
 _AT_ONCE = 100_000  # words scored together
 _FLOOR = 1e-9  # of a character that is no piece
 _letters = regex.compile(r"\p{L}+").findall
