@@ -122,6 +122,26 @@ def verdict_numbers(reply, expected: Sequence[float], tolerance: float = 0.0, di
     return F.when(ok, "PASS").otherwise("FAIL")
 
 
+def examples(golden: DataFrame, ids: Sequence[str] = (), tags: Sequence[str] = (), without_agents: Sequence[str] = ()) -> DataFrame:
+    """Of examples (id, tags, agent) those named, those with any of the tags, those of other agents; nothing given, all."""
+    keep = F.lit(True)
+    if ids:
+        keep = keep & F.col("id").isin(*ids)
+    if tags:
+        keep = keep & F.arrays_overlap("tags", F.array(*map(F.lit, tags)))
+    if without_agents:
+        keep = keep & ~F.coalesce(F.col("agent").isin(*without_agents), F.lit(False))
+    return golden.filter(keep)
+
+
+def guarded(question, reply, value, terms: Sequence[str], refusal: str) -> Column:
+    """The reply, or the refusal where the question has one of the terms and the value it asks for is null."""
+    asks = F.lit(False)
+    for term in terms:
+        asks = asks | F.lower(S.col(question)).contains(term.lower())
+    return F.when(F.coalesce(asks, F.lit(False)) & S.col(value).isNull(), refusal).otherwise(S.col(reply))
+
+
 def ungrounded_share(reply, evidence) -> Column:
     """Share of the reply's different numbers that the evidence lacks; null if the reply has none."""
     said = F.array_distinct(S.numbers_in(reply))
@@ -151,6 +171,23 @@ def replace_documents(store: DataFrame, new: DataFrame, doc_type: str) -> DataFr
     return store.join(gone, ["entity", "doc_type"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def documents_of(store: DataFrame, entities: DataFrame) -> DataFrame:
+    """The documents of every row of ``entities`` (column entity); an entity asked for twice is answered once."""
+    return store.join(entities.select("entity"), "entity", "left_semi")
+
+
+def with_presence(asked: DataFrame, store: DataFrame) -> DataFrame:
+    """Adds ``stored``: whether the store has a document of that entity and text."""
+    held = store.select(F.col("id").alias("_id"), F.lit(True).alias("stored")).distinct()
+    found = asked.join(held, document_id("entity", "text") == F.col("_id"), "left").drop("_id")
+    return found.withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
+def delete_documents(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """The store without the documents whose ids are given; ids it lacks, and null ones, change nothing."""
+    return store.join(ids.select("id"), "id", "left_anti").select(*store.columns)
+
+
 def photo_text(name, caption) -> Column:
     return F.concat(F.lit("[Photo] "), S.col(name), F.lit(". "), F.coalesce(S.col(caption), F.lit("")))
 

@@ -151,3 +151,24 @@ def test_coverage_and_rendering(world):
     assert got["houses rows"] == 6 and got["sales off market"] == 1 and got["sales at market"] == 5 and round(got["share of sales with a tract"], 4) == round(5 / 6, 4)
     text = catalog.rendered(["houses"])
     assert "raw_json" not in text and "houses.tract_fips = nri_tracts.tract_fips" in text
+
+
+def test_documents_listed_found_and_deleted(spark):
+    kind = "entity string, doc_type string, text string"
+    new = spark.createDataFrame([("h1", "note", "a"), ("h1", "photo", "b"), ("h2", "note", "a")], kind)
+    store = retrieval.add_documents(spark.createDataFrame([], f"{kind}, id string"), new)
+    of = retrieval.documents_of(store, spark.createDataFrame([("h1",), ("h1",), (None,)], "entity string"))
+    assert {r["text"] for r in of.collect()} == {"a", "b"} and of.count() == 2
+    asked = spark.createDataFrame([("h1", "a"), ("h2", "b"), ("h2", None)], "entity string, text string")
+    assert [r["stored"] for r in retrieval.with_presence(asked, store).orderBy("entity", F.col("text").desc()).collect()] == [True, False, False]
+    gone = store.filter("entity = 'h1' and text = 'a'").select("id").union(spark.createDataFrame([("none",), (None,)], "id string"))
+    left = retrieval.delete_documents(store, gone)
+    assert left.columns == store.columns and {(r["entity"], r["text"]) for r in left.collect()} == {("h1", "b"), ("h2", "a")}
+
+
+def test_examples_and_guard(spark):
+    golden = spark.createDataFrame([("a", ["x", "y"], "house"), ("b", ["y"], "city"), ("c", [], None)], "id string, tags array<string>, agent string")
+    ids = lambda **k: sorted(r["id"] for r in retrieval.examples(golden, **k).collect())
+    assert ids() == ["a", "b", "c"] and ids(ids=["a", "z"]) == ["a"] and ids(tags=["y"]) == ["a", "b"] and ids(without_agents=["house"]) == ["b", "c"] and ids(tags=["y"], without_agents=["house"]) == ["b"]
+    rows = spark.createDataFrame([("Is it Walkable?", "90", None), ("Walk score?", "80", 80), ("Price?", "5", None), (None, "7", None)], "q string, reply string, score int")
+    assert [r[0] for r in rows.select(retrieval.guarded("q", "reply", "score", ["walkable", "walk score"], "not known")).collect()] == ["not known", "80", "5", "7"]
