@@ -13,7 +13,7 @@ from . import graph as G
 from .layers import corridor, hot_cells
 from .relational import floor_index_percentile
 from .shared import stored
-from .spatial import exposure, overlaps, snap
+from .spatial import claim_by_priority, exposure, overlaps, project, snap
 
 MILES_AN_HOUR = 10.0
 NEAREST_MILES = 0.05
@@ -111,16 +111,23 @@ def route(routes: DataFrame, city: str, start: tuple[float, float], end: tuple[f
     return Route([tuple(map(float, n.split(","))) for n in path], total, blocked)
 
 
-def used_layers(route_nodes: DataFrame, routes: DataFrame) -> DataFrame:
-    """layer_type, n: of the layers that hold a route's edge the one of highest priority. ``route_nodes``: nth, lon, lat."""
+def used_layers(route_nodes: DataFrame, routes: DataFrame, within: float = 2e-7, cell: float = 0.01) -> DataFrame:
+    """layer_type, n: of the layers that hold a route's edge the one of highest priority. ``route_nodes``: nth, lon, lat.
+
+    A line holds an edge if both ends lie on one of its segments, so parts of a segment that was split at a crossing or
+    a stop are found, and lines that only touch an end are not. ``within`` allows for seven places on either side.
+    Segments are dealt to the cells their boxes touch; an edge looks in the cell of its middle.
+    """
     from ..sources.lines import PRIORITY
-    from .spatial import claim_by_priority
 
-    w = route_nodes.select(F.col("nth") + 1, F.col("lon").alias("_x"), F.col("lat").alias("_y")).toDF("nth", "_x", "_y")
-    key = lambda a, b, c, d: F.array_sort(F.array(F.struct(a.alias("x"), b.alias("y")), F.struct(c.alias("x"), d.alias("y"))))
-    r = lambda c: F.round(c, 7)
-    steps = route_nodes.join(w, "nth").select(key(r("lon"), r("lat"), r("_x"), r("_y")).alias("place"))
+    at = lambda c: F.floor(c / cell).cast("bigint")
+    touched = lambda a, b: F.explode(F.sequence(at(F.least(a, b) - within), at(F.greatest(a, b) + within)))
+    before = route_nodes.select((F.col("nth") + 1).alias("nth"), F.col("lon").alias("_x"), F.col("lat").alias("_y"))
+    steps = route_nodes.select("nth", "lon", "lat").join(before, "nth").withColumns({"_i": at((F.col("lon") + F.col("_x")) / 2), "_j": at((F.col("lat") + F.col("_y")) / 2)})
     rank = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
     edges = G.line_edges(routes.select("layer_type", parsed_points(F.col("geometry_json")).alias("points")), "points", "layer_type")
-    edges = edges.select("layer_type", key(F.col("src_x"), F.col("src_y"), F.col("dst_x"), F.col("dst_y")).alias("place"), F.coalesce(F.try_element_at(rank, F.col("layer_type")), F.lit(0)).alias("p"))
-    return claim_by_priority(steps.join(edges, "place"), "layer_type", ["place"], [F.col("p").desc()]).groupBy("layer_type").agg(F.count(F.lit(1)).alias("n"))
+    edges = edges.withColumn("p", F.coalesce(F.try_element_at(rank, F.col("layer_type")), F.lit(0)))
+    dealt = edges.withColumn("_i", touched("src_x", "dst_x")).withColumn("_j", touched("src_y", "dst_y"))
+    off = lambda x, y: project(*map(F.col, (x, y, "src_x", "src_y", "dst_x", "dst_y")))["d2"]
+    held = steps.join(dealt, ["_i", "_j"]).filter((off("lon", "lat") <= within * within) & (off("_x", "_y") <= within * within))
+    return claim_by_priority(held, "layer_type", ["nth"], [F.col("p").desc()]).groupBy("layer_type").agg(F.count(F.lit(1)).alias("n"))

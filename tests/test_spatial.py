@@ -116,6 +116,8 @@ def test_routes(spark, routes):
     assert around.blocked_edges > 0 and (-80.0, 40.42) in around.nodes
     nodes = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(short.nodes)], "nth int, lon double, lat double")
     assert {r["layer_type"]: r["n"] for r in routing.used_layers(nodes, routes).collect()} == {"bike_lanes": 2, "trails": 2}
+    halves = spark.createDataFrame([(0, -80.0, 40.4), (1, -79.9933333, 40.4), (2, -79.99, 40.4), (3, -79.99, 40.3)], "nth int, lon double, lat double")
+    assert {r["layer_type"]: r["n"] for r in routing.used_layers(halves, routes).collect()} == {"bike_lanes": 2}
     legs = G.collapsed(G.directions(nodes.withColumn("k", F.lit(1)), "k", "nth"), "k", "nth")
     assert [r["turn"] for r in legs.orderBy("nth").collect()][0] == "start"
     for a, b in (((-80.0, 40.4), (-80.0, 40.4)), ((-80.0, 40.4), (0.0, 0.0)), ((-80.0, 40.4), (-70.0, 40.0))):
