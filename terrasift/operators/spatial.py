@@ -62,6 +62,13 @@ def assign_polygon(points: DataFrame, polygons: DataFrame, x: str, y: str, polyg
     return own.join(lists, ["_i", "_j"], "left").withColumn(polygon_key, F.array_min(F.transform(holding, lambda p: p["polygon"]))).drop("_i", "_j", "_near")
 
 
+def square(x, y, size: float, wider: float = 0.0) -> Column:
+    """The closed ring around a cell's middle, half a cell and ``wider`` to each side; null where a coordinate is null."""
+    x, y, half = S.col(x), S.col(y), size / 2 + wider
+    corners = [(-half, -half), (half, -half), (half, half), (-half, half), (-half, -half)]
+    return F.when(x.isNotNull() & y.isNotNull(), F.array(*[F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in corners]))
+
+
 def meets(ring: Column, west: float, south: float, east: float, north: float) -> Column:
     """Whether a closed ring's area and a window have a point in common: an edge passes the window, or it lies inside."""
     edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))

@@ -180,3 +180,10 @@ def test_long_weighted_paths(spark):
     assert G.path_to(paths, 60) == [0, *range(30, 61)] and G.path_to(paths, 0) == [0] and G.path_to(paths, 99) == []
     with pytest.raises(RuntimeError):
         G.shortest_paths(df, 0, rounds=3)
+
+
+def test_square(spark):
+    cells = spark.createDataFrame([(1.0, 2.0), (None, 2.0)], "x double, y double").withColumns({"r": P.square("x", "y", 1.0), "w": P.square("x", "y", 1.0, 0.25)})
+    has = lambda ring, x: P.inside(F.lit(x), F.lit(2.0), F.col(ring))
+    a, b = cells.select("r", has("r", 1.4), has("r", 1.6), has("w", 1.6), has("w", 1.8)).collect()
+    assert tuple(a)[1:] == (True, False, True, False) and len(a["r"]) == 5 and a["r"][0] == a["r"][4] and b["r"] is None
