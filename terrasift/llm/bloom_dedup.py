@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_and_text, new_path, remove, ship, stored
+from .common import SPACES, discard, id_and_text, new_path, quoted, remove, ship, stored, whole_row
 
 _CHUNK = 1 << 16
+_AT_ONCE = 1 << 20  # hashes marked together
 
 
 def normalised(text: str) -> F.Column:
@@ -49,10 +50,9 @@ def _positions(h: np.ndarray, slots: int, hashes: int) -> np.ndarray:
 
 
 def _mark(slots: int, hashes: int):
-    def run(batches):
-        parts = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
-        if not parts:
-            return
+    """For runs of rows: of each chunk of slots those hit by one row and those hit by more."""
+
+    def told(parts):
         at = _positions(np.concatenate(parts), slots, hashes)
         at.sort(axis=1)  # a row counts once for each of its different slots
         at = at[np.hstack([np.ones((len(at), 1), bool), at[:, 1:] != at[:, :-1]])]
@@ -62,35 +62,62 @@ def _mark(slots: int, hashes: int):
             (int(a[0] // _CHUNK), (a % _CHUNK)[c == 1].astype(np.uint16).tobytes(), (a % _CHUNK)[c > 1].astype(np.uint16).tobytes())
             for a, c in zip(np.split(at, cuts), np.split(n, cuts))
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["chunk", "once", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["chunk", "once", "more"])
+
+    def run(batches):
+        parts, size = [], 0
+        for b in batches:
+            column = b.column(0).flatten() if pa.types.is_list(b.column(0).type) else b.column(0)
+            parts.append(column.to_numpy(zero_copy_only=False))
+            size += len(column)
+            if size >= _AT_ONCE:
+                yield told(parts)
+                parts, size = [], 0
+        if size:
+            yield told(parts)
 
     return run
 
 
-def _merge(batches):
-    """Streams the marks of its chunks; holds two bit maps for each chunk, however many marks come in."""
-    seen: dict[int, np.ndarray] = {}
-    for b in batches:
-        for chunk, once, more in zip(*(b.column(i).to_pylist() for i in range(3))):
-            hits = seen.setdefault(chunk, np.zeros(_CHUNK, np.uint8))
-            once, more = np.frombuffer(once, np.uint16), np.frombuffer(more, np.uint16)
-            hits[once] = np.minimum(hits[once] + 1, 2)
-            hits[more] = 2
-    for chunk, hits in seen.items():
-        if (bits := np.packbits(hits == 2)).any():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
+def _merge(least: int):
+    """Bit maps of the slots hit by at least ``least`` rows, 1 or 2, from marks sorted by chunk; holds one chunk."""
 
+    def told(chunk, hits):
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.packbits(hits >= least).tobytes()], pa.binary())], ["chunk", "bits"])
 
-def repeated_slots(hashes: DataFrame, slots: int, k: int) -> np.ndarray:
-    """Pass one: the bit map of the slots that two or more rows hit. ``hashes`` has one bigint column."""
+    def run(batches):
+        at, hits = None, None
+        for b in batches:
+            for chunk, once, more in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if chunk != at:
+                    if at is not None and (hits >= least).any():
+                        yield told(at, hits)
+                    at, hits = chunk, np.zeros(_CHUNK, np.uint8)
+                once, more = np.frombuffer(once, np.uint16), np.frombuffer(more, np.uint16)
+                hits[once] = np.minimum(hits[once] + 1, 2)
+                hits[more] = 2
+        if at is not None and (hits >= least).any():
+            yield told(at, hits)
+
+    return run
+
+
+def hit_slots(hashes: DataFrame, slots: int, k: int, least: int) -> np.ndarray:
+    """The bit map of the slots that at least ``least`` rows, 1 or 2, hit. ``hashes`` has one column, of bigints or of
+    arrays of them. Chunks are merged by the executors; the driver gets the map once."""
     marks = hashes.mapInArrow(_mark(slots, k), "chunk bigint, once binary, more binary")
     out = np.zeros(slots // 8, np.uint8)
-    for row in marks.repartition("chunk").mapInArrow(_merge, "chunk bigint, bits binary").toLocalIterator():
+    for row in marks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge(least), "chunk bigint, bits binary").collect():
         at = row["chunk"] * (_CHUNK // 8)
         out[at : at + _CHUNK // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
+def repeated_slots(hashes: DataFrame, slots: int, k: int) -> np.ndarray:
+    """Pass one: the slots that two or more rows hit."""
+    return hit_slots(hashes, slots, k, 2)
+
+
 def hit(h: np.ndarray, bits: np.ndarray, slots: int, hashes: int) -> np.ndarray:
     """Which of the hashes have all their slots in the bit map."""
     at = _positions(h, slots, hashes)
@@ -105,28 +132,12 @@ def _maybe_repeated(bits, slots: int, hashes: int):
     return maybe
 
 
-def _any(slots: int, hashes: int):
-    """One bit map, compressed by leaving out empty chunks, of the slots that a task's rows hit."""
-
-    def run(batches):
-        parts = [b.column(0).to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
-        at = np.unique(_positions(np.concatenate(parts), slots, hashes)) if parts else np.zeros(0, np.int64)
-        for own in np.split(at, np.flatnonzero(np.diff(at // _CHUNK)) + 1) if len(at) else ():
-            bits = np.zeros(_CHUNK, np.uint8)
-            bits[own % _CHUNK] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([own[0] // _CHUNK], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["chunk", "bits"])
-
-    return run
-
-
-def key_filter(keys: DataFrame, on: str, hashes: int = 3, max_filter_bytes: int = 16 << 20):
-    """(broadcast bit map, slots, hashes): a Bloom filter, of bounded size, of the hashes of the column ``on``."""
+def key_filter(keys: DataFrame, on: str, hashes: int = 3, max_filter_bytes: int = 64 << 20, hashed: bool = False):
+    """(broadcast bit map, slots, hashes): a Bloom filter, of bounded size, of the hashes of the column ``on``, which
+    ``hashed`` says it holds. Beyond its bound (3.4e7 keys) it lets more and more other rows through."""
     _, slots = plan(keys.count(), 16, max_filter_bytes)
-    out = np.zeros(slots // 8, np.uint8)
-    for row in keys.select(F.xxhash64(on).alias("h")).mapInArrow(_any(slots, hashes), "chunk bigint, bits binary").toLocalIterator():
-        at = row["chunk"] * (_CHUNK // 8)
-        out[at : at + _CHUNK // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(out), slots, hashes
+    bits = hit_slots(keys.select(F.col(on) if hashed else F.xxhash64(on)), slots, hashes, 1)
+    return keys.sparkSession.sparkContext.broadcast(bits), slots, hashes
 
 
 def split_by_keys(rows: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -148,25 +159,29 @@ def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, hashes: int = 3, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """The rows of ``docs``, with all columns, that stay: one of each group of equal texts, one of its smallest id.
 
-    Rows that pass one of the filters never move; the others meet by partial aggregates, so no group is collected.
+    The documents are read twice, whatever the number of ranges: for their hashes, and to part those whose hash occurs
+    more than once from the others, which never move. The former meet by partial aggregates, so no group is collected.
     """
-    ship(docs.sparkSession)
-    h, names = "_hash of text", docs.columns
-    rows = docs.withColumn(h, F.xxhash64(normalised(text_col)))
-    ranges, slots = plan(docs.count(), slots_per_row, max_filter_bytes)
-    path, schema = new_path(docs.sparkSession, "hashes"), "h bigint, lot int"
-    rows.select(F.col(h).alias("h")).withColumn("lot", _lot("h", ranges)).write.partitionBy("lot").parquet(path)
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select(whole_row(docs), F.xxhash64(normalised(text_col)).alias("h"))
+    path = new_path(spark, "hashes")
+    rows.select("h").write.parquet(path)
+    read = spark.read.schema("h bigint").parquet(path)
+    ranges, slots = plan(read.count(), slots_per_row, max_filter_bytes)
     parts = []
-    for n in range(ranges):
-        bits = docs.sparkSession.sparkContext.broadcast(repeated_slots(docs.sparkSession.read.schema(schema).parquet(path).filter(F.col("lot") == n).select("h"), slots, hashes))
-        own, maybe = rows.filter(_lot(h, ranges) == n), _maybe_repeated(bits, slots, hashes)(h)
-        order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
-        settled = own.filter(maybe).groupBy(F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)).agg(F.min_by(F.struct(*[f"`{c}`" for c in names]), order).alias("row")).select("row.*")
-        parts.append(settled.unionByName(own.filter(~maybe).drop(h)))
-        if ranges > 1:  # one filter is held at a time
-            parts[-1] = stored(parts[-1])
-            bits.destroy()
-    return reduce(DataFrame.unionByName, parts)
+    for n in range(ranges):  # one filter is held at a time
+        own = read.filter(_lot("h", ranges) == n)
+        bits = spark.sparkContext.broadcast(repeated_slots(own, slots, hashes))
+        parts.append(stored(own.filter(_maybe_repeated(bits, slots, hashes)("h"))))
+        bits.destroy()
+    again = reduce(DataFrame.unionByName, parts).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    maybe, others, _ = split_by_keys(rows, again, "h")
+    remove(spark, path)
+    discard(*parts)
+    order = F.struct(F.col(f"row.{quoted(id_col)}").isNull(), F.col(f"row.{quoted(id_col)}"), F.col(f"row.{quoted(text_col)}"))
+    settled = maybe.groupBy(F.sha2(F.encode(normalised(f"row.{quoted(text_col)}"), "UTF-8"), 256)).agg(F.min_by("row", order).alias("row"))
+    return settled.select("row.*").unionByName(others.select("row.*"))
 
 
 def _lot(h: str, ranges: int) -> F.Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import discard, new_path, remove, stored
 
-__all__ = ["SPACES", "discard", "id_and_text", "id_type", "new_path", "remove", "ship", "sized", "stored", "table"]
+__all__ = ["SPACES", "discard", "id_and_text", "id_type", "new_path", "quoted", "remove", "ship", "sized", "stored", "table", "whole_row"]
 
 #: ASCII white space, as the contracts write it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -73,3 +73,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def id_type(rows: DataFrame) -> str:
     return rows.schema["doc_id"].dataType.simpleString()
 
+
+def quoted(name: str) -> str:
+    """A column's name as it stands, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns as one struct ``row``, so that none clashes with an operator's own; ``row.*`` gives them back."""
+    return F.struct(*map(quoted, df.columns)).alias("row")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_dedup, bpe, decontam, divergence, langid, lcp_tree, line_frequency, merkle, qda, simhash, suffix_tree, trie
+from . import bloom_dedup, bpe, decontam, divergence, langid, lcp_tree, line_frequency, merkle, qda, set_join, simhash, suffix_tree, trie
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -181,5 +181,10 @@ SELECT w.conv_id, w.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children,
 FROM whole w JOIN below b ON b.depth = w.depth AND b.node = w.node
 """
 
-QUERIES = {f.__name__: f for f in (op1_warc_fixity, op2_simhash_covering, op3_byte_bpe, op4_language_id, op5_line_frequency, op6_suffix_tree_dedup, op7_bm25_decontamination, op8_quality_qda, op9_lcp_interval_dedup, op10_bloom_dedup, op11_source_divergence, op12_prefix_trie)}
+
+def op13_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_sets(table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_fixity, op2_simhash_covering, op3_byte_bpe, op4_language_id, op5_line_frequency, op6_suffix_tree_dedup, op7_bm25_decontamination, op8_quality_qda, op9_lcp_interval_dedup, op10_bloom_dedup, op11_source_divergence, op12_prefix_trie, op13_prefix_join)}
 ORACLE_SQL = {"op1_warc_fixity": OP1_SQL, "op5_line_frequency": OP5_SQL, "op10_bloom_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_prefix_trie": OP12_SQL}

@@ -116,15 +116,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of ``docs``: doc_id, fingerprint, component_id.
 
     Without ``similarity`` fingerprints within RADIUS bits are linked. With it texts of at least that Jaccard similarity
-    are: what the covering tables link is verified, and what lies farther apart in bits is found by ``jaccard``, for
-    64 bits put two texts of 0.8 about ten bits apart, beyond any radius whose tables could be made. Rows with a null
-    id have no result then.
+    are: what the covering tables link is verified, and what lies farther apart in bits is found by ``set_join``, for
+    64 bits put two texts of 0.8 about ten bits apart, beyond any radius whose tables could be made.
     """
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     if similarity is not None:
-        from .jaccard import near_copies
+        from .set_join import similar_sets
 
-        return near_copies(docs, id_col, text_col, words, similarity).select("doc_id", hexed, "component_id")
+        return similar_sets(docs, id_col, text_col, words, similarity, join_empty=True, covering=True).select("doc_id", hexed, "component_id")
     marked = stored(fingerprints(docs, id_col, text_col, words))
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
     roots = components(links(fps.filter("node is not null")))

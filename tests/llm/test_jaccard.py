@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from tests.conftest import DATA
 from tests.llm.test_operators import SCHEMA, words_of
-from terrasift.llm import jaccard
+from terrasift.llm import set_join
 
 
 def shingles(text, words=5):
@@ -51,13 +51,14 @@ def texts(seed):
     return [(3 * i, " ".join(w)) for i, w in enumerate(out)]
 
 
-@pytest.mark.parametrize("seed, common", [(1, 50), (2, 3), (3, 8)])
-def test_near_copies_equal_brute_force(spark, seed, common):
+@pytest.mark.parametrize("seed, sample, covering", [(1, 16, True), (2, 1, True), (3, 2, False)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, seed, sample, covering):
+    monkeypatch.setattr(set_join, "_SAMPLE", sample)
     rows = texts(seed)
     docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA).repartition(3)
     wanted = brute(rows)
     assert len(set(wanted.values())) < len(rows) - 20
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs, common=common).collect()} == wanted
+    assert {r["doc_id"]: r["component_id"] for r in set_join.similar_sets(docs, words=5, similarity=0.8, join_empty=True, covering=covering).collect()} == wanted
 
 
 def test_near_stage_removes_copies_of_four_fifths(spark):
