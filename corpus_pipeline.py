@@ -19,17 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.llm import bloom_dedup, bpe, decontam, langid, simhash
-from terrasift.llm.common import new_path, remove, stored, table
+from terrasift.llm.common import new_path, remove, stored, table, whole_row
 from terrasift.llm.queries import BPE_RANKS, PIECES, held_out
 
-_KEY, _OWN = "_row key", "_own"
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that is likelier than all others together, go."""
     model = langid.LanguageModel.fit(docs.filter(~held_out(F.col("doc_id"))), langid.public_pieces(PIECES))
-    judged = docs.withColumn(_OWN, model.of("text"))
-    return judged.filter((F.col(f"{_OWN}.lang_pred") != "und") & (F.col(f"{_OWN}.score") >= 0.5)).drop(_OWN)
+    judged = docs.select(whole_row(docs), model.of("text").alias("own"))
+    return judged.filter((F.col("own.lang_pred") != "und") & (F.col("own.score") >= 0.5)).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +39,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (shingles of five words, similarity 0.8 or more) one document with the smallest id
     stays. A row's key sorts by id, null last, and tells different texts of one id apart."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
-    keyed = docs.withColumn(_KEY, key)
-    found = stored(simhash.near_dedup(keyed, id_col=_KEY, words=5, similarity=0.8).select(F.col("doc_id").alias(_KEY), "component_id"))
-    stays = F.col(_KEY) == F.col("component_id")
-    left = bloom_dedup.without(keyed, found.filter(~stays).select(_KEY).distinct(), _KEY)
-    again = found.filter(stays).groupBy(_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_KEY)
-    maybe, others, again = bloom_dedup.split_by_keys(left, again, _KEY)
-    once = maybe.join(again, _KEY, "left_anti").unionByName(maybe.join(again, _KEY, "left_semi").dropDuplicates([_KEY]))
-    return others.unionByName(once).drop(_KEY).select(*docs.columns)
+    keyed = docs.select(whole_row(docs), key.alias("key"))
+    texts = docs.select(key.alias("key"), "text")
+    found = stored(simhash.near_dedup(texts, id_col="key", words=5, similarity=0.8).select(F.col("doc_id").alias("key"), "component_id"))
+    stays = F.col("key") == F.col("component_id")
+    left = bloom_dedup.without(keyed, found.filter(~stays).select("key").distinct(), "key")
+    again = found.filter(stays).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    maybe, others, again = bloom_dedup.split_by_keys(left, again, "key")
+    once = maybe.join(again, "key", "left_anti").unionByName(maybe.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return others.unionByName(once).select("row.*")
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
