@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from . import linework
 from .relational import islands
 from .shared import discard, stored
 
@@ -33,26 +34,8 @@ def line_edges(lines: DataFrame, points: str, *carry: str) -> DataFrame:
 
 
 def noded(edges: DataFrame, cell: float) -> DataFrame:
-    """Splits straight edges (src_x, src_y, dst_x, dst_y) where they cross or touch one another.
-
-    Edges are dealt to the grid cells of their boxes, so only edges of one cell are compared; the places found on an
-    edge are as many as the edges it crosses. Overlapping parallel edges are left as they are.
-    """
-    c = ("src_x", "src_y", "dst_x", "dst_y")
-    rows = edges.select(*c).distinct().withColumn("id", F.xxhash64(*c))
-    at = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell).cast("bigint"), F.floor(F.greatest(a, b) / cell).cast("bigint")))
-    dealt = rows.withColumn("i", at("src_x", "dst_x")).withColumn("j", at("src_y", "dst_y"))
-    other = dealt.select("i", "j", F.col("id").alias("of"), *[F.col(n).alias(f"o_{n}") for n in c])
-    dx, dy, ox, oy = F.col("dst_x") - F.col("src_x"), F.col("dst_y") - F.col("src_y"), F.col("o_dst_x") - F.col("o_src_x"), F.col("o_dst_y") - F.col("o_src_y")
-    px, py = F.col("o_src_x") - F.col("src_x"), F.col("o_src_y") - F.col("src_y")
-    cross = F.nullif(dx * oy - dy * ox, F.lit(0.0))
-    pairs = dealt.join(other, ["i", "j"]).filter("id != of").withColumns({"t": (px * oy - py * ox) / cross, "u": (px * dy - py * dx) / cross})
-    cuts = pairs.filter("t > 0 and t < 1 and u >= 0 and u <= 1").groupBy("id").agg(F.collect_set(F.round("t", 12)).alias("cuts"))
-    ends = F.array_sort(F.array_union(F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(0.0), F.lit(1.0))))
-    place = lambda t: F.struct(F.round(F.col("src_x") + dx * t, 7).alias("x"), F.round(F.col("src_y") + dy * t, 7).alias("y"))
-    parts = rows.join(cuts, "id", "left").withColumn("p", F.transform(ends, place)).select(F.explode(F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))).alias("e"))
-    flat = parts.select(F.col("e.a.x").alias("src_x"), F.col("e.a.y").alias("src_y"), F.col("e.b.x").alias("dst_x"), F.col("e.b.y").alias("dst_y")).distinct()
-    return flat.filter("src_x != dst_x or src_y != dst_y").withColumn("miles", S.miles("src_y", "src_x", "dst_y", "dst_x"))
+    """Splits straight edges (src_x, src_y, dst_x, dst_y) where they cross, touch or overlap one another; adds miles."""
+    return linework.noded(edges, cell).withColumn("miles", S.miles("src_y", "src_x", "dst_y", "dst_x"))
 
 
 def shortest_paths(edges: DataFrame, start, rounds: int | None = None) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..sources.lines import PRIORITY, parsed_points
+from .linework import uncovered
 from .relational import capped
-from .spatial import box, claim_by_priority, grid, meets, overlaps, simplify
+from .spatial import box, grid, meets, overlaps, simplify
 
 #: Page caps of the layers: what a map can show, not what is computed.
 MOST_CELLS, MOST_TRACTS, MOST_LINES = 6000, 2500, 5000
@@ -55,14 +56,20 @@ def lines(routes: DataFrame, west: float, south: float, east: float, north: floa
     return (exclusive_pieces(chosen) if exclusive else chosen), more
 
 
-def exclusive_pieces(routes: DataFrame) -> DataFrame:
-    """route_id, layer_type, pieces: of features that share a piece of line only the one of highest priority keeps it."""
+def exclusive_pieces(routes: DataFrame, cell: float = 0.01) -> DataFrame:
+    """route_id, layer_type, display_priority, pieces: of each feature what no feature of higher priority covers.
+
+    Pieces come in order: ``at`` counts the line's segments, ``e`` has the ends of what is left of one.
+    """
     rank = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
     v = parsed_points(F.col("geometry_json"))
-    steps = routes.select("route_id", "layer_type", F.coalesce(F.try_element_at(rank, F.col("layer_type")), F.lit(0)).alias("display_priority"), F.posexplode(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("at", "e"))
-    ends = F.array_sort(F.array(*[F.struct(F.round(f"e.{k}.x", 7).alias("x"), F.round(f"e.{k}.y", 7).alias("y")) for k in "ab"]))
-    own = claim_by_priority(steps.withColumn("place", ends), "route_id", ["place"], [F.col("display_priority").desc(), F.col("layer_type")])
-    return own.groupBy("route_id", "layer_type", "display_priority").agg(F.array_sort(F.collect_list(F.struct("at", "e"))).alias("pieces"))
+    priority = F.coalesce(F.try_element_at(rank, F.col("layer_type")), F.lit(0)).alias("display_priority")
+    steps = routes.select("route_id", "layer_type", priority, F.posexplode(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("at", "e"))
+    ends = [F.col(f"e.{k}.{c}").alias(f"{n}_{c}") for k, n in (("a", "src"), ("b", "dst")) for c in "xy"]
+    left = uncovered(steps.select("route_id", "layer_type", "display_priority", (-F.col("display_priority")).alias("_nth"), "at", *ends), "route_id", ["_nth", "layer_type"], cell)
+    place = lambda t: F.struct(*[F.when(F.col(t) == 1, F.col(f"dst_{c}")).otherwise(F.col(f"src_{c}") + (F.col(f"dst_{c}") - F.col(f"src_{c}")) * F.col(t)).alias(c) for c in "xy"])
+    pieces = left.select("route_id", "layer_type", "display_priority", F.struct("at", F.col("t").alias("share"), F.struct(place("t").alias("a"), place("u").alias("b")).alias("e")).alias("piece"))
+    return pieces.groupBy("route_id", "layer_type", "display_priority").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
 
 
 def corridor(ax: float, ay: float, bx: float, by: float, margin: float = 0.02) -> tuple[float, float, float, float]:

@@ -11,11 +11,13 @@ from ..functions import scalar as S
 from ..sources.lines import parsed_points
 from . import graph as G
 from .layers import corridor, hot_cells
+from .linework import meeting
 from .relational import floor_index_percentile
 from .shared import stored
-from .spatial import claim_by_priority, exposure, overlaps, project, snap
+from .spatial import claim_by_priority, overlaps, project, snap
 
 MILES_AN_HOUR = 10.0
+WIDER = 0.0004  # degrees that a route keeps off a hot cell
 NEAREST_MILES = 0.05
 
 
@@ -46,7 +48,7 @@ def facilities(routes: DataFrame, city: str, nodes: list[tuple[float, float]]) -
     return routes.filter((F.col("city") == city) & overlaps(min(xs), min(ys), max(xs), max(ys))).select("layer_type", "layer_label").distinct().orderBy("layer_label")
 
 
-def analysis(routes: DataFrame, incidents: DataFrame, city: str, start: tuple[float, float], end: tuple[float, float], size: float = 0.0025, percent: float = 90) -> dict[str, DataFrame]:
+def analysis(routes: DataFrame, incidents: DataFrame, city: str, start: tuple[float, float], end: tuple[float, float], size: float = 0.0025, percent: float = 90, wider: float = WIDER) -> dict[str, DataFrame]:
     """What a map of an avoidance shows in the corridor between two points: cells, hot cells, open and blocked edges."""
     west, south, east, north = corridor(*start, *end)
     cells = hot_cells(incidents, city, size)
@@ -57,7 +59,8 @@ def analysis(routes: DataFrame, incidents: DataFrame, city: str, start: tuple[fl
     edges, b = with_stop(edges, *end)
     edges = stored(edges.withColumn("edge_key", F.concat_ws("|", "src", "dst")))
     stops = edges.sparkSession.createDataFrame([(a,), (b,)], "node string")
-    touched = G.chains(edges.join(exposure(edges, "edge_key", cells, size).select("edge_key", (F.col("hot_share") > 0).alias("hot")), "edge_key"), stops)
+    met = meeting(edges, "edge_key", cells.filter("hot"), size, wider).withColumn("hot", F.lit(True))
+    touched = G.chains(edges.join(met, "edge_key", "left").na.fill(False, ["hot"]), stops)
     here = (F.greatest("src_x", "dst_x") >= west) & (F.least("src_x", "dst_x") <= east) & (F.greatest("src_y", "dst_y") >= south) & (F.least("src_y", "dst_y") <= north)
     left = G.without_blocked(touched, F.col("hot"))
     return {"cells": inside, "hot": inside.filter("hot"), "open": left.filter(here), "blocked": touched.join(left.select("edge_key"), "edge_key", "left_anti").filter(here)}
@@ -80,19 +83,20 @@ def with_stop(edges: DataFrame, lon: float, lat: float) -> tuple[DataFrame, str]
     return rest.unionByName(named(new), allowMissingColumns=True), f"{at['x']:.7f},{at['y']:.7f}"
 
 
-def unblocked(edges: DataFrame, incidents: DataFrame, city: str, size: float, percent: float, stops: list[str]) -> tuple[DataFrame, int]:
-    """Without every chain of edges that touches a hot cell; counts each undirected edge once. Stops end chains."""
+def unblocked(edges: DataFrame, incidents: DataFrame, city: str, size: float, percent: float, stops: list[str], wider: float = WIDER) -> tuple[DataFrame, int]:
+    """Without every chain of edges that meets the square of a hot cell, ``wider`` to each side; counts each undirected
+    edge once. Stops end chains."""
     cells = hot_cells(incidents, city, size)
     threshold = floor_index_percentile(cells, "intensity", percent)
     cells = cells.withColumn("hot", F.col("intensity") >= F.lit(threshold))
     edges = stored(edges.withColumn("edge_key", F.concat_ws("|", "src", "dst")))
-    touched = edges.join(exposure(edges, "edge_key", cells, size).filter("hot_share > 0").select("edge_key", F.lit(True).alias("hot")), "edge_key", "left")
+    touched = edges.join(meeting(edges, "edge_key", cells.filter("hot"), size, wider).withColumn("hot", F.lit(True)), "edge_key", "left")
     ends = edges.sparkSession.createDataFrame([(s,) for s in stops], "node string")
     left = stored(G.without_blocked(G.chains(touched, ends), F.coalesce("hot", F.lit(False))))
     return left, edges.count() - left.count()
 
 
-def route(routes: DataFrame, city: str, start: tuple[float, float], end: tuple[float, float], incidents: DataFrame | None = None, size: float = 0.0025, percent: float = 90, rounds: int | None = None) -> Route:
+def route(routes: DataFrame, city: str, start: tuple[float, float], end: tuple[float, float], incidents: DataFrame | None = None, size: float = 0.0025, percent: float = 90, rounds: int | None = None, wider: float = WIDER) -> Route:
     """The shortest route between two (lon, lat) points; with ``incidents`` it keeps off the densest cells."""
     spark = routes.sparkSession
     apart = spark.range(1).select(S.miles(F.lit(start[1]), F.lit(start[0]), F.lit(end[1]), F.lit(end[0]))).first()[0]
@@ -102,7 +106,7 @@ def route(routes: DataFrame, city: str, start: tuple[float, float], end: tuple[f
     edges, b = with_stop(edges, *end)
     blocked = 0
     if incidents is not None:
-        edges, blocked = unblocked(edges, incidents, city, size, percent, [a, b])
+        edges, blocked = unblocked(edges, incidents, city, size, percent, [a, b], wider)
     paths = G.shortest_paths(edges.select("src", "dst", F.col("miles").alias("weight")), a, rounds)
     path = G.path_to(paths, b)
     if not path:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import graph as G
+from ..operators import linework, routing
 from ..operators import relational as R
 from ..operators import spatial as P
 from .relational_queries import table
@@ -151,9 +152,8 @@ def chain_contraction(spark, d):
 t AS (SELECT s_suppkey, greatest(0.0, least(1.0, ((12.5 - ax) * 3 + (9.25 - ay) * 2) / 13.0)) AS t, ax, ay FROM e) SELECT s_suppkey, round(t, 6) AS t FROM t ORDER BY pow(12.5 - (ax + t * 3), 2) + pow(9.25 - (ay + t * 2), 2), s_suppkey LIMIT 1""")
 def snap_nearest_edge(spark, d):
     ax, ay = (F.col("s_suppkey") % 50).cast("double"), F.col("s_acctbal") / 500
-    e = table(spark, d, "supplier").select("s_suppkey", ax.alias("ax"), ay.alias("ay"))
-    at = P.project(F.lit(12.5), F.lit(9.25), F.col("ax"), F.col("ay"), F.col("ax") + 3, F.col("ay") + 2)
-    return e.withColumn("at", at).orderBy("at.d2", "s_suppkey").limit(1).select("s_suppkey", F.round("at.t", 6).alias("t"))
+    edges = table(spark, d, "supplier").select("s_suppkey", ax.alias("src_x"), ay.alias("src_y"), (ax + 3).alias("dst_x"), (ay + 2).alias("dst_y"))
+    return P.snap(edges, 12.5, 9.25, 2000.0).select("s_suppkey", F.round("at.t", 6).alias("t"))
 
 
 @query("""WITH q AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y FROM part WHERE p_partkey % 50 = 0), e AS (SELECT s_suppkey, CAST(s_suppkey % 50 AS DOUBLE) AS ax, s_acctbal / 500 AS ay FROM supplier),
@@ -181,8 +181,9 @@ def edge_exposure(spark, d):
 @query("""SELECT DISTINCT l_returnflag AS layer_type, l_linestatus AS layer_label FROM (SELECT l_returnflag, l_linestatus, min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS e
 FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linestatus) WHERE a <= 12 AND b >= 10 AND c <= 11000 AND e >= 10000""")
 def facilities_near_route(spark, d):
-    boxes = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.min("l_quantity").alias("min_lon"), F.max("l_quantity").alias("max_lon"), F.min("l_extendedprice").alias("min_lat"), F.max("l_extendedprice").alias("max_lat"))
-    return boxes.filter(P.overlaps(10.0, 10000.0, 12.0, 11000.0)).select(F.col("l_returnflag").alias("layer_type"), F.col("l_linestatus").alias("layer_label")).distinct()
+    boxes = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("layer_type"), F.col("l_linestatus").alias("layer_label"))
+    boxes = boxes.agg(F.min("l_quantity").alias("min_lon"), F.max("l_quantity").alias("max_lon"), F.min("l_extendedprice").alias("min_lat"), F.max("l_extendedprice").alias("max_lat"))
+    return routing.facilities(boxes.withColumn("city", F.lit("one")), "one", [(10.0, 10000.0), (12.0, 11000.0)])
 
 
 @query("""WITH e AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS ax, p_retailprice / 100 AS ay FROM part), f AS (SELECT s_suppkey, CAST(s_suppkey % 50 AS DOUBLE) AS cx, s_acctbal / 500 AS cy FROM supplier),
@@ -197,3 +198,72 @@ def line_crossings(spark, d):
     px, py = F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
     hits = met.filter((((px * 5.0 - py) / 17.0) > 0) & (((px * 5.0 - py) / 17.0) < 1) & (((px * 3.0 - py * 4.0) / 17.0) >= 0) & (((px * 3.0 - py * 4.0) / 17.0) <= 1))
     return hits.select("p_partkey", "s_suppkey").distinct().groupBy("p_partkey").agg(F.count(F.lit(1)).alias("crossings"))
+
+
+_STRAIGHT = """SELECT s_suppkey, CAST(s_suppkey % 40 AS DOUBLE) AS ax, CAST(s_suppkey % 7 AS DOUBLE) AS ay, CAST(s_suppkey % 40 + 10 + s_suppkey % 23 AS DOUBLE) AS bx, CAST(s_suppkey % 7 + s_suppkey % 5 - 2 AS DOUBLE) AS by_ FROM supplier"""
+
+
+def _straight(spark, d):
+    k = F.col("s_suppkey")
+    ends = {"src_x": k % 40, "src_y": k % 7, "dst_x": k % 40 + 10 + k % 23, "dst_y": k % 7 + k % 5 - 2}
+    return table(spark, d, "supplier").select("s_suppkey", *[c.cast("double").alias(n) for n, c in ends.items()])
+
+
+def _cells(spark, d):
+    cells = table(spark, d, "lineitem").groupBy(S.cell_index("l_quantity", 3.0).alias("i"), S.cell_index("l_linenumber", 3.0).alias("j")).agg(F.round(F.count(F.lit(1)) / 100, 4).alias("intensity"))
+    return cells.withColumn("hot", F.col("i") % 4 == 1)
+
+
+_CELLS_SQL = "SELECT CAST(floor(l_quantity / 3.0 + 0.5) AS BIGINT) AS i, CAST(floor(l_linenumber / 3.0 + 0.5) AS BIGINT) AS j, round(count(*) / 100.0, 4) AS intensity, floor(l_quantity / 3.0 + 0.5) % 4 = 1 AS hot FROM lineitem GROUP BY ALL"
+#: Of each edge and cell the stretch of the edge within the cell, widened by a margin: Liang and Barsky's clipping.
+_CLIP = """clip AS (SELECT s_suppkey, i, j, intensity, hot,
+  greatest(0, CASE WHEN bx = ax THEN CASE WHEN abs(i * 3.0 - ax) <= {h} THEN 0 ELSE 2 END ELSE least((i * 3.0 - {h} - ax) / (bx - ax), (i * 3.0 + {h} - ax) / (bx - ax)) END,
+    CASE WHEN by_ = ay THEN CASE WHEN abs(j * 3.0 - ay) <= {h} THEN 0 ELSE 2 END ELSE least((j * 3.0 - {h} - ay) / (by_ - ay), (j * 3.0 + {h} - ay) / (by_ - ay)) END) AS s,
+  least(1, CASE WHEN bx = ax THEN 1 ELSE greatest((i * 3.0 - {h} - ax) / (bx - ax), (i * 3.0 + {h} - ax) / (bx - ax)) END,
+    CASE WHEN by_ = ay THEN 1 ELSE greatest((j * 3.0 - {h} - ay) / (by_ - ay), (j * 3.0 + {h} - ay) / (by_ - ay)) END) AS t
+  FROM e, c)"""
+
+
+@query(f"""WITH e AS ({_STRAIGHT}), c AS ({_CELLS_SQL}), {_CLIP.format(h='1.5')},
+kept AS (SELECT s_suppkey, intensity, hot, t - s AS share FROM clip JOIN e USING (s_suppkey) WHERE t > s AND NOT (by_ = ay AND (ay / 3.0 - 0.5) = floor(ay / 3.0 - 0.5) AND j <> floor(ay / 3.0 + 0.5)))
+SELECT e.s_suppkey, round(coalesce(sum(intensity * share), 0), 6) AS mean_intensity, coalesce(max(intensity) FILTER (share > 1e-9), 0) AS max_intensity, round(coalesce(sum(share) FILTER (hot), 0), 6) AS hot_share
+FROM e LEFT JOIN kept USING (s_suppkey) GROUP BY 1""")
+def edge_exposure_by_length(spark, d):
+    """What each line passes of the cells, weighted by the length in each."""
+    return linework.exposure_by_length(_straight(spark, d), "s_suppkey", _cells(spark, d), 3.0)
+
+
+@query(f"WITH e AS ({_STRAIGHT}), c AS ({_CELLS_SQL}), {_CLIP.format(h='1.7')} SELECT DISTINCT s_suppkey FROM clip WHERE hot AND s <= t")
+def edges_meeting_cells(spark, d):
+    """Lines that meet the square of a hot cell, widened by 0.2."""
+    return linework.meeting(_straight(spark, d), "s_suppkey", _cells(spark, d).filter("hot"), 3.0, 0.2)
+
+
+_CROSSING = """pairs AS (SELECT a.ax + (a.bx - a.ax) * ((b.ax - a.ax) * (b.by_ - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / ((a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax)) AS x,
+  a.ay + (a.by_ - a.ay) * ((b.ax - a.ax) * (b.by_ - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / ((a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax)) AS y,
+  ((b.ax - a.ax) * (b.by_ - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / ((a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax)) AS t,
+  ((b.ax - a.ax) * (a.by_ - a.ay) - (b.ay - a.ay) * (a.bx - a.ax)) / ((a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax)) AS u
+  FROM e a, e b WHERE (a.bx - a.ax) * (b.by_ - b.ay) <> (a.by_ - a.ay) * (b.bx - b.ax))"""
+
+
+@query(f"""WITH e AS (SELECT DISTINCT ax, ay, bx, by_ FROM ({_STRAIGHT})), {_CROSSING},
+spots AS (SELECT DISTINCT round(x, 7) AS x, round(y, 7) AS y FROM (SELECT x, y FROM pairs WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 UNION ALL SELECT ax, ay FROM e UNION ALL SELECT bx, by_ FROM e)),
+held AS (SELECT e.*, x, y, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)) AS t FROM e JOIN spots ON x BETWEEN ax AND bx AND abs(ay + (by_ - ay) * (x - ax) / (bx - ax) - y) <= 1e-7),
+steps AS (SELECT x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM held WINDOW w AS (PARTITION BY ax, ay, bx, by_ ORDER BY t))
+SELECT DISTINCT round(x, 5) AS src_x, round(y, 5) AS src_y, round(x2, 5) AS dst_x, round(y2, 5) AS dst_y FROM steps WHERE x2 IS NOT NULL""")
+def noded_network(spark, d):
+    """The pieces between all places where lines cross, touch or overlap."""
+    return G.noded(_straight(spark, d), 8.0).select(*[F.round(c, 5).alias(c) for c in ("src_x", "src_y", "dst_x", "dst_y")])
+
+
+@query("""WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS feature, l_suppkey % 50 AS y, l_returnflag AS layer, CAST(l_partkey % 60 AS DOUBLE) AS a, l_partkey % 60 + l_quantity AS b FROM lineitem),
+bounds AS (SELECT y, a AS x FROM e UNION SELECT y, b FROM e), parts AS (SELECT y, x, lead(x) OVER (PARTITION BY y ORDER BY x) AS x2 FROM bounds),
+owned AS (SELECT p.y, p.x, p.x2, min(layer) AS layer FROM parts p JOIN e ON e.y = p.y AND e.a <= p.x AND e.b >= p.x2 WHERE p.x2 IS NOT NULL GROUP BY ALL)
+SELECT layer, round(sum(x2 - x), 4) AS length FROM owned GROUP BY layer""")
+def length_by_priority(spark, d):
+    """On fifty straight lines each layer keeps what no layer before it covers."""
+    k = F.col("l_partkey") % 60
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("feature"), (F.col("l_suppkey") % 50).cast("double").alias("src_y"), F.col("l_returnflag").alias("layer"), k.cast("double").alias("src_x"), (k + F.col("l_quantity")).alias("dst_x"))
+    merged = linework.stretches(rows, ["src_y", "layer"], "src_x", "dst_x").withColumns({"dst_y": F.col("src_y"), "feature": F.concat_ws("/", "src_y", "layer", "src_x")})
+    left = linework.uncovered(merged, "feature", ["layer"], 20.0)
+    return left.groupBy("layer").agg(F.round(F.sum((F.col("u") - F.col("t")) * (F.col("dst_x") - F.col("src_x"))), 4).alias("length"))
