@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import scalar as S
 from ..sources.schema import HAZARDS
-from .relational import latest_per_key, tiered_match, top_per_key
+from .relational import latest_per_key, similar_pairs, tiered_match, top_per_key
+from .shared import stored
 
 
 def enriched(houses: DataFrame, snapshots: DataFrame, tracts: DataFrame, census: DataFrame) -> DataFrame:
@@ -90,23 +91,44 @@ def sold_snapshots(matched: DataFrame) -> DataFrame:
     return snapshots(rows, "sold")
 
 
-def match_metros(metros: DataFrame, counties: DataFrame, name: str = "name", least: float = 0.5) -> DataFrame:
-    """Adds cbsa_code and tier: exact name, first city and state, word overlap within the state, known renaming.
-
-    Each metro of the crosswalk stands under its first code; the overlap only looks at metros of the same state.
-    """
+def _titles(counties: DataFrame) -> DataFrame:
+    """cbsa_code, norm, city, state of the crosswalk's metros."""
     titles = counties.select("cbsa_code", N.metro("cbsa_title").alias("norm")).distinct()
-    titles = titles.withColumns({"city": N.first_city("norm"), "state": N.first_state("norm")})
+    return titles.withColumns({"city": N.first_city("norm"), "state": N.first_state("norm")})
+
+
+def _alike(rows: DataFrame, titles: DataFrame, least: float) -> DataFrame:
+    """norm, title, code, score: titles of the same state whose words overlap enough."""
+    own = rows.select("norm", "state", S.words("norm", 2).alias("w")).distinct()
+    other = titles.select(F.col("norm").alias("title"), "state", S.words("norm", 2).alias("w")).distinct()
+    pairs = similar_pairs(own, other, ["state"], "norm", "title", "w", least, S.jaccard)
+    return pairs.join(titles.select(F.col("norm").alias("title"), F.col("cbsa_code").alias("code")), "title")
+
+
+def match_metros(metros: DataFrame, counties: DataFrame, name: str = "name", least: float = 0.5) -> DataFrame:
+    """Adds cbsa_code and tier: exact name (1), first city and state (2), word overlap within the state (3), known
+    renaming by its new name or by that name's first city and state (4)."""
+    titles = stored(_titles(counties))
     rows = metros.withColumn("norm", N.metro(name)).withColumns({"city": N.first_city("norm"), "state": N.first_state("norm")})
     rows = tiered_match(rows, titles, [("norm",), ("city", "state")], "cbsa_code", [F.col("norm"), F.col("cbsa_code")])
-    rest = rows.filter("cbsa_code is null").select("norm", "state", S.words("norm", 2).alias("w")).distinct()
-    other = titles.select(F.col("norm").alias("title"), F.col("cbsa_code").alias("_fuzzy"), "state", S.words("norm", 2).alias("v"))
-    scored = rest.join(other, "state").withColumn("score", S.jaccard(F.col("w"), F.col("v"))).filter(F.col("score") >= least)
-    best = latest_per_key(scored, ["norm"], [F.col("score").desc(), F.col("title"), F.col("_fuzzy")]).select("norm", "_fuzzy")
-    renamed = latest_per_key(titles, ["norm"], [F.col("cbsa_code")]).select(F.col("norm").alias("_new"), F.col("cbsa_code").alias("_renamed"))
-    rows = rows.join(best, "norm", "left").join(renamed, N.lookup(N.RENAMED, F.col("norm")) == F.col("_new"), "left")
+    scored = _alike(rows.filter("cbsa_code is null"), titles, least)
+    best = latest_per_key(scored, ["norm"], [F.col("score").desc(), F.col("title"), F.col("code")]).select("norm", F.col("code").alias("_fuzzy"))
+    new = rows.filter("cbsa_code is null").select("norm", N.lookup(N.RENAMED, F.col("norm")).alias("new")).filter("new is not null").distinct()
+    named = new.select(F.col("norm").alias("_old"), F.col("new").alias("norm")).withColumns({"city": N.first_city("norm"), "state": N.first_state("norm")})
+    named = tiered_match(named, titles, [("norm",), ("city", "state")], "cbsa_code", [F.col("norm"), F.col("cbsa_code")])
+    renamed = named.select(F.col("_old").alias("norm"), F.col("cbsa_code").alias("_renamed"))
+    rows = rows.join(best, "norm", "left").join(renamed, "norm", "left")
     tier = F.when(F.col("cbsa_code").isNotNull(), F.col("tier")).when(F.col("_fuzzy").isNotNull(), 3).when(F.col("_renamed").isNotNull(), 4)
-    return rows.withColumns({"tier": tier, "cbsa_code": F.coalesce("cbsa_code", "_fuzzy", "_renamed")}).drop("_fuzzy", "_renamed", "_new", "city", "state", "norm")
+    return rows.withColumns({"tier": tier, "cbsa_code": F.coalesce("cbsa_code", "_fuzzy", "_renamed")}).drop("_fuzzy", "_renamed", "city", "state", "norm")
+
+
+def metro_candidates(metros: DataFrame, counties: DataFrame, name: str = "name", least: float = 0.4, most: int = 5) -> DataFrame:
+    """name, nth, cbsa_code, title, score: what a metro without a match might be, the likeliest ``most`` of each."""
+    rows = match_metros(metros.select(F.col(name).alias("name")), counties, "name").filter("cbsa_code is null").select("name").distinct()
+    rows = stored(rows.withColumn("norm", N.metro("name")).withColumn("state", N.first_state("norm")))
+    found = rows.select("name", "norm").join(_alike(rows, _titles(counties), least), "norm")
+    order = Window.partitionBy("name").orderBy(F.col("score").desc(), "title", "code")
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).select("name", "nth", F.col("code").alias("cbsa_code"), "title", "score")
 
 
 def coded_metros(metros: DataFrame, counties: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from .selection import at_ranks
+from .shared import discard, stored
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order``, which must end in a tiebreak. Spark limits groups before the shuffle."""
     return top_per_key(df, keys, order, 1)
@@ -58,12 +59,6 @@ def tiered_match(left: DataFrame, right: DataFrame, tiers: Sequence[Sequence[str
     return out.withColumns({value: F.coalesce(*[F.col(f"_v{n}") for n in hits]), "tier": tier}).drop(*[f"_v{n}" for n in hits])
 
 
-def blocked_best(left: DataFrame, right: DataFrame, block: Sequence[str], score: Column, least: float, left_key: str, tiebreak: Sequence[Column]) -> DataFrame:
-    """For each left row the best right row of its block that scores at least ``least``."""
-    pairs = left.join(right, list(block)).withColumn("score", score).filter(F.col("score") >= least)
-    return latest_per_key(pairs, [left_key], [F.col("score").desc(), *tiebreak])
-
-
 def similar_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], left_key: str, right_key: str, words: str, least: float, score: Callable[[Column, Column], Column]) -> DataFrame:
     """left_key, right_key, score of the pairs of a block whose word sets have at least that Jaccard similarity.
 
@@ -80,12 +75,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], left_
 
 def floor_index_percentile(df: DataFrame, value: str, percent: float) -> float | None:
     """The element at floor(p (n - 1)) of the sorted values, p clamped to 50 to 99 percent."""
-    n = df.filter(F.col(value).isNotNull()).count()
-    if not n:
-        return None
-    at = int(min(max(percent, 50.0), 99.0) / 100 * (n - 1))
-    # percentile_disc takes the element at ceil(f n) - 1: aim between two of them
-    return df.agg(F.expr(f"percentile_disc({(at + 0.5) / n!r}) WITHIN GROUP (ORDER BY {value})")).first()[0]
+    rows = stored(df.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)"))
+    n = rows.count()
+    at = int(min(max(percent, 50.0), 99.0) / 100 * (n - 1)) if n else 0
+    found = at_ranks(rows, [], "v", df.sparkSession.range(at, at + 1).toDF("rank")).first()
+    discard(rows)
+    return found["value"] if found else None
 
 
 def capped(df: DataFrame, order: Sequence[Column], n: int) -> tuple[DataFrame, bool]:

@@ -13,6 +13,16 @@ _READS = {
     "Aggregate", "Distinct", "Except", "Filter", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "Offset", "OneRowRelation", "Pivot", "Project", "Sort", "SubqueryAlias",
     "Union", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Unpivot", "WithWindowDefinition",
 }
+#: What a parsed expression may consist of: names, values, operators, casts, conditions, windows and calls by a plain
+#: name. Anything else, such as a function whose name is worked out, is refused.
+_EXPRESSIONS = set(
+    "Add Alias AliasIdentifier And Between BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Concat Cube CurrentDate CurrentRow CurrentTimestamp Divide EqualNullSafe EqualTo Exists Extract GreaterThan "
+    "GreaterThanOrEqual GroupingSets ILike In InSubquery IntegralDivide IsNotNull IsNull IsNotUnknown IsUnknown LambdaFunction LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal Lower MultiAlias Multiply "
+    "NamedArgumentExpression NamedParameter Not NotLikeAll NotLikeAny Or PosParameter RLike Remainder Rollup ScalarSubquery SortOrder SpecifiedWindowFrame StringLocate StringTrim StringTrimLeft StringTrimRight "
+    "Substring Subtract TryCast UnaryMinus UnaryPositive UnboundedFollowing UnboundedPreceding UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedNamedLambdaVariable "
+    "UnresolvedOrdinal UnresolvedRegex UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedStarWithColumns UnresolvedSubqueryColumnAliases UnresolvedWindowExpression UnspecifiedFrame WindowExpression "
+    "WindowSpecDefinition".split()
+)
 #: Functions a statement may call; operators and casts are no functions to the parser.
 _FUNCTIONS = set(
     "abs acos add_months any_value approx_count_distinct array array_contains array_distinct array_sort asin atan atan2 avg between bool_and bool_or ceil ceiling char_length coalesce collect_list "
@@ -35,24 +45,27 @@ def cleaned(sql: str) -> str:
     return text.rstrip("; \n\t")
 
 
-def _function_names(expression) -> set[str]:
-    found = set()
-    if expression.getClass().getSimpleName() == "UnresolvedFunction":
-        found.add(expression.nameParts().mkString(".").lower())
+def _refused(expression) -> list[str]:
+    """Of an expression the parts that are not of a listed kind, and the functions that are not listed."""
+    kind, found = expression.getClass().getSimpleName().rstrip("$"), []
+    if kind not in _EXPRESSIONS:
+        found.append(kind)
+    elif kind == "UnresolvedFunction" and (name := expression.nameParts().mkString(".").lower()) not in _FUNCTIONS:
+        found.append(name)
     children = expression.children()
     for i in range(children.size()):
-        found |= _function_names(children.apply(i))
+        found += _refused(children.apply(i))
     return found
 
 
 def _judged(plan) -> None:
-    """Raises for any node, in a subquery too, that is no plain read, and for any function that is not listed."""
+    """Raises for any node, in a subquery too, that is no plain read, and for any expression or function that is not listed."""
     if (kind := plan.getClass().getSimpleName()) not in _READS:
         raise NotAllowed(f"only queries are allowed, not {kind}")
     expressions = plan.expressions()
     for i in range(expressions.size()):
-        if unknown := _function_names(expressions.apply(i)) - _FUNCTIONS:
-            raise NotAllowed(f"not an allowed function: {', '.join(sorted(unknown))}")
+        if unknown := _refused(expressions.apply(i)):
+            raise NotAllowed(f"not an allowed function or expression: {', '.join(sorted(set(unknown)))}")
     parts = [plan.children(), plan.subqueries()]
     if kind == "UnresolvedWith":
         relations = plan.cteRelations()

@@ -42,7 +42,7 @@ def _time(df: DataFrame, times: tuple[str, ...]) -> Column:
     return S.first_date(text, *times)
 
 
-def incidents(raw: DataFrame, city: str, source: str | None = None) -> DataFrame | None:
+def incidents(raw: DataFrame, city: str, source: str | Column | None = None) -> DataFrame | None:
     """One file of a city's export as rows of crime_incidents; None if a needed column is missing."""
     spec = CITIES[city]
     rows = named(raw, spec.fields, ["time", "lat", "lon"], source)

@@ -35,16 +35,19 @@ def date_in_name(name: str) -> str | None:
     return None
 
 
-def listings(raw: DataFrame, source: str, modified: str | None = None) -> DataFrame | None:
-    """All rows of one listing file, in the columns of houses plus snapshot_date; None without coordinates.
+def listings(raw: DataFrame, source: str | Column, modified: str | Column | None = None) -> DataFrame | None:
+    """All rows of listing files of one header, in the columns of houses plus snapshot_date; None without coordinates.
 
-    A row's own date comes first, then the file name's, then the file's time of change (an ISO date).
+    A row's own date comes first, then the file name's, then the file's time of change (an ISO date). ``source`` and
+    ``modified`` may be columns, for rows of several files; ``modified`` then has regard to the name already.
     """
     found = resolve(raw.columns, LISTING_FIELDS)
     rows = named(raw, LISTING_FIELDS, ["address", "lat", "lon"], source)
     if rows is None:
         return None
-    rows = raw.select(*[F.col(f"`{c}`").alias(f) for f, c in found.items()], packed(raw, list(found.values())).alias("raw_json"), F.lit(source).alias("source_file"))
+    about = [c for c in ("source_file", "source_folder", "modified") if c in raw.columns]
+    file, dated = (source, modified) if isinstance(source, Column) else (F.lit(source), F.lit(date_in_name(source) or modified))
+    rows = raw.select(*[F.col(f"`{c}`").alias(f) for f, c in found.items()], packed(raw, [*found.values(), *about]).alias("raw_json"), file.alias("source_file"), dated.cast("date").alias("dated"))
     text = lambda c: S.null_if_blank(optional(rows, c))
     num = lambda c: S.number(optional(rows, c))
     city_key = F.lower(F.trim("city"))
@@ -52,7 +55,7 @@ def listings(raw: DataFrame, source: str, modified: str | None = None) -> DataFr
     out = rows.select(
         S.text_id(12, F.lower(F.trim("address")), F.lower(F.trim(optional(rows, "city"))), F.substring(F.trim(optional(rows, "zip")), 1, 5)).alias("house_id"), *[text(c).alias(c) for c in ("address", "city", "state", "zip", "status", "nearest_big_city")],
         *[num(c).alias(c) for c in ("lat", "lon", "price", "beds", "baths", "sqft", "hoa_fee")], *[num(c).cast("int").alias(c) for c in ("year_built", "walk_score", "bike_score", "transit_score")],
-        known.alias("crime_city"), "raw_json", "source_file", F.lower(optional(rows, "is_favorite")).isin("y", "yes", "true", "1").alias("is_favorite"), F.coalesce(date(optional(rows, "listing_date")), F.lit(date_in_name(source) or modified).cast("date")).alias("snapshot_date"))
+        known.alias("crime_city"), "raw_json", "source_file", F.lower(optional(rows, "is_favorite")).isin("y", "yes", "true", "1").alias("is_favorite"), F.coalesce(date(optional(rows, "listing_date")), F.col("dated")).alias("snapshot_date"))
     out = out.withColumn("price_per_sq_ft", F.col("price") / S.no_zero("sqft")).filter("address is not null")
     return align(out, SCHEMAS["houses"] | {"snapshot_date": "date"})
 
@@ -69,7 +72,7 @@ def snapshots(rows: DataFrame, source_type: str = "redfin") -> DataFrame:
     return latest_per_key(align(rows, SCHEMAS["house_snapshots"]), ["snapshot_id"], [F.col("snapshot_date").desc_nulls_last()])
 
 
-def county_sales(raw: DataFrame, source: str, county: str = "Allegheny, PA", state: str = "PA", county_fips: str = "42003") -> DataFrame:
+def county_sales(raw: DataFrame, source: str | Column, county: str = "Allegheny, PA", state: str = "PA", county_fips: str = "42003") -> DataFrame:
     """The assessor layout with street parts, codes and instruments."""
     rows = raw.toDF(*[c.strip().upper() for c in raw.columns])
     blank = lambda c: F.coalesce(S.null_if_blank(optional(rows, c)), F.lit(""))
@@ -77,27 +80,33 @@ def county_sales(raw: DataFrame, source: str, county: str = "Allegheny, PA", sta
     unit = blank("PROPERTYUNITNO")
     out = rows.select(
         F.trim(F.when(unit != "", F.concat(parts, F.lit(" #"), unit)).otherwise(parts)).alias("address"), F.initcap(blank("PROPERTYCITY")).alias("city"), F.upper(F.coalesce(S.null_if_blank(optional(rows, "PROPERTYSTATE")), F.lit(state))).alias("state"), F.substring(blank("PROPERTYZIP"), 1, 5).alias("zip"),
-        S.number(optional(rows, "PRICE")).alias("sold_price"), date(optional(rows, "SALEDATE")).alias("sold_date"), date(optional(rows, "RECORDDATE")).alias("record_date"), *[F.trim(optional(rows, c)).alias(n) for n, c in SALE_TEXTS.items()])
-    return _sales(out.filter("address != ''"), source, county, county_fips, S.text_id(14, "parid", "sold_date"))
+        S.number(optional(rows, "PRICE")).alias("sold_price"), date(optional(rows, "SALEDATE")).alias("sold_date"), date(optional(rows, "RECORDDATE")).alias("record_date"), *[F.trim(optional(rows, c)).alias(n) for n, c in SALE_TEXTS.items()], _file(source, rows))
+    return _sales(out.filter("address != ''"), county, county_fips, S.text_id(14, "parid", "sold_date"))
 
 
-def generic_sales(raw: DataFrame, source: str) -> DataFrame | None:
+def generic_sales(raw: DataFrame, source: str | Column) -> DataFrame | None:
     rows = named(raw, GENERIC_SALE_FIELDS, ["address", "sold_price", "sold_date"], source)
     if rows is None:
         return None
     num = lambda c: S.number(optional(rows, c))
-    out = rows.select(*[S.null_if_blank(optional(rows, c)).alias(c) for c in ("address", "city", "state")], F.substring(S.null_if_blank(optional(rows, "zip")), 1, 5).alias("zip"), date("sold_date").alias("sold_date"), *[num(c).alias(c) for c in ("sold_price", "lat", "lon", "sqft", "beds", "baths", "list_price")])
-    return _sales(out.filter("address is not null"), source, "Unknown", None, S.text_id(14, "address", "zip", "sold_date"))
+    out = rows.select(*[S.null_if_blank(optional(rows, c)).alias(c) for c in ("address", "city", "state")], F.substring(S.null_if_blank(optional(rows, "zip")), 1, 5).alias("zip"), date("sold_date").alias("sold_date"), *[num(c).alias(c) for c in ("sold_price", "lat", "lon", "sqft", "beds", "baths", "list_price")], "source_file")
+    return _sales(out.filter("address is not null"), "Unknown", None, S.text_id(14, "address", "zip", "sold_date"))
 
 
-def _sales(rows: DataFrame, source: str, county: str, county_fips: str | None, sale_id: Column) -> DataFrame:
+def _file(source: str | Column, rows: DataFrame) -> Column:
+    """The name of a row's file: as given, or from the column of that name whatever its case."""
+    own = next((c for c in rows.columns if c.lower() == "source_file"), None)
+    return (F.col(own) if isinstance(source, Column) and own else F.lit(source) if isinstance(source, str) else source).alias("source_file")
+
+
+def _sales(rows: DataFrame, county: str, county_fips: str | None, sale_id: Column) -> DataFrame:
     told = rules.at_market(*(optional(rows, c) for c in ("sale_code", "sale_desc", "instr_type")), "sold_price")
     located = optional(rows, "lat", "double").isNotNull() & optional(rows, "lon", "double").isNotNull()
-    rows = rows.withColumns({"sale_id": sale_id, "source_county": F.lit(county), "source_file": F.lit(source), "full_address": F.concat_ws(", ", "address", S.null_if_blank("city"), F.concat_ws(" ", S.null_if_blank("state"), S.null_if_blank("zip"))), "is_arms_length": told["is_arms_length"], "arms_length_flag": told["flag"], "geocode_status": F.when(located, "manual").otherwise("pending"), "geocode_source": F.when(located, "manual"), "county_fips": F.lit(county_fips).cast("string")})
+    rows = rows.withColumns({"sale_id": sale_id, "source_county": F.lit(county), "full_address": F.concat_ws(", ", "address", S.null_if_blank("city"), F.concat_ws(" ", S.null_if_blank("state"), S.null_if_blank("zip"))), "is_arms_length": told["is_arms_length"], "arms_length_flag": told["flag"], "geocode_status": F.when(located, "manual").otherwise("pending"), "geocode_source": F.when(located, "manual"), "county_fips": F.lit(county_fips).cast("string")})
     return latest_per_key(align(rows, SCHEMAS["sold_homes"]), ["sale_id"], [F.col("record_date").desc_nulls_last(), F.col("sold_price").desc_nulls_last()])
 
 
-def sales(raw: DataFrame, source: str) -> DataFrame | None:
+def sales(raw: DataFrame, source: str | Column) -> DataFrame | None:
     """The most specific layout whose signature the header has."""
     header = {c.strip().upper() for c in raw.columns}
     return county_sales(raw, source) if header >= SALE_SIGNATURE else generic_sales(raw, source)

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
-from urllib.parse import unquote
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,16 +48,6 @@ def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     return union_all(*parts)
 
 
-def load_folder(spark: SparkSession, path: str, parse: Callable[[DataFrame, str], DataFrame | None], **options) -> DataFrame | None:
-    """``parse(rows, file name)`` of every file of a folder tree, put together by name; files that it refuses are left out."""
-    frames = []
-    for part in csv_parts(spark, path, **options):
-        for file in sorted(part.inputFiles()):
-            found = parse(part.filter(F.input_file_name() == file), unquote(file.rsplit("/", 1)[-1]))
-            frames += [] if found is None else [found]
-    return union_all(*frames) if frames else None
-
-
 def read_excel(path: str, spark: SparkSession, **options) -> DataFrame:
     """A workbook's first sheet, through pandas on the driver: workbooks are small, and Spark has no reader for them."""
     import pandas as pd
@@ -67,7 +56,7 @@ def read_excel(path: str, spark: SparkSession, **options) -> DataFrame:
     return spark.createDataFrame(frame.where(frame.notna(), None))
 
 
-def named(df: DataFrame, wanted: Mapping[str, Sequence[str]], required: Sequence[str] = (), source: str | None = None) -> DataFrame | None:
+def named(df: DataFrame, wanted: Mapping[str, Sequence[str]], required: Sequence[str] = (), source: str | Column | None = None) -> DataFrame | None:
     """The wanted fields under their logical names, and ``source_file``; None if a required one is missing.
 
     Columns that are not wanted are never read: the selection reaches the file scan.
@@ -75,7 +64,7 @@ def named(df: DataFrame, wanted: Mapping[str, Sequence[str]], required: Sequence
     found = resolve(df.columns, wanted)
     if any(field not in found for field in required):
         return None
-    file = F.lit(source) if source is not None else F.element_at(F.split(F.input_file_name(), "/"), -1)
+    file = source if isinstance(source, Column) else F.lit(source) if source is not None else F.element_at(F.split(F.input_file_name(), "/"), -1)
     return df.select(*[F.col(f"`{name}`").alias(field) for field, name in found.items()], file.alias("source_file"))
 
 

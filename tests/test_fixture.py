@@ -107,6 +107,18 @@ def test_metro_codes(spark, world):
     assert sum(r["msa_code"].startswith("X") for r in coded.collect()) == 1
 
 
+def test_renamed_metros_and_candidates(spark):
+    counties = spark.createDataFrame([("19430", "Dayton-Kettering-Beavercreek, OH"), ("99991", "Fort Johnson, LA"), ("11111", "Green Valley Springs, OH"), ("22222", "Green Valley, KY")], "cbsa_code string, cbsa_title string")
+    metros = spark.createDataFrame([("Dayton, OH Metro Area",), ("Fort Polk South, LA Micro Area",), ("Old Green Valley Lakes, OH Micro Area",), (None,)], "name string")
+    found = {r["name"]: (r["cbsa_code"], r["tier"]) for r in homes.match_metros(metros, counties).collect()}
+    assert found == {"Dayton, OH Metro Area": ("19430", 2), "Fort Polk South, LA Micro Area": ("99991", 4), "Old Green Valley Lakes, OH Micro Area": (None, None), None: (None, None)}
+    # the new name itself is gone, its first city and state are still there
+    moved = spark.createDataFrame([("99992", "Fort Johnson-Leesville, LA")], "cbsa_code string, cbsa_title string")
+    assert [(r["cbsa_code"], r["tier"]) for r in homes.match_metros(metros.filter("name like 'Fort%'"), moved).collect()] == [("99992", 4)]
+    told = [(r["name"], r["nth"], r["cbsa_code"]) for r in homes.metro_candidates(metros, counties).collect()]
+    assert told == [("Old Green Valley Lakes, OH Micro Area", 1, "11111")]
+
+
 def test_top_hazards(world):
     rows = homes.top_hazards(world["nri_tracts"].filter("county_fips = '12086'")).collect()
     assert [(r["hazard"], r["nth"]) for r in sorted(rows, key=lambda r: r["nth"])] == [("Riverine Flooding", 1), ("Hurricane", 2), ("Wildfire", 3)]
@@ -116,9 +128,17 @@ def test_only_queries_over_visible_tables(spark, world):
     ok = "```sql\nWITH a AS (SELECT city FROM houses), b AS (SELECT * FROM a) SELECT city, extract(year FROM current_date()) AS y, 'DROP TABLE x' AS t FROM b WHERE city IN (SELECT city FROM sold_homes);\n```"
     assert readonly.checked(spark, ok)[1] == {"houses", "sold_homes"}
     assert readonly.run(spark, "SELECT count(*) AS n FROM houses").first()[0] == 6
-    for bad in ("", "DROP TABLE houses", "SELECT 1", "SELECT * FROM geocode_cache", "SELECT * FROM houses; SELECT * FROM houses", "INSERT INTO houses SELECT * FROM houses", "SELECT * FROM houses WHERE city = (SELECT max(address_key) FROM geocode_cache)", "WITH houses2 AS (SELECT * FROM nope) SELECT * FROM houses2", "SELECT * FROM (SELECT TRANSFORM(address) USING 'id' AS (x string) FROM houses) t", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM houses", "SELECT city FROM houses WHERE upper(java_method('java.lang.System', 'getProperty', 'user.home')) = 'A'", "WITH a AS (SELECT TRANSFORM(city) USING 'id' AS (x string) FROM houses) SELECT * FROM a", "SELECT * FROM houses WHERE city IN (SELECT reflect('java.lang.System', 'lineSeparator') FROM houses)", "SELECT * FROM read_files('/etc/passwd'), houses"):
+    for bad in ("", "DROP TABLE houses", "SELECT 1", "SELECT * FROM geocode_cache", "SELECT * FROM houses; SELECT * FROM houses", "INSERT INTO houses SELECT * FROM houses", "SELECT * FROM houses WHERE city = (SELECT max(address_key) FROM geocode_cache)", "WITH houses2 AS (SELECT * FROM nope) SELECT * FROM houses2", "SELECT * FROM (SELECT TRANSFORM(address) USING 'id' AS (x string) FROM houses) t", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM houses", "SELECT city FROM houses WHERE upper(java_method('java.lang.System', 'getProperty', 'user.home')) = 'A'", "WITH a AS (SELECT TRANSFORM(city) USING 'id' AS (x string) FROM houses) SELECT * FROM a", "SELECT * FROM houses WHERE city IN (SELECT reflect('java.lang.System', 'lineSeparator') FROM houses)", "SELECT * FROM read_files('/etc/passwd'), houses", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') x FROM houses", "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'lineSeparator') FROM houses", "SELECT city FROM houses ORDER BY IDENTIFIER('java_method')('java.lang.System', 'lineSeparator')", "SELECT * FROM IDENTIFIER('hou' || 'ses')", "SELECT IDENTIFIER('city') FROM houses"):
         with pytest.raises(readonly.NotAllowed):
             readonly.checked(spark, bad)
+    for good in (
+        "SELECT city, count(*) FILTER (WHERE price > 1.5e5) AS n, avg(price) OVER (PARTITION BY city ORDER BY price DESC NULLS LAST ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) a FROM houses GROUP BY city, price HAVING count(*) >= 1 ORDER BY 1 LIMIT 3",
+        "SELECT CASE WHEN beds BETWEEN 1 AND 3 THEN 'a' ELSE 'b' END k, CAST(price AS int) / 2, -price, price % 7, TRY_CAST(city AS int), city || '!' FROM houses WHERE city LIKE 'P%' AND NOT (beds IS NULL OR beds <=> 3) AND city NOT IN ('x') AND city ILIKE ANY ('a%', 'b%')",
+        "SELECT h.city, (SELECT max(risk_score) FROM nri_tracts t WHERE t.tract_fips = h.tract_fips) m FROM houses h WHERE EXISTS (SELECT 1 FROM sold_homes s WHERE s.city = h.city) AND h.price > ?",
+        "SELECT upper(trim(BOTH ' ' FROM city)), substring(city FROM 2 FOR 3), extract(year FROM current_date()), current_date, DATE '2024-01-01' + INTERVAL 1 DAY FROM houses GROUP BY ALL",
+        "SELECT city, sum(price) FROM houses GROUP BY ROLLUP (city)", "SELECT * EXCEPT (city) FROM houses", "SELECT count(DISTINCT city) FROM houses UNION ALL SELECT 1 FROM sold_homes",
+    ):
+        assert readonly.checked(spark, good)[1] <= {"houses", "sold_homes", "nri_tracts"}
     asked = readonly.run(spark, "SELECT house_id FROM houses WHERE house_id = :id OR house_id = :other ORDER BY 1", args={"id": "h2", "other": "x' OR '1' = '1"})
     assert [r["house_id"] for r in asked.collect()] == ["h2"]
     assert "Empty tables: crime_incidents" in readonly.why_empty(spark, {"houses", "crime_incidents"})

@@ -38,6 +38,9 @@ def test_sales_at_market(spark):
 def test_metro_names(spark):
     assert each(spark, ["Nashville-Davidson--Murfreesboro, TN Metro Area", " Cañon City, CO  Micro Area", "Mayagüez, PR"], names.metro) == ["nashville-davidson-murfreesboro, tn", "canon city, co", "mayaguez, pr"]
     assert each(spark, ["new york-newark-jersey city, ny-nj-pa", "salt lake city-murray, ut", "odd"], lambda c: F.concat_ws("/", names.first_city(c), names.first_state(c))) == ["new york/ny", "salt lake city/ut", "odd/"]
+    odd = ["Metro Area", "A  Micro  area", "--St.  Paul---Park--, MN ", None, "", "Two, Commas, VA-NC METRO AREA", "No State, 12", "Area Metro"]
+    assert each(spark, odd, names.metro) == ["metro area", "a", "st. paul-park-, mn", None, "", "two, commas, va-nc", "no state, 12", "area metro"]
+    assert each(spark, ["two, commas, va-nc", "no state, 12", "", None, "x,ny"], lambda c: F.concat_ws("/", names.first_city(c), names.first_state(c))) == ["two, commas/va", "no state, 12/", "/", "", "x/ny"]
 
 
 def test_addresses(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.sources import census, geocoding, incidents, lines, tabular
+from terrasift.sources import census, folder, geocoding, incidents, lines, tabular
 from terrasift.sources import property as P
 from terrasift.sources.schema import SCHEMAS, empty
 
@@ -139,8 +139,6 @@ def test_folder_of_files_with_different_headers_and_encodings(spark, tmp_path):
     written(tmp_path / "in" / "notes.txt", "not,read\n1,2\n")
     rows = {(r["name"], r["city"]) for r in tabular.read_csv(spark, str(tmp_path / "in")).collect()}
     assert rows == {("café", "Łódź"), ("café", None), ("bar", "Oslo")}
-    listed = tabular.load_folder(spark, str(tmp_path / "in"), lambda rows, name: None if name == "c.csv" else tabular.named(rows, {"name": ("NAME",)}, ["name"], name))
-    assert {(r["name"], r["source_file"]) for r in listed.collect()} == {("café", "a.csv"), ("café", "b.CSV")}
 
 
 def test_first_write_keeps_the_first_in_order(spark, tmp_path):
@@ -155,3 +153,79 @@ def test_first_write_keeps_the_first_in_order(spark, tmp_path):
     for v in range(4):
         assert store.upsert("u", spark.createDataFrame([(1, v)], "id int, v int"), ["id"]).first()["v"] == v
     assert len(list((tmp_path / "store" / "u").iterdir())) == 2
+
+
+def bytes_read(spark, action):
+    """(result, bytes that tasks read from files outside the library's own folder) by the status of the stages run."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    seen = lambda: (sc._jsc.sc().listenerBus().waitUntilEmpty(10_000), {(s.stageId(), s.attemptId()): s.inputBytes() for s in _stages(sc)})[1]
+    before = seen()
+    out = action()
+    return out, sum(v for k, v in seen().items() if k not in before)
+
+
+def _stages(sc):
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_folder_of_drifting_files(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "sub dir").mkdir(parents=True)
+    written(root / "a.csv", "\ufeffNAME,City\ncafé,Łódź\n")
+    written(root / "b+1.CSV", 'City,NAME\n"two\nlines",x\n,\n', "utf-8")
+    written(root / "sub dir" / "c.csv", "NAME,City\ncafé,Orléans\nshort\n", "latin-1")
+    written(root / "sub dir" / "d.csv", 'NAME,City\nplain,"a ""quoted"" one"\n')
+    written(root / "e.csv", '"a\nheader",a,A,\n1,2,3,4,5\n')
+    written(root / "notes.txt", "not,read\n1,2\n")
+    (root / "empty.csv").write_bytes(b"")
+    found = {(x.folder, tuple(x.header)): x for x in folder.layouts(spark, str(root))}
+    assert set(found) == {("", ("NAME", "City")), ("", ("City", "NAME")), ("sub dir", ("NAME", "City")), ("", ("a\nheader", "a", "A_", "column 4", "column 5"))}
+    sub = found["sub dir", ("NAME", "City")]
+    assert sub.files == ["c.csv", "d.csv"] and {(r["NAME"], r["City"], r["source_file"]) for r in sub.rows.collect()} == {("café", "Orléans", "c.csv"), ("short", None, "c.csv"), ("plain", 'a "quoted" one', "d.csv")}
+    assert [tuple(r)[:4] for r in found["", ("City", "NAME")].rows.collect()] == [("two\nlines", "x", "b+1.CSV", "")]
+    assert [(r["NAME"], r["City"]) for r in found["", ("NAME", "City")].rows.collect()] == [("café", "Łódź")]
+    rows, refused = folder.load_tree(spark, str(root), lambda x: tabular.named(x.rows, {"name": ("NAME",)}, ["name"], F.col("source_file")) if "NAME" in x.header else None)
+    assert {(r["name"], r["source_file"]) for r in rows.collect()} == {("café", "a.csv"), ("x", "b+1.CSV"), ("café", "c.csv"), ("short", "c.csv"), ("plain", "d.csv")} and refused == ["e.csv"]
+    with pytest.raises(ValueError):
+        folder.layouts(spark, str(root), columns=3)
+
+
+def test_every_byte_of_a_folder_is_read_once(spark, tmp_path):
+    for i in range(12):
+        written(tmp_path / f"f{i}.csv", f"NAME,x{i % 4}\n" + f"{'n' * 50},{i}\n" * 2000)
+    size = sum(f.stat().st_size for f in tmp_path.glob("*.csv"))
+    scans = []
+    real = folder.stored
+    folder.stored = lambda df: scans.append(bytes_read(spark, lambda: real(df))) or scans[-1][0]
+    try:
+        rows, refused = folder.load_tree(spark, str(tmp_path), lambda x: tabular.named(x.rows, {"name": ("NAME",)}, ["name"], F.col("source_file")))
+        assert rows.count() == 24_000 and not refused
+    finally:
+        folder.stored = real
+    plan = rows._jdf.queryExecution().toString()
+    assert len(scans) == 2 and size <= scans[0][1] <= 1.1 * size and "csv" not in plan.lower().replace(".csv", "")
+
+
+def test_folders_of_listings_sales_and_incidents(spark, tmp_path):
+    for d in ("homes", "sold", "crime/pittsburgh", "crime/atlantis"):
+        (tmp_path / d).mkdir(parents=True)
+    written(tmp_path / "homes" / "x_2024-01-15.csv", "ADDRESS,CITY,ZIP,PRICE,LATITUDE,LONGITUDE\n1 A St,Pittsburgh,15213,100,40,-80\n")
+    written(tmp_path / "homes" / "y_20240220.csv", "ADDRESS,CITY,ZIP,PRICE,LATITUDE,LONGITUDE\n1 A St,Pittsburgh,15213,90,40,-80\n")
+    written(tmp_path / "homes" / "z.csv", "ADDRESS\nno place\n")
+    rows, refused = folder.listings(spark, str(tmp_path / "homes"))
+    found = {r["source_file"]: r for r in rows.collect()}
+    assert {f: str(r["snapshot_date"]) for f, r in found.items()} == {"x_2024-01-15.csv": "2024-01-15", "y_20240220.csv": "2024-02-20"} and refused == ["z.csv"]
+    assert P.latest(rows).first()["price"] == 90 and "source_f" not in found["x_2024-01-15.csv"]["raw_json"]
+    written(tmp_path / "sold" / "g.csv", "address,zip,sold_price,sold_date,lat,lon\n1 A St,15213,5,01/02/2024,40,-80\n")
+    written(tmp_path / "sold" / "h.csv", "address,zip,sold_price,sold_date,lat,lon\n1 A St,15213,7,01/02/2024,40,-80\n2 B St,15213,6,01/02/2024,40,-80\n")
+    written(tmp_path / "sold" / "s.csv", "PARID,MUNIDESC,SCHOOLDESC,SALECODE,SALEDESC,INSTRTYP,PROPERTYHOUSENUM,PROPERTYADDRESSSTREET,PRICE,SALEDATE\np1,m,s,0,VALID,DE,12,OAK,1000,01/02/2024\n")
+    rows, refused = folder.sales(spark, str(tmp_path / "sold"))
+    assert {(r["address"], r["sold_price"], r["source_file"]) for r in rows.collect()} == {("1 A St", 7.0, "h.csv"), ("2 B St", 6.0, "h.csv"), ("12 OAK", 1000.0, "s.csv")} and not refused
+    text = "INCIDENTTIME,Y,X,INCIDENTHIERARCHYDESC,PK\n2024-01-01 10:00:00,40.4,-80,THEFT,1\n"
+    written(tmp_path / "crime/pittsburgh" / "a.csv", text)
+    written(tmp_path / "crime/pittsburgh" / "b.csv", text)
+    written(tmp_path / "crime/atlantis" / "c.csv", text)
+    rows, refused = folder.incidents(spark, str(tmp_path / "crime"))
+    assert [(r["city"], r["source_file"]) for r in rows.collect()] == [("pittsburgh", "a.csv")] and refused == ["atlantis/c.csv"]
