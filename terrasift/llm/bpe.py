@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, id_type, ship, sized
+from .common import alone, id_and_text, id_type, ship, sized
 
 _NONE = 1 << 62
 _SHORT = 64  # bytes of a piece that is encoded with others
@@ -204,6 +204,7 @@ _vocabularies: dict[tuple[int, str], Vocabulary] = {}
 
 def vocabulary(lines: bytes, pattern: str) -> Vocabulary:
     """One for each worker process, whatever number of tasks it runs."""
+    alone(_vocabularies)
     key = hash(lines), pattern
     if key not in _vocabularies:
         _vocabularies[key] = Vocabulary(lines, pattern)

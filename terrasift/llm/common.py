@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import discard, new_path, remove, stored
 
-__all__ = ["SPACES", "discard", "id_and_text", "id_type", "new_path", "quoted", "remove", "ship", "sized", "stored", "table", "whole_row"]
+__all__ = ["SPACES", "alone", "discard", "id_and_text", "id_type", "new_path", "quoted", "remove", "ship", "sized", "stored", "table", "whole_row"]
 
 #: ASCII white space, as the contracts write it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -82,3 +84,22 @@ def quoted(name: str) -> str:
 def whole_row(df: DataFrame) -> F.Column:
     """All columns as one struct ``row``, so that none clashes with an operator's own; ``row.*`` gives them back."""
     return F.struct(*map(quoted, df.columns)).alias("row")
+
+
+_kept: list[dict] = []
+
+
+def alone(table: dict | None = None) -> None:
+    """Says in a Python worker that ``table``, what it keeps from task to task, is in use now: those that other operators
+    left behind in the same worker are emptied, and their memory goes back to the system."""
+    left = [t for t in _kept if t is not table and t]
+    if table is not None and all(t is not table for t in _kept):
+        _kept.append(table)
+    if left:
+        for t in left:
+            t.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass

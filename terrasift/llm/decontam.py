@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_and_text, id_type, ship, stored
+from .common import alone, discard, id_and_text, id_type, ship, stored
 
 _BLOCK = 4  # items
 _WORDS_AT_ONCE = 200_000  # of documents searched together
@@ -272,6 +272,7 @@ def _search(index, threshold: float, overlap: float):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        alone()
         for column in columns:
             out, texts, size = [], [], 0
             for i, text in enumerate(column):

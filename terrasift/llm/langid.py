@@ -24,7 +24,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_and_text, ship, stored
+from .common import alone, discard, id_and_text, ship, stored
 
 MAX_WORD = 48
 _KNOWN = 50_000  # words that a task keeps
@@ -251,6 +251,7 @@ _scores: dict[str, _Scores] = {}
 
 def _known(name: str, pieces, longest: int) -> _Scores:
     """The last model's scores, for each worker process, whatever number of tasks it runs."""
+    alone(_scores)
     if name not in _scores:
         _scores.clear()
         _scores[name] = _Scores(pieces, longest)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .bloom_dedup import hit, key_filter, plan, repeated_slots
-from .common import discard, id_and_text, id_type, ship, sized, stored
+from .common import alone, discard, id_and_text, id_type, ship, sized, stored
 from .repeats import byte_symbols, mix, span, sums, word_bounds
 from .simhash import _signed, links, majority
 
@@ -97,6 +97,7 @@ def _sets(words: int, share: Fraction, late=None, wanted=None, whole: bool = Fal
     ``wanted``, a Bloom filter, texts whose hash it doesn't hold are left out. ``fp``, the SimHash, is 0 without ``marks``."""
 
     def run(batches):
+        alone()
         for b in batches:
             if wanted:
                 bits, *sizes = wanted
