@@ -183,6 +183,10 @@ def epsg(number: int) -> System | None:
     return None
 
 
+def _moved(system: System, parts: str) -> Column:
+    return F.transform(parts, lambda part: F.transform(part, lambda p: degrees(system, p["x"], p["y"])))
+
+
 def reprojected(rows: DataFrame, parts: str, system: str, systems: Mapping[str, System | None]) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``parts``, arrays of lists of struct(x, y), are in degrees now, the rows left out).
 
@@ -192,7 +196,7 @@ def reprojected(rows: DataFrame, parts: str, system: str, systems: Mapping[str,
     known = {name: s for name, s in systems.items() if s is not None}
     out = F.lit(None).cast(rows.schema[parts].dataType)
     for name, s in known.items():
-        out = F.when(F.col(system) == name, F.transform(parts, lambda part, s=s: F.transform(part, lambda p: degrees(s, p["x"], p["y"])))).otherwise(out)
+        out = F.when(F.col(system) == name, _moved(s, parts)).otherwise(out)
     earthly = F.forall(F.flatten("_new"), lambda p: F.coalesce(p["x"].between(-360, 360) & p["y"].between(-90, 90), F.lit(False)))
     judged = rows.withColumn("_new", out).withColumn("_good", F.coalesce(earthly, F.lit(False)))
     return judged.filter("_good").withColumn(parts, F.col("_new")).drop("_new", "_good"), judged.filter(~F.col("_good")).drop("_new", "_good")

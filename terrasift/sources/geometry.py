@@ -248,9 +248,8 @@ TRACT_CODES = ("GEOID", "GEOID20", "GEOID10")
 def tract_shapes(records: DataFrame) -> DataFrame:
     """tract_fips, kind, parts of shapefile records (file, record, points, properties), a row for each shape."""
     code = F.coalesce(*[F.try_element_at("properties", F.lit(c)) for c in TRACT_CODES])
-    rows = records.withColumn("tract_fips", F.lpad(code, 11, "0")).filter("tract_fips is not null")
-    part = F.col("part") if "part" in records.columns else F.monotonically_increasing_id()
-    found = rows.groupBy("file", "record", "tract_fips").agg(F.array_sort(F.collect_list(F.struct(part.alias("nth"), "points"))).alias("p"))
+    rows = records.withColumns({"tract_fips": F.lpad(code, 11, "0"), "nth": F.monotonically_increasing_id()}).filter("tract_fips is not null")
+    found = rows.groupBy("file", "record", "tract_fips").agg(F.array_sort(F.collect_list(F.struct("nth", "points"))).alias("p"))
     return found.select("tract_fips", F.lit("polygon").alias("kind"), F.transform("p", lambda p: p["points"]).alias("parts"))
 
 
