@@ -1,6 +1,8 @@
 """The registered queries on the small tables: oracles where SQL can, brute force or held-out labels elsewhere."""
 
 import hashlib
+import itertools
+import re
 import zlib
 
 import pytest
@@ -68,6 +70,28 @@ def test_op7(spark, con, docs):
     assert whole and whole <= found
 
 
+def test_op13(spark, docs):
+    """Sets, links at 0.9 and components by brute force over all pairs of the small table."""
+    sets = {}
+    for i, t in zip(docs.doc_id, docs.text):
+        w = [x for x in re.sub("[A-Z]", lambda m: m[0].lower(), t or "").translate({c: " " for c in (9, 10, 11, 12, 13)}).split(" ") if x]
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 90 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op13_prefix_join(spark, DIR).collect()}
+    assert rows == {i: (len(s), top(i)) for i, s in sets.items()} and len({c for _, c in rows.values()}) < len(rows)
+
+
 def test_op8(spark):
     con = database(DATA / "sf0.01")
     truth = dict(con.execute("SELECT doc_id, quality FROM labels").fetchall())

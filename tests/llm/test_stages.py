@@ -54,3 +54,24 @@ def test_leaks_go_by_row(spark):
 @pytest.mark.parametrize("name, stage", P.STAGES)
 def test_no_rows(spark, odd, name, stage):
     assert stage(spark, odd.limit(0), DIR).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES[:-1])
+def test_columns_of_any_name_come_back(spark, name, stage):
+    """Dots, blanks, backticks, and the names that stages use inside."""
+    clash = ["a.b", "_row key", "_hash of text", "_own", "row", "own", "key", "h", "x y", "tick`s", "Component_ID", "s", "t", "gid"]
+    docs = spark.createDataFrame([(1, "some words of a text"), (2, "some  words of a text"), (3, "other words of this one")], "doc_id bigint, text string")
+    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("a")}).select("*", *[F.lit(n).alias(c) for n, c in enumerate(clash)])
+    out = stage(spark, docs, DIR)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(tuple(r)[4:] == tuple(range(len(clash))) for r in rows)
+
+
+def test_hashes_of_many_ranges_read_the_documents_twice(spark, monkeypatch):
+    from terrasift.llm import bloom_dedup
+
+    texts = [f"text {i % 700}" for i in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    kept = {r["doc_id"] for r in bloom_dedup.first_of_each(docs, max_filter_bytes=1 << 13, slots_per_row=1024).collect()}
+    assert bloom_dedup.plan(1000, 1024, 1 << 13)[0] >= 8 and kept == set(range(700))
