@@ -226,11 +226,12 @@ _CLIP = """clip AS (SELECT s_suppkey, i, j, intensity, hot,
 
 @query(f"""WITH e AS ({_STRAIGHT}), c AS ({_CELLS_SQL}), {_CLIP.format(h='1.5')},
 kept AS (SELECT s_suppkey, intensity, hot, t - s AS share FROM clip JOIN e USING (s_suppkey) WHERE t > s AND NOT (by_ = ay AND (ay / 3.0 - 0.5) = floor(ay / 3.0 - 0.5) AND j <> floor(ay / 3.0 + 0.5)))
-SELECT e.s_suppkey, round(coalesce(sum(intensity * share), 0), 6) AS mean_intensity, coalesce(max(intensity) FILTER (share > 1e-9), 0) AS max_intensity, round(coalesce(sum(share) FILTER (hot), 0), 6) AS hot_share
+SELECT e.s_suppkey, round(coalesce(sum(intensity * share), 0), 9) AS mean_intensity, coalesce(max(intensity) FILTER (share > 1e-9), 0) AS max_intensity, round(coalesce(sum(share) FILTER (hot), 0), 9) AS hot_share
 FROM e LEFT JOIN kept USING (s_suppkey) GROUP BY 1""")
 def edge_exposure_by_length(spark, d):
     """What each line passes of the cells, weighted by the length in each."""
-    return linework.exposure_by_length(_straight(spark, d), "s_suppkey", _cells(spark, d), 3.0)
+    found = linework.exposure_by_length(_straight(spark, d), "s_suppkey", _cells(spark, d), 3.0)
+    return found.select("s_suppkey", F.round("mean_intensity", 9).alias("mean_intensity"), "max_intensity", F.round("hot_share", 9).alias("hot_share"))
 
 
 @query(f"WITH e AS ({_STRAIGHT}), c AS ({_CELLS_SQL}), {_CLIP.format(h='1.7')} SELECT DISTINCT s_suppkey FROM clip WHERE hot AND s <= t")
