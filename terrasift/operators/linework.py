@@ -75,7 +75,7 @@ def exposure_by_length(edges: DataFrame, edge_key: str, cells: DataFrame, size:
 
     ``cells``: i, j, intensity, ``hot``; a cell that is not there has intensity 0 and is not hot.
     """
-    passed = edges.select(edge_key, F.explode(traversal(*_ends_of(), size)).alias("c")).select(edge_key, "c.*")
+    passed = edges.select(edge_key, F.explode(traversal(*_ends_of(), size)).alias("c")).select(edge_key, "c.*").filter("share > 1e-12")  # a corner, by rounding, is no stretch
     told = passed.join(cells.select("i", "j", "intensity", hot), ["i", "j"], "left").withColumn("value", F.coalesce("intensity", F.lit(0.0)))
     weighed = F.sum(F.when(F.col(hot), F.col("share")).otherwise(0.0)) / F.sum("share")
     return told.groupBy(edge_key).agg(F.round(F.sum(F.col("value") * F.col("share")) / F.sum("share"), 12).alias("mean_intensity"), F.max("value").alias("max_intensity"), F.round(weighed, 12).alias("hot_share"))
