@@ -12,7 +12,7 @@ def con():
     return database(DATA / "sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_oracle(spark, con, name):
     found = registry.QUERIES[name](spark, str(DATA / "sf0.001")).toPandas()
     assert same(found, con.execute(registry.ORACLE_SQL[name]).df())

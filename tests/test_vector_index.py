@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from terrasift.operators import retrieval
 from terrasift.operators.vector_index import VectorIndex, fit, recall
+from terrasift.plans import registry
 from tests.conftest import DATA
 
 
@@ -33,6 +34,12 @@ def test_every_row_is_indexed_and_recall_is_measured(spark, items, index):
     assert pairs(index.nearest_each(asked, 10, len(index.centres))) == pairs(exact)
 
 
+def test_registered_query_keeps_recall(spark):
+    folder = str(DATA / "sf0.1")
+    found, exact = (registry.QUERIES[n](spark, folder) for n in ("cosine_index_topk", "cosine_topk_each"))
+    assert recall(found, exact, "vec_id") >= 0.9 and found.groupBy("query").count().filter("count <> 10").count() == 0
+
+
 def test_a_reopened_index_prunes_and_filters(spark, items, index):
     again = VectorIndex.open(spark, index.path, "vec_id", "embedding")
     query = items.filter("vec_id = 100").first()["embedding"]
