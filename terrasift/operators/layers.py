@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..sources.lines import PRIORITY, parsed_points
+from .borders import simplify_shared
 from .linework import uncovered
 from .relational import capped
-from .spatial import box, grid, meets, overlaps, simplify
+from .spatial import box, grid, meets, overlaps
 
 #: Page caps of the layers: what a map can show, not what is computed.
 MOST_CELLS, MOST_TRACTS, MOST_LINES = 6000, 2500, 5000
@@ -28,24 +26,21 @@ def heat(incidents: DataFrame, west: float, south: float, east: float, north: fl
     return capped(cells, [F.col("weight").desc(), F.col("n").desc(), F.col("lat"), F.col("lon")], most)
 
 
-def _simplified(tolerance: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rings = [[{"x": x, "y": y} for x, y in simplify([(p["x"], p["y"]) for p in ring], tolerance)] for ring in frame["ring"]]
-            yield frame.assign(ring=rings)
-
-    return run
-
-
 def choropleth(geometry: DataFrame, attributes: DataFrame, west: float, south: float, east: float, north: float, most: int = MOST_TRACTS, tolerance: float = 0.0004) -> tuple[DataFrame, bool]:
-    """Tracts that meet the window (their box first, then their shape), simplified, with their attributes; and whether more were left out.
+    """Tracts that meet the window (their box first, then their shape), simplified along shared borders, with their attributes; and whether more were left out.
 
     ``geometry``: tract_fips, ring (array of struct(x, y)).
     """
     shapes = geometry.withColumn("_b", box(F.col("ring"))).select("tract_fips", "ring", "_b.*").filter(overlaps(west, south, east, north) & meets(F.col("ring"), west, south, east, north))
     chosen, more = capped(shapes.select("tract_fips", "ring"), [F.col("tract_fips")], most)
-    thin = chosen.mapInPandas(_simplified(tolerance), "tract_fips string, ring array<struct<x:double,y:double>>")
-    return thin.join(attributes.select("tract_fips", "county_name", "state_name", "risk_score", "risk_ratng", "risk_npctl", "eal_valt", "sovi_ratng", "resl_ratng"), "tract_fips", "left"), more
+    return simplify_shared(chosen, tolerance).join(attributes.select("tract_fips", "county_name", "state_name", "risk_score", "risk_ratng", "risk_npctl", "eal_valt", "sovi_ratng", "resl_ratng"), "tract_fips", "left"), more
+
+
+def choropleth_notes(found: DataFrame, more: bool) -> DataFrame:
+    """One row about an answer of ``choropleth``: tract_count, truncated, and warning, null where nothing is missing."""
+    n, rated = F.count(F.lit(1)), F.count(F.coalesce(F.col("county_name"), F.col("state_name"), F.col("risk_score").cast("string")))
+    warning = F.when((n > 0) & (rated == 0), "shapes were found, but no attributes for any of them")
+    return found.agg(n.alias("tract_count"), F.lit(more).alias("truncated"), warning.alias("warning"))
 
 
 def lines(routes: DataFrame, west: float, south: float, east: float, north: float, city: str | None = None, exclusive: bool = False, most: int = MOST_LINES) -> tuple[DataFrame, bool]:

@@ -132,8 +132,12 @@ def exposure(edges: DataFrame, edge_key: str, cells: DataFrame, size: float, hot
 
 def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     """Line simplification that keeps every vertex farther than ``tolerance`` from its chord."""
+    return [points[i] for i in kept_places(points, tolerance)]
+
+
+def kept_places(points: list[tuple[float, float]], tolerance: float) -> list[int]:
     if len(points) < 3:
-        return list(points)
+        return list(range(len(points)))
     keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
     while todo:
         a, b = todo.pop()
@@ -149,7 +153,7 @@ def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[
         if far is not None and off(points[far]) > tolerance * tolerance:
             keep.add(far)
             todo += [(a, far), (far, b)]
-    return [points[i] for i in sorted(keep)]
+    return sorted(keep)
 
 
 def claim_by_priority(pieces: DataFrame, feature: str, place: list[str], order: list[Column]) -> DataFrame:
