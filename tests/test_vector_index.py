@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrasift.operators import retrieval
-from terrasift.operators.vector_index import VectorIndex, fit, recall
+from terrasift.operators.vector_index import VectorIndex, _blocks, fit, recall
 from terrasift.plans import registry
 from tests.conftest import DATA
 
@@ -73,3 +73,16 @@ def test_empty_tables_and_skewed_copies(spark, tmp_path):
 
 def test_fit_keeps_as_many_centres_as_there_are_vectors():
     assert fit([[1.0, 0.0], [0.0, 2.0]], 5).shape == (2, 2)
+
+
+def test_sets_of_searches_are_not_broadcast(spark, items, index):
+    """The blocks of searches, repeated for each list, were a side of a join that Spark could send through the driver."""
+    found = index.nearest_each(items.filter("vec_id % 50 = 0"), 10, len(index.centres))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_share_blocks_and_long_lists_have_several(monkeypatch):
+    from terrasift.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "ROWS", 10)
+    assert _blocks({0: 4, 1: 5, 2: 3, 3: 25, 5: 1}, 6) == [[0], [0], [1], [2, 3, 4], [5], [5]]
