@@ -190,14 +190,18 @@ def facilities_near_route(spark, d):
 t AS (SELECT p_partkey, s_suppkey, ((cx - ax) * 5.0 - (cy - ay) * 1.0) / (4.0 * 5.0 - 3.0 * 1.0) AS t, ((cx - ax) * 3.0 - (cy - ay) * 4.0) / (4.0 * 5.0 - 3.0 * 1.0) AS u FROM e, f)
 SELECT p_partkey, count(*) AS crossings FROM t WHERE t > 0 AND t < 1 AND u >= 0 AND u <= 1 GROUP BY 1""")
 def line_crossings(spark, d):
-    """Two families of parallel lines: how many of the other a line crosses; lines meet in grid cells."""
-    a = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("ax"), (F.col("p_retailprice") / 100).alias("ay"))
-    b = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).cast("double").alias("cx"), (F.col("s_acctbal") / 500).alias("cy"))
-    cells = lambda x, y, w, h: F.explode(F.flatten(F.transform(F.sequence(F.floor(x / 4).cast("bigint"), F.floor((x + w) / 4).cast("bigint")), lambda i: F.transform(F.sequence(F.floor(y / 4).cast("bigint"), F.floor((y + h) / 4).cast("bigint")), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    met = a.withColumn("cell", cells(F.col("ax"), F.col("ay"), 4, 3)).join(b.withColumn("cell", cells(F.col("cx"), F.col("cy"), 1, 5)), "cell")
+    """Two families of parallel lines: how many of the other a line crosses. Equal lines are one and are counted; a line
+    of the second family lies in the grid cell of its start, one of the first looks in all cells where such a start may be."""
+    part = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("ax"), (F.col("p_retailprice") / 100).alias("ay"))
+    b = table(spark, d, "supplier").select((F.col("s_suppkey") % 50).cast("double").alias("cx"), (F.col("s_acctbal") / 500).alias("cy"))
+    b = b.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda v: F.floor(v / 4).cast("bigint")
+    starts = lambda v, least, most: F.explode(F.sequence(at(v + least - 0.001), at(v + most + 0.001)))
+    a = part.select("ax", "ay").distinct().withColumn("i", starts(F.col("ax"), -1, 4)).withColumn("j", starts(F.col("ay"), -5, 3))
+    met = a.join(b.withColumns({"i": at(F.col("cx")), "j": at(F.col("cy"))}), ["i", "j"])
     px, py = F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
     hits = met.filter((((px * 5.0 - py) / 17.0) > 0) & (((px * 5.0 - py) / 17.0) < 1) & (((px * 3.0 - py * 4.0) / 17.0) >= 0) & (((px * 3.0 - py * 4.0) / 17.0) <= 1))
-    return hits.select("p_partkey", "s_suppkey").distinct().groupBy("p_partkey").agg(F.count(F.lit(1)).alias("crossings"))
+    return part.join(hits.groupBy("ax", "ay").agg(F.sum("n").alias("n")), ["ax", "ay"]).groupBy("p_partkey").agg(F.sum("n").alias("crossings"))
 
 
 _STRAIGHT = """SELECT s_suppkey, CAST(s_suppkey % 40 AS DOUBLE) AS ax, CAST(s_suppkey % 7 AS DOUBLE) AS ay, CAST(s_suppkey % 40 + 10 + s_suppkey % 23 AS DOUBLE) AS bx, CAST(s_suppkey % 7 + s_suppkey % 5 - 2 AS DOUBLE) AS by_ FROM supplier"""
