@@ -108,12 +108,20 @@ def nearest_edges(points: DataFrame, edges: DataFrame, key: str, x: str, y: str,
     """key, edge_key, t, d2: for each point the nearest edge within ``farthest`` (in the units of the coordinates).
 
     An edge is dealt to the cells, ``farthest`` wide, that its widened box touches, so a point only looks in its own.
+    Equal places are one, and so are equal edges, by their smallest key. Pairs are gone through twice, for the least
+    distance and for who has it, as a minimum of numbers needs no sort of all pairs.
     """
+    ends = ["src_x", "src_y", "dst_x", "dst_y"]
     at = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - farthest) / farthest).cast("bigint"), F.floor((F.greatest(a, b) + farthest) / farthest).cast("bigint")))
-    dealt = edges.select(edge_key, "src_x", "src_y", "dst_x", "dst_y").withColumn("_i", at("src_x", "dst_x")).withColumn("_j", at("src_y", "dst_y"))
-    own = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumns({"_i": F.floor(F.col("_x") / farthest).cast("bigint"), "_j": F.floor(F.col("_y") / farthest).cast("bigint")})
-    met = own.join(dealt, ["_i", "_j"]).withColumn("at", project(*(F.col(c) for c in ("_x", "_y", "src_x", "src_y", "dst_x", "dst_y")))).filter(F.col("at.d2") <= farthest * farthest)
-    best = met.groupBy(key).agg(F.min(F.struct("at.d2", F.col(edge_key).alias("edge"), "at.t")).alias("b"))
+    lines = edges.groupBy(*ends).agg(F.min(edge_key).alias("edge"))
+    dealt = lines.withColumn("_i", at("src_x", "dst_x")).withColumn("_j", at("src_y", "dst_y"))
+    stops = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    own = stops.select("_x", "_y").distinct().withColumns({"_i": F.floor(F.col("_x") / farthest).cast("bigint"), "_j": F.floor(F.col("_y") / farthest).cast("bigint")})
+    met = own.join(dealt, ["_i", "_j"]).withColumn("at", project(*(F.col(c) for c in ("_x", "_y", *ends))))
+    met = met.select("_x", "_y", "edge", "at.t", "at.d2").filter(F.col("d2") <= farthest * farthest)
+    least = met.groupBy("_x", "_y").agg(F.min("d2").alias("least"))
+    nearest = met.join(least, ["_x", "_y"]).filter("d2 = least").groupBy("_x", "_y").agg(F.min(F.struct("d2", "edge", "t")).alias("b"))
+    best = stops.join(nearest, ["_x", "_y"]).groupBy(key).agg(F.min("b").alias("b"))
     return best.select(key, F.col("b.edge").alias(edge_key), "b.t", "b.d2")
 
 
