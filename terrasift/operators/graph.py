@@ -128,17 +128,48 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
+def contracted(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """node, root for the nodes of ``links`` (a, b, of any direction) that aren't their own root; one root a component.
+
+    For paths of hashed numbers: each round a node goes over to the least of itself and its neighbours, and what is left
+    are the links between these. About half of the nodes are left by a round, so all rounds together move about twice
+    what the first does, where star contractions move all in each. Then roots go back the other way, round by round.
+    """
+    moves: list[DataFrame] = []
+    links = stored(links.select("a", "b"))
+    for _ in range(max_rounds):
+        if links.isEmpty():
+            break
+        least = both_ways(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to"))
+        moves.append(stored(least.filter("to < node")))
+        to = moves[-1]
+        near = links.join(to.withColumnsRenamed({"node": "a", "to": "x"}), "a", "left").select(F.coalesce("x", "a").alias("a"), "b")
+        left = near.join(to.withColumnsRenamed({"node": "b", "to": "x"}), "b", "left").select("a", F.coalesce("x", "b").alias("b"))
+        links, old = stored(left.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), links
+        discard(old)
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    root = moves.pop() if moves else links.select(F.col("a").alias("node"), F.col("b").alias("to"))
+    while moves:
+        to = moves.pop()
+        further = root.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        own = to.join(further, "to", "left").select("node", F.coalesce("root", "to").alias("to"))
+        root, old = stored(own.unionByName(root).distinct()), root  # a node may have moved in both rounds
+        discard(to, old)
+    return root.select("node", F.col("to").alias("root"))
+
+
 def chains(edges: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
     """Adds ``chain`` to undirected edges: edges that meet at a node of degree two, not in ``boundary``, share one.
 
-    The label is the smallest edge number of the chain; ``components`` finds it, whatever the chain's length.
+    The label is an edge number of the chain; ``contracted`` finds it, whatever the chain's length.
     """
     numbered = stored(edges.withColumn("edge", F.xxhash64("src", "dst")))
     ends = numbered.select(F.explode(F.array("src", "dst")).alias("node"), "edge")
     inner = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.max("edge").alias("a"), F.min("edge").alias("b")).filter("degree = 2 and a != b")
     if boundary is not None:
         inner = inner.join(boundary.select("node"), "node", "left_anti")
-    label = components(inner.select("a", "b").distinct()).select(F.col("a").alias("edge"), F.col("b").alias("chain"))
+    label = contracted(inner.select("a", "b")).select(F.col("node").alias("edge"), F.col("root").alias("chain"))
     return numbered.join(label, "edge", "left").withColumn("chain", F.coalesce("chain", "edge")).drop("edge")
 
 

@@ -13,6 +13,7 @@ from ..operators import graph as G
 from ..operators import linework, routing
 from ..operators import relational as R
 from ..operators import spatial as P
+from ..operators.shared import stored
 from .relational_queries import table
 
 QUERIES: dict = {}
@@ -144,7 +145,7 @@ def chain_contraction(spark, d):
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.lead("o_orderkey").over(w).alias("next"), F.lead("o_orderstatus").over(w).alias("next_status"), F.row_number().over(w).alias("nth"))
     hot = ((F.col("o_orderstatus") == "P") & (F.col("nth") <= 3)) | ((F.col("next_status") == "P") & (F.col("nth") + 1 <= 3))
     edges = orders.filter("next is not null").select(F.least("o_orderkey", "next").alias("src"), F.greatest("o_orderkey", "next").alias("dst"), "o_custkey", hot.alias("hot"))
-    left = G.without_blocked(G.chains(edges), F.col("hot"))
+    left = G.without_blocked(stored(G.chains(edges)), F.col("hot"))
     return left.groupBy("chain").agg(F.min("o_custkey").alias("c"), F.count(F.lit(1)).alias("edges")).select(F.col("c").alias("chain"), "edges")
 
 
