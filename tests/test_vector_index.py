@@ -81,6 +81,29 @@ def test_sets_of_searches_are_not_broadcast(spark, items, index):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_block_gets_only_its_own_lists(spark, items, index):
+    """All probed lists of a search went to each of its blocks, where a block only needs those that lie in it."""
+    asked, lists = items.filter("vec_id % 50 = 0").select("vec_id", "embedding"), len(index.centres)
+    blocks = [[0], [0], [1], [2, 3, 4], *([5 + i // 4] for i in range(lists - 4))]
+    for probes in (1, 7, lists):
+        near = {r["vec_id"]: r["lists"] for r in index._deal(asked, probes).collect()}
+        wanted = {(q, b): sorted(i for i in own if b in blocks[i]) for q, own in near.items() for i in own for b in blocks[i]}
+        sent = index._deal(asked, probes, blocks).collect()
+        assert {(r["vec_id"], r["at"]): r["lists"] for r in sent} == wanted and len(sent) == len(wanted) >= asked.count()
+
+
+def test_many_blocks_and_parts_find_what_one_does(spark, items, index, monkeypatch):
+    from terrasift.operators import vector_index
+
+    asked = items.filter("vec_id % 50 = 0")
+    wanted, few = pairs(retrieval.nearest_each(items, "embedding", asked, 10, "vec_id")), pairs(index.nearest_each(asked, 10, 5))
+    for module in (retrieval, vector_index):
+        monkeypatch.setattr(module, "ROWS", 30)
+        monkeypatch.setattr(module, "SEARCHES", 7)
+    assert pairs(retrieval.nearest_each(items, "embedding", asked, 10, "vec_id")) == wanted == pairs(index.nearest_each(asked, 10, len(index.centres)))
+    assert pairs(index.nearest_each(asked, 10, 5)) == few
+
+
 def test_lists_share_blocks_and_long_lists_have_several(monkeypatch):
     from terrasift.operators import vector_index
 
